@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitmart.llm import mixing
+from pitmart.llm import mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_packing": packing.op8_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
