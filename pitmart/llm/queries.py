@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitmart.llm import mixing, packing
+from pitmart.llm import fingerprints, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op8_packing": packing.op8_packing,
     "op10_mixing": mixing.op10_mixing,
 }
