@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitmart.llm import fingerprints, mixing, packing
+from pitmart.llm import fingerprints, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op10_mixing": mixing.op10_mixing,
 }
