@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitmart.llm import fingerprints, mixing, packing, pii, quality
+from pitmart.llm import fingerprints, minhash, mixing, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": minhash.op1_near_duplicates,
     "op4_pii": pii.op4_pii,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op7_quality": quality.op7_quality,
