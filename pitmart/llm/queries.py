@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitmart.llm import fingerprints, minhash, mixing, packing, pii, quality
+from pitmart.llm import fingerprints, minhash, mixing, packing, pii, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op4_pii": pii.op4_pii,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_repeats": repeats.op6_repeats,
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op10_mixing": mixing.op10_mixing,

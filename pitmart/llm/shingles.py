@@ -22,6 +22,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
+        n = 1 << (n - 1).bit_length()
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(n, base, dtype=np.uint64)
             steps[0] = 1
@@ -64,3 +65,9 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+def content_sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse): (sums[z] - sums[a]) * inverse[a] depends on the bytes a to z alone, whatever stands before."""
+    power, inverse = _powers(len(b) + 1)
+    return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[b] * power[: len(b)]))), inverse
