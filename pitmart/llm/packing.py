@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,10 @@ from pitmart.llm.common import materialize, table
 LONGEST = 2048
 END = 1
 #: Chunks of text whose ids a worker keeps at most.
-CACHED = 600_000
+CACHED = 900_000
+#: A special token of the tokenizer, and how many runs are encoded with it between.
+BETWEEN = "<|endoftext|>"
+TOGETHER = 200
 #: Shares that the rows of one length are dealt to.
 SALTS = 64
 _CACHES: dict[str, "_Ids"] = {}
@@ -46,16 +50,24 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
 
     def learn(self, runs: list[str]) -> None:
-        if len(self) > CACHED:
-            self.clear()
-        for run, x in zip(runs, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
-            self[run] = np.asarray(x.ids, dtype="<u4").tobytes()
+        """Runs are encoded TOGETHER at once, with a special token between, which no run holds."""
+        plain = [r for r in runs if "<|" not in r]
+        lots = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)] + [[r] for r in runs if "<|" in r]
+        for lot, x in zip(lots, self.tokenizer.encode_batch_fast([BETWEEN.join(lot) for lot in lots], add_special_tokens=False), strict=True):
+            ids = np.asarray(x.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.between) if len(lot) > 1 else ids[:0]
+            raw = ids.tobytes()
+            for run, start, end in zip(lot, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+                self[run] = raw[start:end]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.keys()
+        split = [_lower(t).replace("\n", " ").split(" ") for t in texts]
+        new: set[str] = set()
+        for runs in split:
+            new.update(filterfalse(self.__contains__, runs))
         if len(self) + len(new) > CACHED:
             self.clear()
             new = set().union(*split)
@@ -66,6 +78,15 @@ class _Ids(dict):
             yield b"".join(map(self.__getitem__, runs)) + end
 
 
+def _lower(text: str) -> str:
+    """In lower case, as the tokenizer has it, where that is certain to be the same: in Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) for each piece of at most `longest` ids."""
     path = tokenizer or default_tokenizer()

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitmart.llm import fingerprints, minhash, mixing, packing, pii, quality, repeats
+from pitmart.llm import fingerprints, language_model, minhash, mixing, packing, pii, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
+    "op3_language_model": language_model.op3_language_model,
     "op4_pii": pii.op4_pii,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_repeats": repeats.op6_repeats,
