@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitmart.llm import fingerprints, language_model, minhash, mixing, packing, pii, quality, repeats
+from pitmart.llm import chat, fingerprints, language_model, licenses, minhash, mixing, packing, pii, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
+    "op2_licenses": licenses.op2_licenses,
     "op3_language_model": language_model.op3_language_model,
     "op4_pii": pii.op4_pii,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_repeats": repeats.op6_repeats,
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
+    "op9_tool_calls": chat.op9_tool_calls,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.ORACLE_SQL, "op9_tool_calls": chat.ORACLE_SQL}
