@@ -29,7 +29,7 @@ PANELS = {
 SELECT c_mktsegment AS security_id, {_DAY} AS trade_date, CAST(sum({_CENTS}) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 100 AS close
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey GROUP BY 1, 2""",
     "shares": """
-SELECT security_id, trade_date, CAST(1000000 + sum(q) OVER (PARTITION BY security_id ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS shares, CAST(cents AS DOUBLE) / CAST(lots AS DOUBLE) / 70000 AS nav
+SELECT security_id, trade_date, CAST(1000000 + sum(q) OVER (PARTITION BY security_id ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS shares, CAST(cents AS DOUBLE) / CAST(lots AS DOUBLE) / 99991 AS nav
 FROM (SELECT CAST(s_nationkey AS BIGINT) AS security_id, CAST(l_shipdate AS DATE) AS trade_date,
         sum(CAST(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS BIGINT)) AS q, sum(CAST(l_quantity AS BIGINT)) AS lots, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents
       FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY 1, 2) t""",
