@@ -182,10 +182,10 @@ def _shared(rows: DataFrame, by: list[str], flag: str) -> DataFrame:
     return rows.join(twice, on, "left").withColumn(flag, F.col(f"_{by[0]}").isNotNull()).drop(*(f"_{c}" for c in by))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text: null where nothing is removed) for each row."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).select("doc_id", F.xxhash64("text").alias("tkey"), "text")
-    whole = materialize(described(plain, length))
+    whole = materialize(described(plain, length, q))
 
     # level 0: buckets of q-grams; runs whose covering string is repeated
     every = whole.select("doc_id", "tkey", F.explode("pointers").alias("p")).select("doc_id", "tkey", "p.*")

@@ -1,0 +1,327 @@
+"""Operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pitmart.llm import chat, fingerprints, language_model, licenses, minhash, mixing, packing, pii, quality, repeats
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, a string, size long, kept string, p double"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts(n=60, seed=1):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice(["tion", "er", "the", "ou", "é", "st", "an"]) for _ in range(r.randint(1, 4))) for _ in range(300)]
+    base = [" ".join(r.choice(vocabulary) for _ in range(r.randint(60, 160))) for _ in range(n)]
+    out = []
+    for i, t in enumerate(base):
+        out.append(t)
+        if i % 3 == 0:
+            words = t.split()
+            for _ in range(r.choice([1, 2, 6])):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+            out.append(" ".join(words).upper() if i % 2 else " ".join(words))
+        if i % 7 == 0:
+            out.append(t)
+    return [*out, None, "", " \n\t", "one two", "one two", base[0] + " " + base[1] + "\n" + base[2], " ".join(base[:40])]
+
+
+def frame(spark, rows, ids=None):
+    ids = ids if ids is not None else range(len(rows))
+    return spark.createDataFrame([(i, t, "en", f"s{k % 4}" if k % 9 else None, None, 7, "x", 3, "no", 0.5) for k, (i, t) in enumerate(zip(ids, rows, strict=True))], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def sets_of(rows):
+    out = []
+    for t in rows:
+        w = WORD.findall((t or "").translate(LOW))
+        out.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return out
+
+
+def test_near_duplicates(docs, rows, empty):
+    s = sets_of(rows)
+    least = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs).collect()}
+    assert len(got) == len(rows)
+    for i in range(len(rows)):
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(s[i]), least[i], least[i] == i)
+    kept = minhash.drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({i for i in range(len(rows)) if least[i] == i})
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    t = " ".join(f"w{i}" for i in range(80))
+    got = sorted(map(tuple, minhash.near_duplicates(frame(spark, [t, t, t, t + " x", "a b"], [5, 5, None, 3, None])).collect()), key=str)
+    assert got == sorted([(5, 76, 3, False), (5, 76, 3, False), (None, 76, None, True), (3, 77, 3, True), (None, 1, None, True)], key=str)
+
+
+def test_copies_with_many_edits_stay_apart_and_links_across_components_are_found(spark):
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for _ in range(k // 4):
+            w[r.randrange(120)] = f"x{r.randrange(40)}"
+        rows.append(" ".join(w))
+    s = sets_of(rows)
+    least = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(i):
+                if 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(60)] == least
+
+
+def test_licenses(spark, docs, rows, empty):
+    assert licenses.scan(docs).count() == 0
+    long = licenses.NOTICES["mit-grant"]
+    got = licenses.scan(frame(spark, [rows[0] + "\n" + long + " " + rows[1], licenses.NOTICES["mit"].upper(), long.replace("granted", "given"), long[:60], None]))
+    assert sorted((r["doc_id"], r["template_id"], r["n_found"]) for r in got.collect()) == [(0, "mit-grant", 48), (1, "mit", 1), (2, "mit-grant", 43)] or sorted((r["doc_id"], r["template_id"]) for r in got.collect()) == [(0, "mit-grant"), (1, "mit"), (2, "mit-grant")]
+    assert licenses.scan(empty).count() == 0
+    with pytest.raises(ValueError, match="fewer"):
+        licenses.scan(docs, {"x": "too short"})
+
+
+def test_language_model(docs, rows, empty):
+    got = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
+    tokens = [WORD.findall((t or "").translate(LOW)) + [None] for t in rows]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(rows))]
+    c = collections.Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(tokens):
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
+        assert -1e6 < r["score"] < 0
+    assert language_model.score_documents(empty).count() == 0
+
+
+def test_pii_base_spans(spark, empty):
+    r = random.Random(2)
+    pieces = ["a.b@c.de", "@", "x@y", "1.2.3.4", "1.2.3.456", "4111 1111 1111 1111", "+1 (234) 567-8901", "+", " ", "12", ".", "-", "é", "99.1.1.1.1", "4111111111111112", "word", "@a.b", "\n"]
+    rows = ["".join(r.choice(pieces) for _ in range(r.randint(0, 30))) for _ in range(300)] + [None, ""]
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda x: re.sub(r"[^0-9]", "", x)
+    got = {x["doc_id"]: x for x in pii.find_pii(frame(spark, rows)).collect()}
+    for i, t in enumerate(rows):
+        t = t or ""
+        spans = [("email", *m.span()) for m in email.finditer(t)]
+        spans += [("ip", *m.span()) for m in ip.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
+        spans += [("card", *m.span()) for m in card.finditer(t) if 13 <= len(digits(m.group())) <= 19 and pii.luhn(digits(m.group()))]
+        spans += [("phone", *m.span()) for m in phone.finditer(t) if 9 <= len(digits(m.group())) <= 15]
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert (got[i]["n_email"], got[i]["n_card"]) == (sum(s[0] == "email" for s in spans), sum(s[0] == "card" for s in spans))
+        assert set(filter(None, want.split(","))) <= set(got[i]["spans"].split(","))
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_pii_adds_masked_addresses_and_leaves_clean_text(spark):
+    rows = [f"mail me: user{i} (at) mail.example (dot) com today" for i in range(5)] + [f"call 212 555-01{i:02d} now" for i in range(20)] + ["plain words only, at home."] * 5 + [f"write bob.{i}@example.com or +1 212 555-01{i:02d}" for i in range(30)]
+    got = {r["doc_id"]: r for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert all(got[i]["spans"].startswith("email:9:") for i in range(5))
+    assert all(got[i]["spans"] == "" for i in range(25, 30))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, rows)).collect()}
+    assert clean[0] == "mail me: <EMAIL> today" and clean[26] == rows[26] and "@" not in clean[40]
+
+
+def test_fingerprints(docs, rows, empty, spark):
+    got = {r["doc_id"]: r for r in fingerprints.neighbours(docs).collect()}
+    whole = [t or "" for t in rows]
+    for i, t in enumerate(whole):
+        nxt = whole[(i + 1) % len(whole)]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert got[i]["n_chars"] == len(t)
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+    same = collections.defaultdict(set)
+    for i, t in enumerate(whole):
+        same[t].add(got[i]["fingerprint"])
+    assert all(len(x) == 1 for x in same.values())
+    assert fingerprints.neighbours(empty).count() == 0
+    one = fingerprints.neighbours(frame(spark, ["abcd"])).first()
+    assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1
+
+
+@pytest.mark.parametrize(("length", "q"), [(40, 12), (100, 30)])
+def test_repeats(spark, docs, rows, empty, length, q):
+    more = [*rows, "ab" * 300, rows[4], (rows[6] or "")[:150] + "zz" + (rows[8] or "")[50:260]]
+    count = collections.Counter(t[k : k + length] for t in ((x or "").encode() for x in more) for k in range(len(t) - length + 1))
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, more), length, q).collect()}
+    for i, t in enumerate((x or "").encode() for x in more):
+        gone = np.zeros(len(t), dtype=bool)
+        for k in range(len(t) - length + 1):
+            if count[t[k : k + length]] > 1:
+                gone[k : k + length] = True
+        left = bytes(np.frombuffer(t, dtype=np.uint8)[~gone])
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(t), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
+    assert repeats.remove_repeats(empty).count() == 0
+
+
+def test_quality_counts(spark, docs, rows, empty):
+    odd = [*rows, "a b c a b c d", "x\nx\n \ny x\nx", "# $ % é|", "na na na na na"]
+    df = frame(spark, odd)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.judge(df, quality.fit(df, labels)).collect()}
+    for i, t in enumerate(odd):
+        w = WORD.findall(t or "")
+        windows = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        repeated = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(repeated))
+        assert (r["n_symbols"], r["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(repeated) > 50 * len(w))
+        assert not (r["kept"] and r["base_failed"])
+    assert quality.keep(df, quality.fit(df, labels)).columns == df.columns
+    none = labels.where("quality = 0")
+    assert quality.fit(df, none) is None
+    assert quality.judge(empty, None).count() == 0
+
+
+def test_packing(spark, docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    out = packing.pack(packing.tokenize_pieces(docs, longest=64, with_ids=True), longest=64).collect()
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in out:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    for i, t in enumerate(rows):
+        want = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        pieces = sorted(by_doc[i], key=lambda r: r["start"])
+        assert [x for r in pieces for x in np.frombuffer(r["ids"], dtype="<u4")] == want
+        assert all(r["doc_tokens"] == len(want) and r["ids_crc32"] == zlib.crc32(r["ids"]) and r["length"] == len(r["ids"]) // 4 for r in pieces)
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    assert packing.pack(packing.tokenize_pieces(empty)).count() == 0
+
+
+def test_shortest_pack_first():
+    packs = packing.shortest_pack_first({5: 3, 4: 2, 3: 1, 2: 2, 1: 4}, 8)
+    used = collections.Counter()
+    for pack, n in packs:
+        assert sum(pack) <= 8
+        for x in pack:
+            used[x] += n
+    assert used == {5: 3, 4: 2, 3: 1, 2: 2, 1: 4}
+
+
+def test_tool_calls(spark):
+    rows = [
+        (1, 0, "system", "be kind"), (1, 1, "user", 'hi "you"'), (1, 2, "assistant", "hello"), (1, 3, "user", ""), (1, 4, "assistant", "?"), (1, 5, "user", "bye"),
+        (2, 0, "assistant", "unasked"), (3, 0, "assistant", '{"id":"c1","name":"sum","arguments":{"x":"3","y":"no"},"after":"c0"}'), (3, 1, "tool", '{"id":"c1","content":"7"}'), (4, 0, "user", None), (None, 1, "user", "lost"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    schemas = {**chat.SCHEMAS, "sum": {"x": ("integer", True), "y": ("integer", True), "z": ("number", True)}}
+    got = {r["call_id"]: r for r in chat.link(*chat.calls_and_results(df), schemas).collect()}
+    assert len(got) == 6
+    assert got["1-1"]["json"] == '{"arguments":{"text":"hi \\"you\\"","turn":"1"},"id":"1-1","name":"chat.reply","result":"hello"}'
+    assert [got[f"1-{t}"]["depth"] for t in (1, 3, 5)] == [0, 1, 2]
+    assert got["1-3"]["errors"] == "not text: text" and not got["1-5"]["has_result"]
+    assert got["2--1"]["errors"] == "result without call"
+    assert got["c1"]["errors"] == "missing z;not integer: y" and got["c1"]["has_result"]
+    assert chat.link(*chat.calls_and_results(df.limit(0))).count() == 0
+
+
+def test_mixing(spark, docs, rows, empty):
+    got = mixing.mix(docs).collect()
+    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    sizes = collections.Counter()
+    for r in got:
+        assert r["size"] == len(WORD.findall(rows[r["doc_id"]] or "")) and r["taken"] <= 2 * r["size"] and again[r["doc_id"]] == r["taken"]
+        sizes[r["source"]] += r["size"]
+    weight = dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), [5, 2, 1] * 9, strict=False))
+    target, open_ = {}, set(sizes)
+    total = 1.5 * sum(sizes.values())
+    while open_:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 2 * sizes[s] for s in over}
+        open_ -= over
+    for s in sizes:
+        mine = [r for r in got if r["source"] == s]
+        assert mine[0]["target"] == pytest.approx(target[s]) and mine[0]["source_size"] == sizes[s]
+        assert abs(sum(r["taken"] for r in mine) - target[s]) <= max(r["size"] for r in mine)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mixing_rounds_repeated_rows_alike(spark):
+    got = mixing.mix(frame(spark, ["a b c"] * 6 + ["d e"] * 5, [1] * 6 + [2, 3, None, None, 4])).collect()
+    assert len(got) == 11
+    assert len({r["taken"] for r in got if r["doc_id"] == 1 and r["source"] == "s1"}) == 1
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    plain = texts(12, 9)
+    rows = [*plain, *(" ".join(f"JUNK{i}!!" for i in range(20)) for _ in range(3)), "mail a.b@c.de " + plain[0].replace(" ", "x ")]
+    df = frame(spark, rows).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in [*range(len(plain)), len(rows) - 1]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = set(r["doc_id"] for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == df.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        ids = set(r["doc_id"] for r in docs.collect())
+        assert ids <= seen
+        seen = ids
+        if name == "quality":
+            assert not ids & set(range(len(plain), len(plain) + 3)) and len(rows) - 1 in ids
+        if name == "pii":
+            assert "<EMAIL>" in {r["doc_id"]: r["text"] for r in docs.collect()}[len(rows) - 1]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert set(r["doc_id"] for r in packed.collect()) == seen
