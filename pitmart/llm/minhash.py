@@ -6,8 +6,9 @@ how many samples differ, precisely so when few do; candidates from the bands tha
 others are verified on full shingle sets.  With 24 bands of 4 a pair at the threshold is missed with a probability of
 about 2e-8.
 
-Within a bucket nodes are first compared with the least node only: those that stay in other components are then
-compared across components, so no bucket is expanded into all its pairs and no link between components is lost.
+Within a bucket nodes are first compared with the least node only.  The nodes of buckets that then still hold several
+components are compared across components by an exact prefix join on their rarest shingles, so no bucket is expanded
+into all its pairs and no link between components is lost.
 
 Defined results: null, empty and blank texts have 0 shingles and are linked with nothing; a text of fewer words than a
 shingle is one shingle; repeated rows are in one component, rows that share a doc_id are one document, linked through
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitmart.llm.common import materialize, table
@@ -137,6 +138,41 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
     return together.mapInArrow(run, "a long, b long")
 
 
+def across_components(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes (node, c) of unlike components c that may be links: no link is left out.
+
+    Shingles in order from the rarest on: a linked pair has a first common shingle among the first (100 - percent)
+    percent of both, and as many shingles from there on as the link needs.  Copies with many edits of their own begin
+    with more rare shingles than a link allows and so meet nobody, however large their group is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                part = whole.slice(at, 256)
+                sets = shingle_sets([t.encode() for t in part.column(2).to_pylist()])
+                size = np.array([len(x) for x in sets])
+                node, c = (np.repeat(part.column(i).to_numpy(), size) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(c), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "c", "size", "shingle"])
+
+    rows = texts.withColumnRenamed("node", "_node").join(nodes, F.col("_node") == F.col("node")).select("node", "c", "text").mapInArrow(run, "node long, c long, size long, shingle long")
+    rows = materialize(rows)
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1").select(F.col("shingle").alias("_shingle"), "often")
+    ranked = rows.join(often, F.col("shingle") == F.col("_shingle"), "left").drop("_shingle").withColumn("often", F.coalesce("often", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
+    first = ranked.withColumn("place", place).where((F.col("often") > 1) & (100 * F.col("place") <= (100 - percent) * F.col("size"))).drop("often")
+    first = materialize(first)
+    sizes = nodes.groupBy("c").agg(F.count("*").alias("n"))
+    # of two unlike components at least one is not the largest of the shingle
+    largest = first.join(sizes, "c").groupBy("shingle").agg(F.max(F.struct("n", "c")).alias("top"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("shingle", F.col("top.c").alias("top"))
+    sided = materialize(first.join(largest, "shingle"))
+    left = sided.where("c <> top").select("shingle", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"), F.col("place").alias("pa"))
+    right = sided.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("sb"), F.col("place").alias("pb"), (F.col("c") == F.col("top")).alias("settled"))
+    enough = (100 + percent) * F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= percent * (F.col("sa") + F.col("sb"))
+    pairs = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("ca") != F.col("cb")) & (F.col("settled") | (F.col("a") > F.col("b"))) & enough)
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
     most = most_differing_bits(percent)
@@ -148,13 +184,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketches = materialize(sketches)
 
     banded = sketches.select(F.explode("bands").alias("bucket"), "node")
-    shared = materialize(banded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least"))
+    shared = materialize(banded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size")).where("least < most").select("bucket", "least", "size"))
     members = materialize(banded.join(shared, "bucket"))
     # of all pairs of a node with the least of one of its buckets
     stars = materialize(_near(members.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), sketches, most))
     first = stars.groupBy("a").agg(F.min("b").alias("b"))
-    # texts of the nodes that any star holds; those of later pairs are read when there are any
-    held = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    # texts of all nodes that may be verified: those of stars and of buckets that hold more than one pair
+    held = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).unionByName(members.where("size > 2").select("node")).distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     texts = materialize(plain.join(held, F.col("doc_id") == F.col("node")).select("node", "text"))
     links = materialize(verify(first, texts, percent))
@@ -168,20 +204,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = materialize(links.unionByName(verify(rest, texts, percent)))
     labels = components(links)
 
-    # buckets that still hold several components: members outside the least one's component against all others
-    of = materialize(labelled(labelled(members, "node", "c"), "least", "cl"))
-    mixed = of.where("c <> cl").select("bucket").distinct()
-    among = of.join(mixed, "bucket", "left_semi").join(_side(sketches, "node"), "node")
-    outside = among.where("c <> cl").drop("cl", "least")
-    inside = among.drop("least")
-    left = outside.select(F.col("bucket"), F.col("node").alias("a"), F.col("c").alias("ca"), *(F.col(f"node_{c}").alias(f"a_{c}") for c in _SKETCH))
-    right = inside.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("cl")).alias("out_b"), *(F.col(f"node_{c}").alias(f"b_{c}") for c in _SKETCH))
-    across = left.join(right, (F.col("bucket") == F.col("bucket_b")) & (F.col("ca") != F.col("cb")) & (~F.col("out_b") | (F.col("a") > F.col("b"))) & (_differing("a_", "b_") <= most)).select("a", "b").distinct()
-    across = materialize(across.join(stars, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        missing = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).distinct().join(held, "node", "left_anti")
-        if not missing.isEmpty():
-            texts = texts.unionByName(plain.join(missing, F.col("doc_id") == F.col("node")).select("node", "text"))
+    # buckets of three and more that still hold several components: their nodes are compared across components
+    of = labelled(labelled(members.where("size > 2"), "node", "c"), "least", "cl")
+    mixed = materialize(of.where("c <> cl").select("bucket").distinct())
+    open_nodes = materialize(of.join(mixed, "bucket", "left_semi").select("node", "c").distinct())
+    if not open_nodes.isEmpty():
+        across = materialize(across_components(open_nodes, texts, percent).join(stars, ["a", "b"], "left_anti"))
         links = materialize(links.unionByName(verify(across, texts, percent)))
         labels = components(links)
 
