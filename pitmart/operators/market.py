@@ -111,3 +111,28 @@ def forward_outcomes(df: DataFrame, key: str, date: str, close: str, n: int) ->
 def outcome_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """[N7] Count, mean, median, linear deciles."""
     return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.lit(0.1)).alias("p10"), F.percentile(value, F.lit(0.9)).alias("p90"))
+
+
+def liquidity_layer(df: DataFrame, key: str, date: str, value: str, n: int = 250, least: int = 20) -> DataFrame:
+    """[M1] Of known observations: a point for a 5-step change beyond 0.5 percent, up or down, and one for a percentile
+    from 0.6 on, or to 0.4; under 6 observations UNKNOWN."""
+    w = s.over(key, date)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w)).withColumn("change", (F.col(value) / F.lag(value, 5).over(w) - 1) * 100).withColumn("position", s.mid_rank(value, w, n, least))
+    points = F.when(F.col("change") > 0.5, 1).when(F.col("change") < -0.5, -1).otherwise(0) + F.when(F.col("position") >= 0.6, 1).when(F.col("position") <= 0.4, -1).otherwise(0)
+    state = F.when(F.col("_n") < 6, "UNKNOWN").when(points > 0, "STRONG").when(points < 0, "WEAK").otherwise("NEUTRAL")
+    return rows.select(key, date, "change", "position", points.cast("int").alias("score"), state.alias("state"))
+
+
+def norm_ratio(over: DataFrame, under: DataFrame, date: str, exchanges: int = 2) -> DataFrame:
+    """[L2] Sum of `over` by `under` on days on which both sides have all exchanges; null without a positive divisor."""
+    a = over.groupBy(date).agg(F.sum("value").alias("_a"), F.countDistinct("exchange").alias("_na"))
+    b = under.groupBy(date).agg(F.sum("value").alias("_b"), F.countDistinct("exchange").alias("_nb"))
+    whole = (F.col("_na") == exchanges) & (F.col("_nb") == exchanges) & (F.col("_b") > 0)
+    return a.join(b, date, "left").select(date, F.when(whole, F.col("_a") / F.col("_b")).alias("ratio"))
+
+
+def switches(df: DataFrame, by: list[str], key: str, date: str, state: str) -> DataFrame:
+    """[N4, N8] Per slice the days, the switches inside it and the share of UNKNOWN."""
+    w = Window.partitionBy(*by).orderBy(date)
+    marked = df.withColumn("_switch", F.coalesce(F.col(state) != F.lag(state).over(w), F.lit(False)))
+    return marked.groupBy(*by).agg(F.count("*").alias("days"), F.count_if("_switch").alias("switches"), F.avg((F.col(state) == "UNKNOWN").cast("double")).alias("unknown"))

@@ -58,3 +58,9 @@ def tracking(nav: DataFrame, index: DataFrame, key: str, date: str, nav_value: s
     index_return = F.col(index_value) / F.first(index_value).over(longer) - 1
     error = F.when(F.count("_gap").over(frame) >= min(40, n), F.stddev_samp("_gap").over(frame) * F.sqrt(F.lit(float(s.YEAR))))
     return both.select(key, date, F.when(full, nav_return).alias("nav_return"), F.when(full, index_return).alias("index_return"), F.when(full, nav_return - index_return).alias("tracking_difference"), error.alias("tracking_error"))
+
+
+def return_basis(name) -> object:  # noqa: ANN001
+    """[H1] Which return an index name speaks of, by keyword in this order."""
+    low = F.lower(name)
+    return F.when(low.contains("net total"), "net_total_return").when(low.contains("total"), "total_return").when(low.contains("price"), "price").otherwise("unknown")

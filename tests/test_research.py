@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pitmart import queries, queries_more, queries_norm  # noqa: F401
+from pitmart import queries, queries_audit, queries_more, queries_norm  # noqa: F401
 from pitmart.operators import checks, flow, groups, market, merge, metrics, pit
 
 SF = "/root/testdata/sf0.001"
