@@ -84,7 +84,7 @@ def _i3(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), "|").alias("members"), F.count("*").alias("n"))
 
 
-@add("I7_peer_mart", f"{panel_sql('shares')}, l AS (SELECT security_id, shares, nav, security_id % 4 AS g FROM shares QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY trade_date DESC) = 1) SELECT security_id, CAST(count(*) OVER (PARTITION BY g) AS BIGINT) AS peer_count, percent_rank() OVER (PARTITION BY g ORDER BY shares) AS size_pct, percent_rank() OVER (PARTITION BY g ORDER BY nav DESC) AS nav_pct FROM l", "size_pct nav_pct")
+@add("I7_peer_mart", f"{panel_sql('shares')}, l AS (SELECT security_id, shares, nav, security_id % 4 AS g FROM shares QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY trade_date DESC) = 1) SELECT security_id, CAST(count(*) OVER (PARTITION BY g) AS BIGINT) AS peer_count, CASE WHEN count(*) OVER (PARTITION BY g) >= 3 THEN percent_rank() OVER (PARTITION BY g ORDER BY shares) END AS size_pct, CASE WHEN count(*) OVER (PARTITION BY g) >= 3 THEN percent_rank() OVER (PARTITION BY g ORDER BY nav DESC) END AS nav_pct FROM l", "size_pct nav_pct")
 def _i7(spark: SparkSession, d: str) -> DataFrame:
     rows = metrics.latest(panel(spark, d, "shares"), "security_id", "trade_date").withColumn("g", F.col("security_id") % 4)
     size = groups.peer_percentile(rows, "g", "shares").withColumnRenamed("rank_pct", "size_pct")

@@ -51,7 +51,7 @@ def test_golden_metrics(spark):
     assert row["return_1d"] == pytest.approx(1 / 123)
     assert row["return_20d"] == pytest.approx(124 / 104 - 1)
     assert row["volatility_20d"] == pytest.approx(0.00712169492437755)
-    assert row["avg_turnover_amount_20d"] == 1_014_500
+    assert row["avg_turnover_20d"] == 1_014_500
     assert row["return_60d"] is None and row["max_drawdown_60d"] is None
 
 
