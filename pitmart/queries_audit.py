@@ -130,3 +130,33 @@ def _o14(spark: SparkSession, d: str) -> DataFrame:
     days = market.totals(panel(spark, d, "turnover"))
     found = audit.broken(days, "single_exchange", "WARN", "turnover", F.col("exchanges") < 2, F.col("trade_date"))
     return audit.report(found.unionByName(audit.broken(_table(spark, d, "orders"), "orphan_order", "ERROR", "orders", F.col("o_custkey") % 3 == 0, F.col("o_orderkey"))))
+
+
+@add("J1_latest_top_holdings", f"{panel_sql('holdings')}, h AS (SELECT * FROM holdings QUALIFY report_date = max(report_date) OVER (PARTITION BY etf_id)), t AS (SELECT *, row_number() OVER (PARTITION BY etf_id ORDER BY weight_pct DESC NULLS LAST, stock_id) AS rank FROM h QUALIFY rank <= 10) SELECT *, CASE WHEN disclosed IS NOT NULL THEN 'exact' ELSE 'limited' END AS confidence FROM t", "weight_pct")
+def _j1(spark: SparkSession, d: str) -> DataFrame:
+    return groups.latest_top(panel(spark, d, "holdings"), "etf_id")
+
+
+@add("L4_mid_rank", f"{panel_sql('turnover')}, x AS (SELECT exchange, trade_date, turnover_amount AS v, list(turnover_amount) OVER (PARTITION BY exchange ORDER BY trade_date ROWS 119 PRECEDING) AS a FROM turnover) SELECT exchange, trade_date, CASE WHEN len(a) >= 30 THEN (len([y FOR y IN a IF y < v]) + len([y FOR y IN a IF y = v]) / 2) / len(a) END AS position FROM x", "position")
+def _l4(spark: SparkSession, d: str) -> DataFrame:
+    return panel(spark, d, "turnover").select("exchange", "trade_date", s.mid_rank("turnover_amount", s.over("exchange"), 120, 30).alias("position"))
+
+
+@add("B25_same_day_nav", f"{panel_sql('shares')}, a AS (SELECT security_id, trade_date, shares, CASE WHEN day(trade_date) % 2 = 0 THEN nav END AS nav FROM shares), b AS (SELECT * FROM shares WHERE day(trade_date) % 7 <> 0) SELECT a.security_id, a.trade_date, a.shares, coalesce(a.nav, b.nav) AS nav, CASE WHEN a.nav IS NOT NULL THEN 'share_row' WHEN b.nav IS NOT NULL THEN 'nav_table' END AS nav_source FROM a LEFT JOIN b USING (security_id, trade_date)", "shares nav")
+def _b25(spark: SparkSession, d: str) -> DataFrame:
+    from pitmart.operators import flow
+
+    shares = panel(spark, d, "shares")
+    less = shares.withColumn("nav", F.when(F.dayofmonth("trade_date") % 2 == 0, F.col("nav")))
+    return flow.nav_coalesce(less, shares.where(F.dayofmonth("trade_date") % 7 != 0), "security_id", "trade_date")
+
+
+@add("M14_state_asof", f"{_M2} SELECT * FROM v WHERE trade_date <= DATE '1999-06-30' QUALIFY row_number() OVER (PARTITION BY exchange ORDER BY trade_date DESC) = 1", "ratio")
+def _m14(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.latest(_m2(spark, d), "exchange", "trade_date", "1999-06-30")
+
+
+@add("N9_aligned_states", f"{_M2} SELECT exchange, trade_date, state FROM v WHERE trade_date IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 10 = 0)")
+def _n9(spark: SparkSession, d: str) -> DataFrame:
+    days = _table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderdate").cast("date").alias("trade_date")).distinct()
+    return _m2(spark, d).join(days, "trade_date", "left_semi").select("exchange", "trade_date", "state")
