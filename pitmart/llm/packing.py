@@ -31,6 +31,7 @@ CACHED = 900_000
 #: A special token of the tokenizer, and how many runs are encoded with it between.
 BETWEEN = "<|endoftext|>"
 TOGETHER = 200
+MARKS = ".,;:!?*#$%&"
 #: Shares that the rows of one length are dealt to.
 SALTS = 64
 _CACHES: dict[str, "_Ids"] = {}
@@ -63,6 +64,21 @@ class _Ids(dict):
             for run, start, end in zip(lot, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
                 self[run] = raw[start:end]
 
+    def _add(self, new: set[str]) -> None:
+        """A letter and the marks that follow it are never one token, so a run of letters and marks is put together."""
+        sought, joint = set(), []
+        for run in new:
+            stem = run.rstrip(MARKS)
+            if stem and len(stem) < len(run) and stem[-1].isalpha():
+                joint.append((run, stem, run[len(stem) :]))
+                sought.add(stem)
+                sought.add(run[len(stem) :])
+            else:
+                sought.add(run)
+        self.learn(list(filterfalse(self.__contains__, sought)))
+        for run, stem, marks in joint:
+            self[run] = self[stem] + self[marks]
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         split = [_lower(t).replace("\n", " ").split(" ") for t in texts]
         new: set[str] = set()
@@ -72,7 +88,7 @@ class _Ids(dict):
             self.clear()
             new = set().union(*split)
         if new:
-            self.learn(list(new))
+            self._add(new)
         end = np.asarray([END], dtype="<u4").tobytes()
         for runs in split:
             yield b"".join(map(self.__getitem__, runs)) + end
