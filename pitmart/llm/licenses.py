@@ -1,9 +1,9 @@
 """License scans in DataFrame functions only.
 
 Texts are cut into shingles of five words, A-Z lower-cased.  Windows of WINDOW shingles, one every STRIDE, get BANDS band
-keys of ROWS MinHash values each; templates get the keys of all their windows, at every offset, so a verbatim run of
+keys of one MinHash sample each; templates get the keys of all their windows, at every offset, so a verbatim run of
 WINDOW + STRIDE - 1 shingles has a window with equal keys for certain, and a window that agrees with a template's in the
-share J of its shingles is retrieved with probability 1 - (1 - J^ROWS)^BANDS.  Templates shorter than that are windows of
+share J of its shingles is retrieved with probability 1 - (1 - J)^BANDS.  Templates shorter than that are windows of
 single shingles, whose MinHash is the shingle itself.  Retrieved templates are verified by exact containment: of the
 template's shingles at least CONTAINED must stand in the text.  Template keys are constants of the plan, so a text is
 never shuffled; the templates are expected to be a bounded list (at most MOST).
@@ -23,7 +23,7 @@ from pitmart.llm.common import LOWER, UPPER, WORD, table, text_or_empty
 
 WIDTH = 5
 WINDOW, STRIDE = 8, 4
-ROWS, BANDS = 2, 6
+BANDS = 4
 CONTAINED = 0.8
 MOST = 2_000
 
@@ -58,20 +58,22 @@ def shingles(words: Column) -> Column:
     return F.coalesce(_runs(words, lambda i: F.array_join(F.slice(words, i + 1, F.lit(WIDTH)), " ")), F.array().cast("array<string>"))
 
 
-def band_keys(hashes: Column, stride: int) -> Column:
-    """Keys of all windows of WINDOW hashes, one every `stride`."""
+def band_keys(hashes: Column, again: Column, stride: int) -> Column:
+    """Keys of all windows of WINDOW hashes, one every `stride`: the least and the greatest hash of a window, in each of
+    two hash orders, are its BANDS MinHash samples.  again: second_order(hashes), a column of its own."""
     n = F.size(hashes) - WINDOW
 
-    def least(window: Column, k: int) -> Column:
-        return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(k))))
-
     def keys(i: Column) -> Column:
-        window = F.slice(hashes, i + 1, F.lit(WINDOW))
-        return F.array(*(F.xxhash64(F.lit(b), *(least(window, b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
+        one, two = F.slice(hashes, i + 1, F.lit(WINDOW)), F.slice(again, i + 1, F.lit(WINDOW))
+        return F.array(*(F.xxhash64(F.lit(b), sample) for b, sample in enumerate((F.array_min(one), F.array_max(one), F.array_min(two), F.array_max(two)))))
 
     return F.when(n >= 0, F.flatten(F.transform(F.sequence(F.lit(0), n, F.lit(stride)), keys))).otherwise(F.array().cast("array<bigint>"))
 
 
+def second_order(hashes: Column) -> Column:
+    return F.transform(hashes, lambda x: F.xxhash64(x))
+
+
 def _constant(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
@@ -82,8 +84,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, contained:
     if len(templates) > MOST:
         raise ValueError(f"{len(templates)} templates; at most {MOST}")
     rows = docs.sparkSession.createDataFrame(sorted(templates.items()), "template_id string, text string").withColumn("w", lowered_words(F.col("text")))
-    rows = rows.withColumn("h", shingle_hashes(F.col("w")))
-    known = rows.select("template_id", F.array_distinct(shingles(F.col("w"))).alias("s"), F.array_distinct("h").alias("h"), F.array_distinct(band_keys(F.col("h"), 1)).alias("k")).collect()
+    rows = rows.withColumn("h", shingle_hashes(F.col("w"))).withColumn("h2", second_order(F.col("h")))
+    known = rows.select("template_id", F.array_distinct(shingles(F.col("w"))).alias("s"), F.array_distinct("h").alias("h"), F.array_distinct(band_keys(F.col("h"), F.col("h2"), 1)).alias("k")).collect()
     if short := [r["template_id"] for r in known if not r["s"]]:
         raise ValueError(f"templates of fewer than {WIDTH} words: {short}")
     long = [r for r in known if len(r["h"]) >= WINDOW + STRIDE - 1]
@@ -91,8 +93,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, contained:
     keys = {r["template_id"]: sorted(r["k"] if r in long else r["h"]) for r in known}
 
     found = docs.select("doc_id", lowered_words(text_or_empty("text")).alias("words")).withColumn("hashes", shingle_hashes(F.col("words")))
+    if long:
+        found = found.withColumn("again", second_order(F.col("hashes")))
     singles = F.array_intersect("hashes", _constant(sorted({x for r in brief for x in keys[r["template_id"]]})))
-    banded = F.array_intersect(band_keys(F.col("hashes"), STRIDE), _constant(sorted({x for r in long for x in keys[r["template_id"]]})))
+    banded = F.array_intersect(band_keys(F.col("hashes"), F.col("again"), STRIDE), _constant(sorted({x for r in long for x in keys[r["template_id"]]})))
     found = found.withColumn("keys", F.concat(singles, banded) if long else singles)
     # a row number in the filter holds it above the projection, whose parts would be computed anew below it
     found = found.withColumn("_row", F.monotonically_increasing_id()).where("size(keys) > 0 and _row >= 0").withColumn("own", shingles(F.col("words")))
