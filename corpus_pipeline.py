@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from pitmart.llm import minhash, mixing, packing, pii, quality
 from pitmart.llm.common import materialize, table
 
+#: Percent of common word shingles from which documents are near-duplicates.
+NEAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_duplicates(docs)
+    return minhash.drop_duplicates(docs, percent=NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,3 +325,14 @@ def test_pipeline_stages(spark, tmp_path):
             assert "<EMAIL>" in {r["doc_id"]: r["text"] for r in docs.collect()}[len(rows) - 1]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert set(r["doc_id"] for r in packed.collect()) == seen
+
+
+def test_pipeline_drops_near_copies_between_80_and_85_percent(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    near, far = [*words[:-10], *(f"x{i}" for i in range(10))], [*words[:-12], *(f"y{i}" for i in range(12))]
+    s = sets_of([" ".join(w) for w in (words, near, far)])
+    assert [100 * len(s[0] & s[k]) // len(s[0] | s[k]) for k in (1, 2)] == [81, 78]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, [" ".join(w) for w in (words, near, far)]), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
