@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitmart.llm import minhash, mixing, packing, pii, quality
-from pitmart.llm.common import materialize, table
+from pitmart.llm.common import materialize, n_words, table
 
 #: Percent of common word shingles from which documents are near-duplicates.
 NEAR = 80
@@ -31,9 +31,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = materialize(mixing.mix(docs).where("copies > 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies")))
-    repeated = docs.join(taken, F.col("doc_id") == F.col("_id"))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    keys = ["doc_id", "source", "size"]  # rows that agree in them, nulls too, have one count
+    taken = mixing.mix(docs).where("copies > 0").groupBy(keys).agg(F.max("copies").cast("int").alias("copies"))
+    taken = materialize(taken.select(*(F.col(c).alias(f"_{c}") for c in [*keys, "copies"])))
+    own = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source"), "size": n_words("text")}
+    same = own["doc_id"].eqNullSafe(F.col("_doc_id")) & own["source"].eqNullSafe(F.col("_source")) & (own["size"] == F.col("_size"))
+    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
