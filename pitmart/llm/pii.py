@@ -28,8 +28,15 @@ from pitmart.llm.common import materialize, table
 KINDS = ("email", "ip", "card", "phone")
 #: Probability from which a candidate is added.
 ACCEPT = 0.5
-#: Top-level domains of the gazetteer; two-letter ones count by shape.
+#: Top-level domains of the gazetteer, and country codes; it has no opinion on those that are common words.
 TLDS = frozenset("com org net edu gov mil int info biz name io ai app dev cloud online site shop test example invalid local".split())
+COUNTRIES = frozenset(
+    "ac ad ae af ag ai al ao aq ar au aw ax az ba bb bd bf bg bh bi bj bm bn bo br bs bt bw bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+    "dj dk dm dz ec ee eg er et eu fi fj fk fm fo ga gb gd gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu ie il im io iq ir jm jo jp "
+    "ke kg kh ki km kn kp kr kw ky kz lb lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx mz na nc ne nf ng ni nl np nr "
+    "nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa ro rs ru rw sa sb sc sg sh si sk sl sm sn sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn tr "
+    "tt tv tw tz ua ug uk uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw de fr es".split()
+)
 CUES = (
     ("mail", "contact", "write", "address", "correo", "adresse", "kontakt"),
     ("ip", "host", "server", "address", "addr", "login", "dns"),
@@ -45,7 +52,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}|<at>) ?| at | @ ?|@ ", re.I)
+_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}|<at>) ?| at | ?@ ?", re.I)
 _BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _AFTER_AT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>) ?| dot |\.)[A-Za-z0-9-]{1,63})+", re.I)
 _DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}|<dot>) ?| dot |\.", re.I)
@@ -99,11 +106,10 @@ def wide_spans(text: str) -> list[tuple[int, int, int]]:
     """Candidates of the wider patterns."""
     found = []
     low = text.lower()
-    if "@" in low or "at)" in low or "at]" in low or "at}" in low or "at>" in low or " dot " in low:
+    if "@" in low or " at " in low or "at)" in low or "at]" in low or "at}" in low or "at>" in low:
         for m in _AT.finditer(text):
-            before = _BEFORE_AT.search(text, max(0, m.start() - 64), m.start())
-            if before and (after := _AFTER_AT.match(text, m.end())):
-                if _DOT.split(after.group())[-1].lower() in TLDS:
+            if after := _AFTER_AT.match(text, m.end()):
+                if before := _BEFORE_AT.search(text, max(0, m.start() - 64), m.start()):
                     found.append((0, before.start(), after.end()))
     if _DIGIT.search(text):
         for kind, pattern in ((1, _IP_MASKED), (2, _CARD_WIDE), (3, _PHONE_WIDE)):
@@ -122,7 +128,7 @@ def votes(text: str, kind: int, start: int, end: int) -> tuple[int, int, int, in
         parts = _DOT.split(_AT.split(s, maxsplit=1)[-1].split("@")[-1])
         checked = 1 if len(parts) >= 2 and all(p and p[0] != "-" and p[-1] != "-" for p in parts) else -1
         last = parts[-1].lower()
-        listed = 1 if last in TLDS else -1 if last.isdigit() else 0
+        listed = 1 if last in TLDS or last in COUNTRIES else 0 if len(last) == 2 and last.isalpha() else -1
         shape = 1 if re.search(r"[(\[{<](?:at|dot)[)\]}>]|@\w", s, re.I) else 0
     elif kind == 1:
         parts = re.findall(r"[0-9]+", s)

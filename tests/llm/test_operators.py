@@ -336,3 +336,25 @@ def test_pipeline_drops_near_copies_between_80_and_85_percent(spark, tmp_path):
     assert [100 * len(s[0] & s[k]) // len(s[0] | s[k]) for k in (1, 2)] == [81, 78]
     kept = corpus_pipeline.near_duplicates(spark, frame(spark, [" ".join(w) for w in (words, near, far)]), str(tmp_path))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
+def test_pipeline_mixes_rows_with_null_and_shared_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [" ".join(f"w{k}" for k in range(5 + i)) for i in range(24)]
+    df = frame(spark, rows, [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(24)])
+    want = collections.Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = collections.Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in corpus_pipeline.mix_sources(spark, df, str(tmp_path)).collect())
+    assert got == +want and sum(n for k, n in got.items() if k[0] is None) > 0
+
+
+def test_pii_proposes_every_masked_address(spark):
+    for masked in ("name (at) firma (dot) de", "name [at] firma.fr", "bob at example.com", "Name AT firma dot co dot uk", "ana{at}correo{dot}es", "bob@example (dot) museum"):
+        assert (0, 4, 4 + len(masked)) in pii.wide_spans(f"an: {masked}, or")
+    rows = [f"mail name{i} (at) firma (dot) {tld} today" for i, tld in enumerate(["de", "fr", "es", "uk", "it"])] + ["contact bob at example.com today"]
+    rows += [f"write bob.{i}@example.com or +1 212 555-01{i:02d}" for i in range(30)] + [f"they met at noon.Then {i} left, or at home." for i in range(30)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert all(got[i] == f"email:5:{len(rows[i]) - 6}" for i in range(5)) and got[5] == "email:8:26"
+    assert all(got[i] == "" for i in range(36, 66))
