@@ -2,15 +2,18 @@
 
 A text is its words, A-Z lower-cased, and one end.  P(word | before) = P(class | before) * P(word | class).  The class
 softmax has hashed features: the word before, the word two before (a skip), and the pair of classes before.
-The TOP most frequent words of the training texts are dealt to classes by the texts they stand in (random
+All words seen LEAST times in the training texts are dealt to classes by the texts they stand in (random
 indexing, then k-means) and by frequency; inside a class the maximum-entropy solution with word features is the
 relative frequency.  All other words are one class, spelt by an interpolated model of four bytes, so that every text
 has a probability.
 
+Texts are dealt to batches.  The counts of all words are a table by hash; the distinct words of a batch are joined to
+their count, class and feature row and meet the texts of the batch, which become classes and feature rows.  Only the
+feature rows, of which there is one for about WORDS_A_ROW words, and the counted runs of four bytes are broadcast; no
+count is capped.
+
 Training: each partition runs minibatch gradient steps (Adagrad) over its texts; the weight rows meet in a shuffle,
-averaged by how often a partition saw the feature.  Scoring runs sparse batches against the broadcast model, whose
-size is set by TOP, GRAMS and the feature rows, not by the corpus.  The exact counts of all words, which the base
-score needs, are joined to the words outside TOP by their hash.
+averaged by how often a partition saw the feature.
 
 Defined results: null and empty texts are the end alone; without training texts all counts are 0; a null doc_id is not
 held out; repeated rows are scored each on their own; an empty table gives no rows; other columns are not read.
@@ -18,35 +21,30 @@ held out; repeated rows are scored each on their own; an empty table gives no ro
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitmart.llm.common import materialize, table
-from pitmart.llm.shingles import mix, word_hashes
+from pitmart.llm.common import discard, materialize, table, uniform
+from pitmart.llm.shingles import word_hashes
 
-#: Words with an entry of their own (seen LEAST times), runs of four bytes kept: bounds of what is broadcast.
-TOP = 1 << 18
-GRAMS = 1 << 19
-LEAST = 2
+LEAST = 2  # occurrences from which a word has a class; words seen once stand for the unseen
 CLASSES = 32
 OTHER, END = 0, 1
 CLUSTERS = 8
-SLOTS = 4096  # hashed feature rows of one position
-OWN = 2048  # frequent words with a row of their own
-CONTEXT = 8  # numbers of a word's context vector
-SEEN = 2  # occurrences in a batch from which a context vector is passed on
+SLOTS = 4096  # hashed feature rows of one position, at least; half of them for the most frequent words
+WORDS_A_ROW = 256
+CONTEXT = 8  # numbers of a word's context vector, a byte each
 BATCH = 2048
 RATE = 0.4
 END_HASH = np.uint64(0x0E2D0E2D0E2D0E2D)
 _COUNTED_AT_ONCE = 16 << 20  # bytes
-_ROWS = 2 * SLOTS + CLASSES * CLASSES + 1
-_BIAS = _ROWS - 1
 _INDEX = np.random.Generator(np.random.PCG64(5)).normal(size=(4096, CONTEXT)).astype(np.float32)
 
 
@@ -114,13 +112,16 @@ class _Held:
         self.texts: list[np.ndarray] = []
         self.vectors: list[np.ndarray] = []
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.trained: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, texts: list[bytes]) -> None:
+    def add(self, texts: list[bytes], trained: bool) -> None:
         t = tokens(texts)
-        keys, first = np.unique(t.hashes, return_index=True)
-        codes, _ = _byte_codes(t, first[keys != END_HASH])
-        self.grams.append(np.unique(codes, return_counts=True))
+        if trained:
+            keys, first = np.unique(t.hashes, return_index=True)
+            codes, _ = _byte_codes(t, first[keys != END_HASH])
+            self.grams.append(np.unique(codes, return_counts=True))
+        self.trained.append(np.full(len(texts), trained))
         # of each text the normed sum of its words' random vectors; of each word the sum of its texts'
         of_text = np.add.reduceat(_INDEX[t.hashes % np.uint64(len(_INDEX))], t.bounds[:-1], axis=0)
         self.vectors.append(of_text / (np.linalg.norm(of_text, axis=1, keepdims=True) + 1e-9))
@@ -128,59 +129,84 @@ class _Held:
         self.texts.append(np.repeat(np.arange(self.n, self.n + len(texts), dtype=np.int32), np.diff(t.bounds)))
         self.n += len(texts)
 
-    def counted(self) -> Iterator[pa.RecordBatch]:
+    def counted(self, batch: int) -> Iterator[pa.RecordBatch]:
         keys, inverse, n = np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
-        codes, times = (np.concatenate([g[i] for g in self.grams]) for i in (0, 1))
+        text, of_text = np.concatenate(self.texts), np.concatenate(self.vectors)
+        # the mean of the texts' vectors, each number between -1 and 1 in one byte
+        mean = np.stack([np.bincount(inverse, weights=of_text[text, d], minlength=len(keys)) for d in range(CONTEXT)], axis=1) / n[:, None]
+        context = np.ascontiguousarray(np.rint(mean * 127).astype(np.int8)).view("<i8").ravel()
+        trained = np.bincount(inverse, weights=np.concatenate(self.trained)[text], minlength=len(keys)).astype(np.int64)
+        codes, times = (np.concatenate([g[i] for g in self.grams]) for i in (0, 1)) if self.grams else (np.zeros(0, dtype=np.int64),) * 2
         grams, of = np.unique(codes, return_inverse=True)
         gram_n = np.bincount(of, weights=times, minlength=len(grams)).astype(np.int64)
-        frequent = np.flatnonzero(n >= SEEN)
-        slot = np.full(len(keys), -1)
-        slot[frequent] = np.arange(len(frequent))
-        mine = slot[inverse]
-        use = mine >= 0
-        mine, text, of_text = mine[use], np.concatenate(self.texts)[use], np.concatenate(self.vectors)
-        vectors = np.stack([np.bincount(mine, weights=of_text[text, d], minlength=len(frequent)) for d in range(CONTEXT)], axis=1) if len(frequent) else np.zeros((0, CONTEXT))
-        total = len(keys) + len(grams) + len(frequent)
-        kind = np.repeat(np.array([0, 1, 2], dtype=np.int8), [len(keys), len(grams), len(frequent)])
-        key = np.concatenate((keys.view(np.int64), grams.astype(np.int64), keys[frequent].view(np.int64)))
-        lengths = np.concatenate((np.zeros(len(keys) + len(grams), dtype=np.int32), np.full(len(frequent), CONTEXT, dtype=np.int32)))
-        context = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(vectors.astype(np.float32).ravel()))
-        times = np.concatenate((n, gram_n, n[frequent])).astype(np.int64)
-        for at in range(0, total, 100_000):
-            z = min(total, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(kind[at:z]), pa.array(key[at:z]), pa.array(times[at:z]), context.slice(at, z - at)], ["kind", "key", "n", "context"])
-
-
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(kind, key, n, context) of training texts: kind 0 words by hash, 1 runs of four bytes of distinct words, 2 context
-    vectors of words; counts are of a batch, summed by the caller."""
+        kind = np.repeat(np.array([0, 1], dtype=np.int8), [len(keys), len(grams)])
+        key = np.concatenate((keys.view(np.int64), grams.astype(np.int64)))
+        out = np.concatenate((trained < n, np.zeros(len(grams), dtype=bool)))
+        times = np.concatenate((trained, gram_n))
+        context = np.concatenate((context, np.zeros(len(grams), dtype=np.int64)))
+        for at in range(0, len(key), 100_000):
+            z = min(len(key), at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(z - at, batch)), *(pa.array(x[at:z]) for x in (kind, key, times, context, out))], ["batch", "kind", "key", "n", "context", "out"])
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs with the number of the batch, of about _COUNTED_AT_ONCE bytes, that a text is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = _Held(), 0
-        for ids, texts in _groups(batches, 2 << 20):
-            texts = [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]
-            if texts:
-                held.add(texts)
-                size += sum(map(len, texts))
+        from pyspark import TaskContext
+
+        number, size = TaskContext.get().partitionId() << 32, 0
+        for ids, texts in _groups(batches, 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(ids, pa.int64()), pa.array([t.decode() for t in texts], pa.string())], ["batch", "doc_id", "text"])
+            size += sum(map(len, texts))
             if size >= _COUNTED_AT_ONCE:
-                yield from held.counted()
-                held, size = _Held(), 0
+                number, size = number + 1, 0
+
+    return docs.select("doc_id", "text").mapInArrow(run, "batch long, doc_id long, text string")
+
+
+def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows that have the same batch as their first column, without it."""
+    for whole in batches:
+        number = whole.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)] if len(number) else []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True) if cuts else ():
+            part = whole.slice(a, z - a)
+            yield int(number[a]), pa.RecordBatch.from_arrays(part.columns[1:], names=part.schema.names[1:])
+
+
+def count_tokens(texts: DataFrame) -> DataFrame:
+    """(batch, kind, key, n, context, out: whether a held-out text has it): kind 0 words of a batch by hash with their count in training texts (0 for words
+    of held-out texts alone) and mean context vector, 1 runs of four bytes of distinct training words; summed by the
+    caller."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, _Held()
+        for number, part in _by_batch(batches):
+            if number != at and held.hashes:
+                yield from held.counted(at)
+                held = _Held()
+            at = number
+            for ids, some in _groups([part], 2 << 20):
+                out = np.array([held_out(i) for i in ids])
+                for trained in (True, False):
+                    chosen = [t for t, o in zip(some, out, strict=True) if o != trained]
+                    if chosen:
+                        held.add(chosen, trained)
         if held.hashes:
-            yield from held.counted()
+            yield from held.counted(at)
 
-    return docs.mapInArrow(run, "kind tinyint, key long, n long, context array<float>")
+    return texts.select("batch", "doc_id", "text").mapInArrow(run, "batch long, kind tinyint, key long, n long, context long, out boolean")
 
 
 @dataclass
 class Vocabulary:
-    hashes: np.ndarray  # sorted
-    counts: np.ndarray
-    classes: np.ndarray
-    logp: np.ndarray  # log10 P(word | class)
-    slots: np.ndarray
+    words: DataFrame  # batch, h, c, class, logp: log10 P(word | class), slot; of each batch, but for words seen once and in its training texts alone
+    occurring: DataFrame  # the table behind words
     spelling: "Spelling"
     total: int
     distinct: int
+    slots: int
 
 
 def _at(keys: np.ndarray, values: np.ndarray, sought: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
@@ -219,103 +245,187 @@ class Spelling:
         return np.log10(_at(self.keys4, self.p4, codes, back))
 
 
-def _clusters(vectors: np.ndarray, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Cluster of each word by its context; words without one have the last."""
-    out = np.full(len(vectors), CLUSTERS, dtype=np.int64)
-    rows = np.flatnonzero(known)
-    if len(rows) < CLUSTERS:
-        return out
-    x = vectors[rows] / (np.linalg.norm(vectors[rows], axis=1, keepdims=True) + 1e-9)
-    order = np.argsort(-weight[rows], kind="stable")
-    centres = x[order[:1]]
+def _nearest(centres: np.ndarray) -> Column:
+    """Index of the centre that is nearest to the vector x by angle."""
+    dots = F.array(*(sum((F.col("x")[d] * F.lit(float(c[d])) for d in range(1, CONTEXT)), F.col("x")[0] * F.lit(float(c[0]))) for c in centres))
+    return (F.array_position(dots, F.array_max(dots)) - 1).cast("int")
+
+
+def _centres(words: DataFrame) -> np.ndarray | None:
+    """k-means by angle over all words (h, c, x), a word weighing the root of its count."""
+    far = np.array([r["x"] for r in words.orderBy(F.desc("c"), "h").limit(4096).select("x").collect()])  # where to begin
+    if len(far) < CLUSTERS:
+        return None
+    centres = far[:1]
     for _ in range(CLUSTERS - 1):  # the frequent word farthest from all centres so far
-        far = x[order[:4096]]
         centres = np.concatenate((centres, far[[np.argmin((far @ centres.T).max(axis=1))]]))
-    w = np.sqrt(weight[rows])
     for _ in range(20):
-        own = np.argmax(x @ centres.T, axis=1)
-        sums = np.stack([np.bincount(own, weights=x[:, d] * w, minlength=CLUSTERS) for d in range(x.shape[1])], axis=1)
-        centres = np.where(np.abs(sums).sum(axis=1, keepdims=True) > 0, sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-9), centres)
-    out[rows] = own
-    return out
-
-
-def build_vocabulary(counted: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """The bounded tables, and the full counts (h, c) of all words as a frame."""
-    summed = counted.where("kind = 0").groupBy(F.col("key").alias("h")).agg(F.sum("n").alias("c"))
-    counts = materialize(summed)
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # words seen once stand for the unseen: they train the class of all other words
-    top = counts.where((F.col("c") >= LEAST) | (F.col("h") == F.lit(int(END_HASH)))).orderBy(F.desc("c"), "h").limit(TOP)
-    vectors = counted.where("kind = 2").groupBy(F.col("key").alias("v")).agg(*(F.sum(F.element_at("context", d + 1)).alias(f"x{d}") for d in range(CONTEXT)))
-    rows = top.join(vectors, F.col("h") == F.col("v"), "left").drop("v").toPandas()  # at most TOP rows
-    grams = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(GRAMS).toPandas()  # at most GRAMS
-    grams = grams.sort_values("key")
-    h = rows["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(h, kind="stable")
-    rows, h = rows.iloc[order], h[order]
-    c = rows["c"].to_numpy(dtype=np.int64)
-    x = rows[[f"x{d}" for d in range(CONTEXT)]].to_numpy(dtype=float)
-    known = ~np.isnan(x).any(axis=1)
-    cluster = _clusters(np.nan_to_num(x), known, c.astype(float))
-    mass = np.bincount(cluster, weights=c, minlength=CLUSTERS + 1)
-    classes = np.zeros(len(h), dtype=np.int64)
-    spare = CLASSES - 2 - (CLUSTERS + 1)
-    at = 2
-    for k in np.argsort(-mass, kind="stable"):
-        bins = 1 + int(spare * mass[k] / max(1.0, mass.sum()))
-        mine = np.flatnonzero(cluster == k)
-        mine = mine[np.argsort(-c[mine], kind="stable")]
-        before = np.cumsum(c[mine]) - c[mine]
-        classes[mine] = at + np.minimum(bins - 1, (before * bins // max(1, int(mass[k]))).astype(np.int64))
-        at += bins
-    classes[h == END_HASH] = END
-    in_class = np.bincount(classes, weights=c, minlength=CLASSES)
-    rank = np.empty(len(h), dtype=np.int64)
-    rank[np.argsort(-c, kind="stable")] = np.arange(len(h))
-    slots = np.where(rank < OWN, rank, OWN + (h % np.uint64(SLOTS - OWN)).astype(np.int64))
+        rows = words.groupBy(_nearest(centres).alias("k")).agg(*(F.sum(F.col("x")[d] * F.sqrt("c")).alias(f"x{d}") for d in range(CONTEXT))).collect()
+        moved = centres.copy()
+        for r in rows:
+            v = np.array([r[f"x{d}"] for d in range(CONTEXT)])
+            if np.abs(v).sum() > 0:
+                moved[r["k"]] = v / (np.linalg.norm(v) + 1e-9)
+        settled = np.abs(moved - centres).max() < 1e-3
+        centres = moved
+        if settled:
+            break
+    return centres
+
+
+def build_vocabulary(counted: DataFrame) -> Vocabulary:
+    spark = counted.sparkSession
+    # one shuffle by word; words seen once are of class OTHER and are joined to nothing more
+    rows = counted.where("kind = 0").select("batch", F.col("key").alias("h"), "n", "context", "out").withColumn("c", F.sum("n").over(Window.partitionBy("h")))
+    occurring = materialize(rows.where("c > 0").withColumn("context", F.when(F.col("c") >= LEAST, F.col("context"))))
+    numbers = [F.sum(F.col("n") * F.shiftright(F.shiftleft("context", 56 - 8 * d), 56)).cast("double").alias(f"x{d}") for d in range(CONTEXT)]
+    norm = F.sqrt(sum((F.col(f"x{d}") * F.col(f"x{d}") for d in range(1, CONTEXT)), F.col("x0") * F.col("x0"))) + 1e-9
+    often = occurring.where((F.col("c") >= LEAST) & (F.col("h") != F.lit(int(END_HASH))))
+    words = materialize(often.groupBy("h", "c").agg(*numbers).select("h", "c", F.array(*((F.col(f"x{d}") / norm).cast("float") for d in range(CONTEXT))).alias("x")))
+    known = words.count()
+    end = F.col("h") == F.lit(int(END_HASH))
+    total, single, ended = occurring.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(~end & (F.col("c") == 1) & (F.col("n") == 1)), F.count_if(end)).first()
+    distinct = known + single + (ended > 0)
+    grams = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # distinct runs of four bytes
     spelling = Spelling(grams["key"].to_numpy(dtype=np.int64), grams["n"].to_numpy(dtype=np.int64))
-    return Vocabulary(h, c, classes.astype(np.int16), np.log10(c / in_class[classes]).astype(np.float32), slots.astype(np.int16), spelling, int(total), int(distinct)), counts
 
+    slots = SLOTS
+    while slots * WORDS_A_ROW < known:
+        slots *= 2
+    own = slots // 2
+    centres = _centres(words)
+    words = words.select("h", "c", (F.lit(CLUSTERS) if centres is None else _nearest(centres)).cast("int").alias("cluster"))
+    # words of one cluster and count stand together; there are no more counts than the root of twice the tokens
+    groups = words.groupBy("cluster", "c").agg(F.count("*").alias("n")).toPandas().sort_values(["cluster", "c"], ascending=[True, False])
+    mass_of = {int(k): int((g["c"] * g["n"]).sum()) for k, g in groups.groupby("cluster")}
+    spare, at, places = CLASSES - 2 - (CLUSTERS + 1), 2, []
+    for k in sorted(mass_of, key=lambda k: (-mass_of[k], k)):
+        bins = 1 + int(spare * mass_of[k] / sum(mass_of.values()))
+        before = 0
+        for c, n in groups.loc[groups["cluster"] == k, ["c", "n"]].itertuples(index=False):
+            places.append((k, int(c), before, int(c * n), bins, mass_of[k], at))
+            before += int(c * n)
+        at += bins
+    placed = spark.createDataFrame(places, "_k int, _c long, before long, own long, bins int, mass long, at int")
+    place = F.floor((F.col("before") + uniform("h") * F.col("own")) * F.col("bins") / F.col("mass"))
+    classed = words.join(F.broadcast(placed), (F.col("cluster") == F.col("_k")) & (F.col("c") == F.col("_c"))).select("h", "c", (F.col("at") + F.least(F.col("bins") - 1, place)).cast("int").alias("class"))
+    classed = materialize(classed)
+    in_class = [1] * CLASSES
+    for r in classed.groupBy("class").agg(F.sum("c").alias("c")).collect():
+        in_class[r["class"]] = r["c"]
+    logp = F.log10(F.col("c") / F.element_at(F.array(*(F.lit(float(c)) for c in in_class)), F.col("class") + 1)).cast("float")
+    first = [r["h"] for r in classed.orderBy(F.desc("c"), "h").limit(own).select("h").collect()]  # one for each row of its own
+    ranked = spark.createDataFrame(list(zip(first, range(len(first)), strict=True)), "_h long, rank int")
+    slot = F.coalesce("rank", (F.lit(own) + F.pmod("h", F.lit(slots - own))).cast("int"))
+    classed = classed.join(F.broadcast(ranked), F.col("h") == F.col("_h"), "left").select(F.col("h").alias("_w"), "class", logp.alias("logp"), slot.alias("slot"))
+    named = often.select("batch", "h", "c").join(classed, F.col("h") == F.col("_w")).drop("_w")
+    # a word of a training text that is not among these is seen once; held-out texts cannot tell
+    other = occurring.where((F.col("c") < LEAST) & F.col("out") | end).select("batch", "h", "c", F.lit(OTHER).alias("class"), F.lit(0.0).cast("float").alias("logp"), F.lit(-1).alias("slot"))
+    return Vocabulary(named.unionByName(other), occurring, spelling, int(total), int(distinct), slots)
+
+
+def _let_go(spark: SparkSession, *done: DataFrame) -> None:
+    """Frees tables, and shuffle files that no plan holds any more."""
+    for df in done:
+        discard(df)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def code(texts: DataFrame, v: Vocabulary) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, logs, fixed, classes, slots) of each text: sums of its tokens' log counts and
+    log10 P(token | class), and the class and feature row of each token."""
+    none = {"h": "long", "c": "long", "class": "int", "logp": "float", "slot": "int", "doc_id": "long", "text": "string"}
+    blank = lambda names: [F.lit(None).cast(none[n]).alias(n) for n in names]
+    one = v.words.select("batch", F.lit(True).alias("word"), "h", "c", "class", "logp", "slot", *blank(["doc_id", "text"]))
+    two = texts.select("batch", F.lit(False).alias("word"), *blank(["h", "c", "class", "logp", "slot"]), "doc_id", "text")
+    together = one.unionByName(two).repartition("batch").sortWithinPartitions("batch", F.desc("word"))
+    shared = texts.sparkSession.sparkContext.broadcast(v.spelling)
+    slots, own = v.slots, v.slots // 2
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "fixed", "classes", "slots"]
+
+    def coded(words: list[np.ndarray], ids: list, some: list[bytes]) -> pa.RecordBatch:
+        h, c, classes_of, logp, slot_of = words
+        t = tokens(some)
+        n = len(t.hashes)
+        if len(h):
+            k = np.minimum(np.searchsorted(h, t.hashes), len(h) - 1)
+            found = h[k] == t.hashes
+        else:
+            k, found = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+            h, c, classes_of, logp, slot_of = (np.zeros(1, dtype=x.dtype) for x in words)
+        classes = np.where(found, classes_of[k], OTHER)
+        end = t.hashes == END_HASH
+        last = t.raw[np.maximum(t.ends - 1, 0)].astype(np.int64) * 31 + t.raw[np.maximum(t.ends - 2, 0)].astype(np.int64)
+        slot = np.where(classes != OTHER, slot_of[k], own + last % (slots - own))
+        fixed = np.where(classes != OTHER, logp[k], 0.0).astype(float)
+        rare = np.flatnonzero((classes == OTHER) & ~end)
+        fixed[rare] += _spelt(shared.value, t, rare)
+        classes[end], slot[end] = END, slots - 1
+        starts, cuts = t.bounds[:-1], list(zip(t.bounds[:-1], t.bounds[1:], strict=True))
+        classes, slot = classes.astype(np.uint8), slot.astype(np.uint16 if slots <= 1 << 16 else np.uint32)
+        out = np.array([held_out(i) for i in ids])
+        once = ~found & ~np.repeat(out, np.diff(t.bounds))
+        logs = np.where(found, np.log10(c[k] + 1.0), np.where(once, np.log10(2.0), 0.0))
+        sums = [np.add.reduceat(x, starts) for x in ((found | once).astype(np.int64), logs, fixed)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(out), pa.array(np.diff(t.bounds)), *map(pa.array, sums)]
+            + [pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (classes, slot)],
+            names,
+        )
 
-@dataclass
-class Batch:
-    """Tokens with what the model needs to know of them."""
-
-    tokens: Tokens
-    found: np.ndarray  # index into the vocabulary, -1 outside
-    classes: np.ndarray
-    features: np.ndarray  # tokens x 3
-
-
-def _looked_up(vocabulary: Vocabulary, t: Tokens) -> Batch:
-    v = vocabulary
-    n = len(t.hashes)
-    if len(v.hashes):
-        k = np.minimum(np.searchsorted(v.hashes, t.hashes), len(v.hashes) - 1)
-        found = np.where(v.hashes[k] == t.hashes, k, -1)
-    else:
-        found = np.full(n, -1)
-    known = found >= 0
-    classes = np.where(known, v.classes[found] if len(v.hashes) else 0, OTHER).astype(np.int64)
-    classes[t.hashes == END_HASH] = END
-    last = t.raw[np.maximum(t.ends - 1, 0)].astype(np.int64) * 31 + t.raw[np.maximum(t.ends - 2, 0)].astype(np.int64)
-    slot = np.where(known, v.slots[found] if len(v.hashes) else 0, OWN + last % (SLOTS - OWN)).astype(np.int64)
-    inside = np.arange(n) - np.repeat(t.bounds[:-1], np.diff(t.bounds))  # position in its text
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, words = None, [], None
+        for number, part in _by_batch(batches):
+            if number != at:
+                at, parts, words = number, [], None
+            is_word = part.column(0).to_numpy(zero_copy_only=False)
+            n = int(is_word.sum())
+            if n:
+                first = part.slice(0, n)
+                parts.append([first.column(i).to_numpy() for i in range(1, 6)])
+            if n < part.num_rows:
+                if words is None:
+                    kinds = (np.uint64, np.int64, np.int64, np.float32, np.int64)
+                    joined = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=k) for i, k in enumerate(kinds)]
+                    joined[0] = joined[0].view(np.uint64)
+                    _, order = np.unique(joined[0], return_index=True)  # a batch read in parts has its words twice
+                    words, parts = [x[order] for x in joined], []
+                rest = part.slice(n)
+                for ids, some in _groups([pa.RecordBatch.from_arrays([rest.column(6), rest.column(7)], ["doc_id", "text"])], 1 << 20):
+                    yield coded(words, ids, some)
+
+    return together.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, fixed double, classes binary, slots binary")
+
+
+def _features(classes: np.ndarray, slot: np.ndarray, bounds: np.ndarray, slots: int) -> np.ndarray:
+    """Feature rows of each token: the word before, the word two before, the pair of classes before."""
+    n = len(classes)
+    inside = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))  # position in its text
     features = np.empty((n, 3), dtype=np.int64)
     before = []
     for k in (1, 2):
         moved = np.concatenate((np.zeros(min(k, n), dtype=np.int64), slot[: max(0, n - k)]))
-        features[:, k - 1] = np.where(inside >= k, moved, SLOTS - 1) + (k - 1) * SLOTS
+        features[:, k - 1] = np.where(inside >= k, moved, slots - 1) + (k - 1) * slots
     for k in (1, 2):
         moved = np.concatenate((np.zeros(min(k, n), dtype=np.int64), classes[: max(0, n - k)]))
         before.append(np.where(inside >= k, moved, END))
-    features[:, 2] = 2 * SLOTS + before[0] * CLASSES + before[1]
-    return Batch(t, found, classes, features)
+    features[:, 2] = 2 * slots + before[0] * CLASSES + before[1]
+    return features
+
+
+def _read(part: pa.RecordBatch, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, classes, bounds) of the texts of a batch of coded rows, whose last columns are classes and slots."""
+    names = part.schema.names
+    classes, slot = (b"".join(part.column(names.index(c)).to_pylist()) for c in ("classes", "slots"))
+    classes = np.frombuffer(classes, dtype=np.uint8).astype(np.int64)
+    slot = np.frombuffer(slot, dtype=np.uint16 if slots <= 1 << 16 else np.uint32).astype(np.int64)
+    bounds = np.concatenate(([0], np.cumsum(part.column(names.index("n_tokens")).to_numpy())))
+    return _features(classes, slot, bounds, slots), classes, bounds
 
 
 def _softmax(w: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = w[features[:, 0]] + w[_BIAS]
+    z = w[features[:, 0]] + w[-1]
     for k in range(1, features.shape[1]):
         z += w[features[:, k]]
     z -= z.max(axis=1, keepdims=True)
@@ -327,10 +437,10 @@ def _softmax(w: np.ndarray, features: np.ndarray) -> np.ndarray:
 class Trainer:
     """Adagrad over minibatches of one partition."""
 
-    def __init__(self) -> None:
-        self.w = np.zeros((_ROWS, CLASSES), dtype=np.float32)
-        self.squares = np.full(_ROWS, 1e-4, dtype=np.float32)
-        self.seen = np.zeros(_ROWS, dtype=np.int64)
+    def __init__(self, rows: int) -> None:
+        self.w = np.zeros((rows, CLASSES), dtype=np.float32)
+        self.squares = np.full(rows, 1e-4, dtype=np.float32)
+        self.seen = np.zeros(rows, dtype=np.int64)
 
     def step(self, features: np.ndarray, classes: np.ndarray) -> None:
         g = _softmax(self.w, features)
@@ -342,30 +452,29 @@ class Trainer:
         cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         rows = ordered[cuts]
         sums = np.add.reduceat(g[order // width], cuts, axis=0)
-        rows, sums = np.append(rows, _BIAS), np.concatenate((sums, g.sum(axis=0, keepdims=True)))
+        rows, sums = np.append(rows, len(self.w) - 1), np.concatenate((sums, g.sum(axis=0, keepdims=True)))
         self.seen[rows] += np.diff(np.concatenate((cuts, [len(flat), len(flat) + len(classes)])))
         self.squares[rows] += (sums * sums).mean(axis=1)
         self.w[rows] -= RATE * sums / np.sqrt(self.squares[rows])[:, None] / np.sqrt(CLASSES / 8)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def train(coded: DataFrame, slots: int) -> np.ndarray:
+    n_rows = 2 * slots + CLASSES * CLASSES + 1  # the last is the bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer()
-        for ids, texts in _groups(batches, 2 << 20):
-            texts = [t for i, t in zip(ids, texts, strict=True) if not held_out(i)]
-            if texts:
-                b = _looked_up(shared.value, tokens(texts))
-                for at in range(0, len(b.classes), BATCH):
-                    trainer.step(b.features[at : at + BATCH], b.classes[at : at + BATCH])
+        trainer = Trainer(n_rows)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                features, classes, _ = _read(whole.slice(k, 1024), slots)
+                for at in range(0, len(classes), BATCH):
+                    trainer.step(features[at : at + BATCH], classes[at : at + BATCH])
         rows = np.flatnonzero(trainer.seen)
         for at in range(0, len(rows), 4096):
             some = rows[at : at + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(trainer.seen[some]), pa.array([w.tobytes() for w in trainer.w[some]], pa.binary())], ["row", "seen", "w"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen = np.zeros((_ROWS, CLASSES)), np.zeros(_ROWS)
+        sums, seen = np.zeros((n_rows, CLASSES)), np.zeros(n_rows)
         for batch in batches:
             rows, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
             w = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float32).reshape(-1, CLASSES)
@@ -376,78 +485,51 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
             mean = (sums[rows] / seen[rows, None]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([w.tobytes() for w in mean], pa.binary())], ["row", "w"])
 
-    parts = docs.mapInArrow(run, "row int, seen long, w binary").repartition("row").mapInArrow(average, "row int, w binary")
-    w = np.zeros((_ROWS, CLASSES), dtype=np.float32)
-    for r in parts.toLocalIterator():  # at most _ROWS rows
+    trained = coded.where("not held_out").select("n_tokens", "classes", "slots")
+    parts = trained.mapInArrow(run, "row int, seen long, w binary").repartition("row").mapInArrow(average, "row int, w binary")
+    w = np.zeros((n_rows, CLASSES), dtype=np.float32)
+    for r in parts.toLocalIterator():  # at most n_rows rows
         w[r["row"]] = np.frombuffer(r["w"], dtype=np.float32)
     return w
 
 
-def _spelt(v: Vocabulary, t: Tokens, which: np.ndarray) -> np.ndarray:
+def _spelt(spelling: Spelling, t: Tokens, which: np.ndarray) -> np.ndarray:
     """log10 P(bytes) of the chosen words."""
     codes, of = _byte_codes(t, which)
-    logs = v.spelling.logs(codes)
-    return np.bincount(of, weights=logs, minlength=len(which))
-
-
-def score_texts(v: Vocabulary, w: np.ndarray, texts: list[bytes]) -> tuple[Batch, np.ndarray]:
-    """(the texts' tokens, log10 P of each token)."""
-    b = _looked_up(v, tokens(texts))
-    logs = np.empty(len(b.classes))
-    for at in range(0, len(logs), BATCH):
-        own = b.classes[at : at + BATCH]
-        logs[at : at + BATCH] = np.log10(np.maximum(_softmax(w, b.features[at : at + BATCH])[np.arange(len(own)), own], 1e-12))
-    known = b.found >= 0
-    if len(v.hashes):
-        logs[known] += v.logp[b.found[known]]
-    rare = np.flatnonzero(~known & (b.tokens.hashes != END_HASH))
-    logs[rare] += _spelt(v, b.tokens, rare)
-    return b, logs
-
-
-def score(docs: DataFrame, v: Vocabulary, w: np.ndarray) -> DataFrame:
-    """(row, doc_id, held_out, n_tokens, n_known, logs, score, rare: hashes of words outside the vocabulary, times)."""
-    shared = docs.sparkSession.sparkContext.broadcast((v, w))
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "times"]
+    return np.bincount(of, weights=spelling.logs(codes), minlength=len(which))
+
+
+def score(coded: DataFrame, w: np.ndarray, slots: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, logs, score) of coded texts."""
+    shared = coded.sparkSession.sparkContext.broadcast(w)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                part = whole.slice(k, 1024)
+                features, classes, bounds = _read(part, slots)
+                logs = np.empty(len(classes))
+                for at in range(0, len(logs), BATCH):
+                    own = classes[at : at + BATCH]
+                    logs[at : at + BATCH] = np.log10(np.maximum(_softmax(shared.value, features[at : at + BATCH])[np.arange(len(own)), own], 1e-12))
+                sums = np.add.reduceat(logs, bounds[:-1]) + part.column(5).to_numpy()
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sums)], names)
 
-        v, w = shared.value
-        row = TaskContext.get().partitionId() << 40
-        log_count = np.log10(v.counts + 1.0)
-        for ids, texts in _groups(batches, 1 << 20):
-            b, logs = score_texts(v, w, texts)
-            starts = b.tokens.bounds[:-1]
-            known = b.found >= 0
-            base = np.where(known, log_count[b.found] if len(log_count) else 0.0, 0.0)
-            rare, times, ends = [], [], [0]
-            for a, z in zip(starts, b.tokens.bounds[1:], strict=True):
-                h, n = np.unique(b.tokens.hashes[a:z][~known[a:z]], return_counts=True)
-                rare.append(h)
-                times.append(n)
-                ends.append(ends[-1] + len(h))
-            offsets = pa.array(ends, pa.int32())
-            columns = [np.arange(row, row + len(ids)), None, None, np.diff(b.tokens.bounds), np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(logs, starts)]
-            row += len(ids)
-            arrays = [pa.array(ids, pa.int64()) if k == 1 else pa.array([held_out(i) for i in ids]) if k == 2 else pa.array(c) for k, c in enumerate(columns)]
-            arrays += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rare).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>, times array<int>")
+    return coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vocabulary, counts = build_vocabulary(materialize(count_tokens(plain)))
-    scored = materialize(score(plain, vocabulary, train(plain, vocabulary)))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("rare"), F.col("x.times").alias("times"))
-    # only words outside the broadcast vocabulary meet the full counts
-    exact = rare.join(counts, F.col("rare") == F.col("h")).groupBy(F.col("row").alias("_row")).agg(F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("more"), F.sum("times").alias("seen"))
-    total, distinct = F.lit(vocabulary.total).cast("long"), vocabulary.distinct
-    base = F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(vocabulary.total + distinct + 1)))
-    return scored.join(exact, F.col("row") == F.col("_row"), "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), total.alias("train_tokens"), base.alias("base_score"), "score")
+    texts = materialize(dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
+    counted = materialize(count_tokens(texts))
+    v = build_vocabulary(counted)
+    _let_go(docs.sparkSession, counted)
+    coded = materialize(code(texts, v))
+    _let_go(docs.sparkSession, texts, v.occurring)
+    scored = score(coded, train(coded, v.slots), v.slots)
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(v.total + v.distinct + 1)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

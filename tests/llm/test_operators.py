@@ -358,3 +358,20 @@ def test_pii_proposes_every_masked_address(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, rows)).collect()}
     assert all(got[i] == f"email:5:{len(rows[i]) - 6}" for i in range(5)) and got[5] == "email:8:26"
     assert all(got[i] == "" for i in range(36, 66))
+
+
+def test_language_model_keeps_every_counted_word(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "WORDS_A_ROW", 0.25)
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3000)]
+    df = frame(spark, [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(200)])
+    counted = language_model.count_tokens(language_model.dealt(df.select("doc_id", "text")))
+    v = language_model.build_vocabulary(counted)
+    words = {x["h"]: x for x in v.words.collect()}
+    seen = {x["h"]: x["c"] for x in v.occurring.collect()}
+    known = [x["slot"] for x in words.values() if x["class"] > language_model.END]
+    assert v.slots >= 4 * len(known) and len(set(known)) > len(known) / 2
+    c = collections.Counter(w for x in df.collect() if not zlib.crc32(str(x["doc_id"]).encode()) % 7 == 2 for w in x["text"].split())
+    assert len(seen) == len(c) + 1
+    for h, n in zip(language_model.word_hashes([" ".join(c).encode()])[0].view(np.int64), c.values(), strict=True):
+        assert seen[h] == n and (h in words and words[h]["class"] > language_model.END) == (n >= 2)
