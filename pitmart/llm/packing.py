@@ -12,6 +12,7 @@ their own; an empty table gives no rows; other columns are not read.  Spark's ow
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,14 +27,17 @@ from pitmart.llm.common import materialize, table
 
 LONGEST = 2048
 END = 1
-#: Chunks of text whose ids a worker keeps at most.
+#: Runs of text whose ids a worker keeps at most, and the bytes of text it looks up at once.
 CACHED = 900_000
-#: A special token of the tokenizer, and how many runs are encoded with it between.
+AT_ONCE = 1 << 23
+#: A special token of the tokenizer, and how many runs are encoded at once.
 BETWEEN = "<|endoftext|>"
-TOGETHER = 200
-MARKS = ".,;:!?*#$%&"
-#: Shares that the rows of one length are dealt to.
+TOGETHER = 1_000
+#: Marks that stand for themselves: beside them and beside digits a text can be cut without changing its ids.
+MARKS = ".,;:!?*#$%&()[]{}\"/\\+=-_@^~`"
+#: Shares that the rows of one length are dealt to, at least, and pieces of the commonest length for a share.
 SALTS = 64
+SHARE = 500_000
 _CACHES: dict[str, "_Ids"] = {}
 
 
@@ -43,55 +47,100 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _kinds() -> np.ndarray:
+    """Per byte: 1 blank and newline, 2 ASCII letter, 3 ASCII digit, 4 mark, 0 any other."""
+    kinds = np.zeros(256, dtype=np.uint8)
+    for kind, members in ((1, " \n"), (2, string.ascii_letters), (3, string.digits), (4, MARKS)):
+        kinds[np.frombuffer(members.encode(), dtype=np.uint8)] = kind
+    return kinds
+
+
+_KIND = _kinds()
+#: [kind of a byte, kind of the next]: whether a text is cut between them.
+_CUT = np.zeros((5, 5), dtype=bool)
+_CUT[2, 4] = _CUT[4, 2] = True
+_CUT[3, 2:] = _CUT[2:, 3] = True
+
+
+def runs_of(raw: bytes, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(the runs of all texts, the first run of each text and the end) of texts joined by blanks, which begin at `bounds`.
+
+    Runs are cut at blanks and newlines, between ASCII or Latin-1 letters and marks, and on both sides of a digit.  At
+    each of these places the tokenizer's own split ends a token, normal forms join nothing, and nothing looks back."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    kind = _KIND[b]
+    lead = np.flatnonzero(b == 0xC3)
+    lead = lead[(b[lead + 1] != 0x97) & (b[lead + 1] != 0xB7)]  # all but the signs for times and divided by
+    kind[lead] = kind[lead + 1] = 2
+    inside = kind != 1
+    first = inside & np.concatenate(([True], (kind[:-1] == 1) | _CUT[kind[:-1], kind[1:]]))
+    count = np.cumsum(inside, dtype=np.int32)
+    at = np.flatnonzero(first)
+    offsets = np.concatenate((count[at] - 1, count[-1:])).astype(np.int32) if len(at) else np.zeros(1, dtype=np.int32)
+    runs = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(b[inside]))
+    return runs, np.searchsorted(at, bounds)
+
+
+def _one_word(run: str) -> bool:
+    """Letters below U+0250 whose lower case is letters too: one token of the tokenizer's split."""
+    return run.isalpha() and max(run) < "\u0250" and "\u0130" not in run
+
+
 class _Ids(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of runs without blank and newline.  The tokenizer never joins
-    across white space, so the ids of a text are those of its runs one after another."""
+    """Ids, as little-endian unsigned 32-bit bytes, of runs; the ids of a text are those of its runs one after another."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(BETWEEN)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _encoded(self, lots: list[list[str]], between: str) -> Iterator[np.ndarray]:
+        for x in self.tokenizer.encode_batch_fast([between.join(lot) for lot in lots], add_special_tokens=False):
+            yield np.asarray(x.ids, dtype="<u4")
 
     def learn(self, runs: list[str]) -> None:
-        """Runs are encoded TOGETHER at once, with a special token between, which no run holds."""
-        plain = [r for r in runs if "<|" not in r]
-        lots = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)] + [[r] for r in runs if "<|" in r]
-        for lot, x in zip(lots, self.tokenizer.encode_batch_fast([BETWEEN.join(lot) for lot in lots], add_special_tokens=False), strict=True):
-            ids = np.asarray(x.ids, dtype="<u4")
+        """Words are encoded TOGETHER with blanks between, each up to an id that ends a word; other runs with a special
+        token between, which no run holds."""
+        words, rest, alone = [], [], []
+        for r in runs:
+            (words if _one_word(r) else alone if "<|" in r else rest).append(r)
+        lots = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for lot, ids in zip(lots, self._encoded(lots, " "), strict=True):
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(lot):
+                raw = ids.tobytes()
+                self.update(zip(lot, map(raw.__getitem__, map(slice, [0, *(4 * (last[:-1] + 1)).tolist()], (4 * (last + 1)).tolist())), strict=True))
+            else:
+                rest += lot
+        lots = [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)] + [[r] for r in alone]
+        for lot, ids in zip(lots, self._encoded(lots, BETWEEN), strict=True):
             cuts = np.flatnonzero(ids == self.between) if len(lot) > 1 else ids[:0]
             raw = ids.tobytes()
-            for run, start, end in zip(lot, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self[run] = raw[start:end]
-
-    def _add(self, new: set[str]) -> None:
-        """A letter and the marks that follow it are never one token, so a run of letters and marks is put together."""
-        sought, joint = set(), []
-        for run in new:
-            stem = run.rstrip(MARKS)
-            if stem and len(stem) < len(run) and stem[-1].isalpha():
-                joint.append((run, stem, run[len(stem) :]))
-                sought.add(stem)
-                sought.add(run[len(stem) :])
-            else:
-                sought.add(run)
-        self.learn(list(filterfalse(self.__contains__, sought)))
-        for run, stem, marks in joint:
-            self[run] = self[stem] + self[marks]
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = [_lower(t).replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for runs in split:
-            new.update(filterfalse(self.__contains__, runs))
-        if len(self) + len(new) > CACHED:
+            self.update(zip(lot, map(raw.__getitem__, map(slice, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)])), strict=True))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with END behind, where each text begins and the last ends)."""
+        raws = [_lower(t).encode() for t in texts]
+        bounds = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raws])))
+        runs, firsts = runs_of(b" ".join(raws) + b" ", bounds)
+        coded = runs.dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self) + len(known) > CACHED:
             self.clear()
-            new = set().union(*split)
-        if new:
-            self._add(new)
-        end = np.asarray([END], dtype="<u4").tobytes()
-        for runs in split:
-            yield b"".join(map(self.__getitem__, runs)) + end
+        if new := list(filterfalse(self.__contains__, known)):
+            self.learn(new)
+        found = [*map(self.__getitem__, known), np.asarray([END], dtype="<u4").tobytes()]
+        pool = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), firsts[1:], len(known))
+        taken = sizes[order]
+        ends = np.cumsum(taken)
+        out = pool[np.repeat(starts[order] - (ends - taken), taken) + np.arange(ends[-1])]
+        return out, np.concatenate(([0], ends[firsts[1:] + np.arange(len(texts))]))
 
 
 def _lower(text: str) -> str:
@@ -114,15 +163,19 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, longest: int
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = _CACHES.get(path) or _CACHES.setdefault(path, _Ids(path))
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            keys, texts = whole.column(0).to_pylist(), [t or "" for t in whole.column(1).to_pylist()]
+            ends = np.cumsum([len(t) for t in texts]) // AT_ONCE
+            for lot in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+                if not len(lot):
+                    continue
+                ids, bounds = cache.ids(texts[lot[0] : lot[-1] + 1])
+                raw = memoryview(ids.tobytes())
                 rows: list[tuple] = []
-                for key, ids in zip(keys, cache.ids(texts), strict=True):
-                    n = len(ids) // 4
-                    for start in range(0, n, longest):
-                        piece = ids[4 * start : 4 * (start + longest)]
-                        rows.append((key, start, len(piece) // 4, zlib.crc32(piece), n, piece)[: 6 if with_ids else 5])
+                for key, a, z in zip(keys[lot[0] : lot[-1] + 1], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    for start in range(a, z, longest):
+                        end = min(start + longest, z)
+                        piece = raw[4 * start : 4 * end]
+                        rows.append((key, start - a, end - start, zlib.crc32(piece), z - a, *([bytes(piece)] if with_ids else [])))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(kinds)])
@@ -165,12 +218,13 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {k: np.asarray(v, dtype=np.int64) for k, v in zip(("length", "rank", "sequence", "offset"), zip(*rows, strict=True) if rows else [()] * 4, strict=True)}
 
 
-def pack(pieces: DataFrame, longest: int = LONGEST, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, longest: int = LONGEST) -> DataFrame:
     """pieces, which are read three times, with sequence_id and offset."""
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `longest` rows
+    salts = max(SALTS, max(histogram.values(), default=0) // SHARE)
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts))
     salted = pieces.withColumn("_salt", salt)
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `longest` rows
     place = slots(shortest_pack_first(histogram, longest))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(F.col("length").alias("_length"), F.col("_salt").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))

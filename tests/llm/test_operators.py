@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -218,6 +219,19 @@ def test_quality_counts(spark, docs, rows, empty):
     assert quality.judge(empty, None).count() == 0
 
 
+def test_ids_of_texts_are_the_tokenizers_own():
+    """Each letter of Unicode with marks, digits and contractions around it, and random mixtures."""
+    known = packing._Ids(packing.default_tokenizer())
+    letters = [c for c in map(chr, range(0x3400)) if unicodedata.category(c)[0] in "LMN"]
+    rows = [w for c in letters for w in (c + ".", c + "#%", "a" + c + "!?", "(" + c + "x", c + "'s1")]
+    r = random.Random(1)
+    pieces = list("abzAZ019.,;:!?*#$%&()[]{}\"/\\+=-_@^~`' '<|>\n\t ") + ["'s", "'re", "<|endoftext|>", "\u00e9", "\u00d7", "\u0130", "\u0301", "\u0338", "\u0958", "\u4e2d", "\xa0", "\u00bd", "\u03a3"]
+    rows += ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    ids, bounds = known.ids(rows)
+    wanted = known.tokenizer.encode_batch_fast(rows, add_special_tokens=False)
+    assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:], strict=True)] == [[*x.ids, 1] for x in wanted]
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
