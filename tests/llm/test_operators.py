@@ -182,11 +182,19 @@ def test_fingerprints(docs, rows, empty, spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1
 
 
-@pytest.mark.parametrize(("length", "q"), [(40, 12), (100, 30)])
-def test_repeats(spark, docs, rows, empty, length, q):
-    more = [*rows, "ab" * 300, rows[4], (rows[6] or "")[:150] + "zz" + (rows[8] or "")[50:260]]
+@pytest.mark.parametrize(("length", "window", "q"), [(40, 30, 12), (100, 100, 30), (100, 70, 30)])
+def test_repeats(spark, docs, rows, empty, length, window, q):
+    more = [*rows, "ab" * 300, rows[4], (rows[6] or "")[:150] + "zz" + (rows[8] or "")[50:260], "no such text as this one stands anywhere else in the whole table of documents, " * 2]
+    more += [f"<{i}> " + (rows[9] or "")[20 : 20 + window] + f" <{i}{i}{i}>" for i in range(40)]
+    wide = length - (window - q)
+
+    def standing(width):
+        found = collections.Counter(t[k : k + width] for t in ((x or "").encode() for x in more) for k in range(len(t) - width + 1))
+        return lambda t: any(found[t[k : k + width]] > 1 for k in range(len(t) - width + 1))
+
+    long, short = standing(window), standing(min(wide, window - wide + q))
     count = collections.Counter(t[k : k + length] for t in ((x or "").encode() for x in more) for k in range(len(t) - length + 1))
-    got = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, more), length, q).collect()}
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(frame(spark, more), length, window, q).collect()}
     for i, t in enumerate((x or "").encode() for x in more):
         gone = np.zeros(len(t), dtype=bool)
         for k in range(len(t) - length + 1):
@@ -195,6 +203,9 @@ def test_repeats(spark, docs, rows, empty, length, q):
         left = bytes(np.frombuffer(t, dtype=np.uint8)[~gone])
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(t), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
+        assert not long(t) or got[i]["n_anchors"] > 0
+        assert short(t) or got[i]["n_anchors"] == 0
+        assert got[i]["kept_text"] == (left if gone.any() else None)
     assert repeats.remove_repeats(empty).count() == 0
 
 
