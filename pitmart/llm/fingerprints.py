@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitmart.llm.common import materialize, table, text_or_empty
+from pitmart.llm.common import materialize, table, text_or_empty, tidy
 
 BUCKETS = 256
 #: Score from which two digests have nothing in common.
@@ -82,6 +82,7 @@ def _with_next(ids: list, texts: list[str], following: list[str]) -> list[list]:
     return [ids, [len(t) for t in texts], [hashlib.sha256(t).hexdigest() for t in raw], encode(*own), encode(*new), likeness(own, new).tolist(), likeness(own, after).tolist()]
 
 
+@tidy
 def neighbours(docs: DataFrame) -> DataFrame:
     """Digests of each text and of its edited text, compared with each other and the next document's.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitmart.llm.common import discard, materialize, table, uniform
+from pitmart.llm.common import discard, materialize, table, tidy, uniform
 from pitmart.llm.shingles import word_hashes
 
 LEAST = 2  # occurrences from which a word has a class; words seen once stand for the unseen
@@ -519,6 +519,7 @@ def score(coded: DataFrame, w: np.ndarray, slots: int) -> DataFrame:
     return coded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
 
 
+@tidy
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text)."""
     texts = materialize(dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))

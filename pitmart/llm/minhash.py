@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitmart.llm.common import materialize, table
+from pitmart.llm.common import materialize, table, tidy
 from pitmart.llm.components import components
 from pitmart.llm.shingles import mix, shingle_sets
 
@@ -173,6 +173,7 @@ def across_components(nodes: DataFrame, texts: DataFrame, percent: int = PERCENT
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+@tidy
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
     most = most_differing_bits(percent)
@@ -220,14 +221,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of docs, with all its columns, for each component of near-duplicates."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.count("*").alias("n")).where("n > 1").select("_gone"))
+    """One row of docs, with all its columns as they are, for each component of near-duplicates: of rows under one doc_id
+    that with the least text, a null text last, and of those the least by the hash of all columns."""
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.withColumn("id", F.col("row")["doc_id"].cast("long"))
+    left = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    repeated = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("gone")).agg(F.count("*").alias("n")).where("n > 1").select("gone"))
     if repeated.isEmpty():
-        return left
-    alone = left.join(repeated, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return alone.unionByName(left.join(repeated, F.col("doc_id") == F.col("_gone"), "left_semi").dropDuplicates(["doc_id"]))
+        return left.select("row.*")
+    order = F.struct(F.col("row")["text"].isNull(), F.col("row")["text"], F.xxhash64(*(F.col("row")[c] for c in docs.columns)))
+    least = left.join(repeated, F.col("id") == F.col("gone"), "left_semi").groupBy("id").agg(F.min_by("row", order).alias("row")).select("row")
+    return left.join(repeated, F.col("id") == F.col("gone"), "left_anti").select("row").unionByName(least).select("row.*")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitmart.llm.common import materialize, n_words, table, uniform
+from pitmart.llm.common import materialize, n_words, table, tidy, uniform
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -107,6 +107,7 @@ def pivotal_round(units: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFr
     return whole
 
 
+@tidy
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row of docs (doc_id, text, source)."""
     sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitmart.llm.common import materialize, table
+from pitmart.llm.common import materialize, table, tidy
 
 LONGEST = 2048
 END = 1
@@ -247,6 +247,7 @@ def pack(pieces: DataFrame, longest: int = LONGEST) -> DataFrame:
     return ranked.mapInArrow(put, ranked.schema)
 
 
+@tidy
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = materialize(tokenize_pieces(table(spark, sf_dir, "documents")))
     return pack(pieces)

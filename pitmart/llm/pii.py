@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitmart.llm.common import materialize, table
+from pitmart.llm.common import materialize, table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Probability from which a candidate is added.
@@ -231,12 +231,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
             yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
 
 
+#: Shapes of access keys, and names before a value that holds a digit.
+SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?\"?(?=[^\s\"]*[0-9])[^\s\"]{8,}\"?", re.IGNORECASE)
+_HINT = re.compile(r"AKIA|[=:]")
+
+
+def secrets(text: str) -> list[tuple[int, int]]:
+    """Spans of access keys and of assigned passwords and tokens.  They are no kind of the labelers: a fixed rule."""
+    return [m.span() for m in SECRET.finditer(text)] if _HINT.search(text) else []
+
+
 _FOUND = "array<struct<kind:int,start:int,end:int,pattern:int>>"
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32())])
 
 
 def propose(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, found): base spans (pattern -1) and candidates of each document."""
+    """(doc_id, base, found, n_secrets): base spans (pattern -1) and candidates of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("kind", "start", "end", "pattern")
@@ -244,9 +254,9 @@ def propose(docs: DataFrame) -> DataFrame:
             both = [candidates(t) for t in texts]
             base = [[dict(zip(names, (*s, -1), strict=True)) for s in b] for b, _ in both]
             found = [[dict(zip(names, s, strict=True)) for s in f] for _, f in both]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_SPAN))], ["doc_id", "base", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base, pa.list_(_SPAN)), pa.array(found, pa.list_(_SPAN)), pa.array([len(secrets(t)) for t in texts], pa.int64())], ["doc_id", "base", "found", "n_secrets"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, base {_FOUND}, found {_FOUND}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, base {_FOUND}, found {_FOUND}, n_secrets long")
 
 
 def accepted_patterns(proposed: DataFrame, accept: float = ACCEPT) -> dict[int, float]:
@@ -255,7 +265,7 @@ def accepted_patterns(proposed: DataFrame, accept: float = ACCEPT) -> dict[int,
 
 
 def spans_of(proposed: DataFrame, accepted: dict[int, float]) -> DataFrame:
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secrets long, n_found long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = lambda x: (x["kind"], x["start"], x["end"], x["pattern"])
@@ -264,21 +274,23 @@ def spans_of(proposed: DataFrame, accepted: dict[int, float]) -> DataFrame:
             for r in batch.to_pylist():
                 base = [plain(x)[:3] for x in r["base"]]
                 spans = chosen(base, [plain(x) for x in r["found"]], accepted)
-                rows.append((r["doc_id"], *(sum(s[0] == k for s in base) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
+                rows.append((r["doc_id"], *(sum(s[0] == k for s in base) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), r["n_secrets"], len(spans) + r["n_secrets"]))
+            columns = list(zip(*rows, strict=True)) or [()] * 10
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
     return proposed.mapInArrow(run, schema)
 
 
+@tidy
 def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     proposed = materialize(propose(docs))
     return spans_of(proposed, accepted_patterns(proposed, accept))
 
 
 def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """docs with every span of their text replaced by <KIND>; a null text stays null, all columns stay."""
+    """docs with every span of their text replaced by <KIND>, secrets by <SECRET>; a null text stays null, all columns
+    stay."""
     accepted = accepted_patterns(propose(docs), accept)
     at, schema = docs.columns.index("text"), docs.schema
 
@@ -286,9 +298,10 @@ def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
         if not text:
             return text
         out, end = [], 0
-        for k, s, e in sorted(chosen(*candidates(text), accepted), key=lambda x: (x[1], x[2])):
+        spans = [(s, e, KINDS[k].upper()) for k, s, e in chosen(*candidates(text), accepted)] + [(s, e, "SECRET") for s, e in secrets(text)]
+        for s, e, kind in sorted(spans):
             if s >= end:
-                out += [text[end:s], f"<{KINDS[k].upper()}>"]
+                out += [text[end:s], f"<{kind}>"]
             end = max(end, e)
         return "".join([*out, text[end:]])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitmart.llm.common import discard, materialize, table, text_or_empty
+from pitmart.llm.common import discard, materialize, table, text_or_empty, tidy
 from pitmart.llm.shingles import content_sums, mix
 
 LENGTH = 400
@@ -204,6 +204,7 @@ def _shared(rows: DataFrame, by: list[str], flag: str) -> DataFrame:
     return rows.join(twice, on, "left").withColumn(flag, F.col(f"_{by[0]}").isNotNull()).drop(*(f"_{c}" for c in by))
 
 
+@tidy
 def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, q: int = Q, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_anchors, kept_text: null where nothing is removed) for each
     row; q < window <= length."""
@@ -250,17 +251,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     made = distinct.select("tkey", "copies", F.size("cores").cast("long").alias("_cores")).join(cut, "tkey", "left").join(anchors, "tkey", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     out = whole.select("doc_id", "tkey", "n_bytes").join(made, "tkey")
-    result = materialize(out.select(
+    return out.select(
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("tkey")))).alias("kept_sha256"),
         F.when(F.col("copies") > 1, F.col("_cores")).otherwise(F.coalesce("_anchors", F.lit(0))).cast("long").alias("n_anchors"),
         *([F.when(gone, F.lit("").cast("binary")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []),
-    ))
-    for used in (whole, distinct, texts, rows, pointed, runs, singles):
-        discard(used)
-    return result
+    )
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
