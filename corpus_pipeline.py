@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before it ke
 documents, the last one the packed pieces.  Rows that the quality rules reject are gone; one document of each group of
 near-duplicates stays; personal data are replaced by their kind; a document is repeated as often as the mix takes it,
 and documents that it takes zero times are gone.
+
+Defined results: a null or empty text has no words and goes in the first stage; rows with a null doc_id are documents of
+their own and stay; of rows under one doc_id that with the least text stays; ties in the mix are dealt by hash, the same
+in every run; repeated rows in the mix have one count; an empty table gives no rows; other columns, whatever their names,
+go through all stages but the last, which reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitmart.llm import minhash, mixing, packing, pii, quality
-from pitmart.llm.common import materialize, n_words, table
+from pitmart.llm.common import discard, materialize, n_words, table
 
 #: Percent of common word shingles from which documents are near-duplicates.
 NEAR = 80
@@ -32,11 +37,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = ["doc_id", "source", "size"]  # rows that agree in them, nulls too, have one count
-    taken = mixing.mix(docs).where("copies > 0").groupBy(keys).agg(F.max("copies").cast("int").alias("copies"))
-    taken = materialize(taken.select(*(F.col(c).alias(f"_{c}") for c in [*keys, "copies"])))
-    own = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source"), "size": n_words("text")}
-    same = own["doc_id"].eqNullSafe(F.col("_doc_id")) & own["source"].eqNullSafe(F.col("_source")) & (own["size"] == F.col("_size"))
-    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    taken = mixing.mix(docs).where("copies > 0").groupBy(keys).agg(F.max("copies").cast("int").alias("copies")).withColumnsRenamed({c: f"t_{c}" for c in keys})
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words("text").alias("size"))
+    same = F.col("doc_id").eqNullSafe(F.col("t_doc_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size"))
+    return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, each result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        if done is not None:
+            discard(done)
+        done = docs
     return docs
