@@ -1,44 +1,35 @@
 """License scans in DataFrame functions only.
 
-Texts are cut into shingles of five words, A-Z lower-cased.  Windows of WINDOW shingles, one every STRIDE, get BANDS band
-keys of one MinHash sample each; templates get the keys of all their windows, at every offset, so a verbatim run of
-WINDOW + STRIDE - 1 shingles has a window with equal keys for certain, and a window that agrees with a template's in the
-share J of its shingles is retrieved with probability 1 - (1 - J)^BANDS.  Templates shorter than that are windows of
-single shingles, whose MinHash is the shingle itself.  Retrieved templates are verified by exact containment: of the
-template's shingles at least CONTAINED must stand in the text.  Template keys are constants of the plan, so a text is
-never shuffled; the templates are expected to be a bounded list (at most MOST).
+Texts are cut into shingles of five words, A-Z lower-cased, and shingles into overlapping windows of each of SIZES
+shingles, one every so many.  A window has band keys of one MinHash sample each: the least and the greatest of its hashes
+in each of two hash orders (a window of one shingle, whose samples are all the shingle itself, has one).  A template
+takes the largest windows of which a verbatim run of the template's length holds one at every offset, and has the keys
+of all of them.  So every template is retrieved by its bands: a text that holds it verbatim for certain, a window that
+agrees with a template's in the share J of its shingles with probability 1 - (1 - J)^BANDS; and one window out of all
+will do.  Retrieved templates are verified by exact containment: of the template's shingles at least CONTAINED must stand
+in the text.  The templates are a list that the caller has in hand and constants of the plan; a text is never shuffled.
 
 Defined results: null, empty and short texts match nothing; templates of fewer than five words are refused; a template
-matches a text once, however often it stands there; repeated rows match alike; an empty table gives no rows.
+matches a text once, however often it stands there; repeated rows match alike; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitmart.llm.common import LOWER, UPPER, WORD, table, text_or_empty
+from pitmart.llm.license_texts import NOTICES, TEXTS
 
 WIDTH = 5
-WINDOW, STRIDE = 8, 4
+#: Shingles in a window -> windows begin at every so manieth shingle.
+SIZES = {1: 1, 4: 2, 8: 4}
 BANDS = 4
 CONTAINED = 0.8
-MOST = 2_000
-
-#: Short public license notices.
-NOTICES = {
-    "mit": "Released under the MIT License.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-}
 
 
 def lowered_words(text: Column) -> Column:
@@ -58,57 +49,57 @@ def shingles(words: Column) -> Column:
     return F.coalesce(_runs(words, lambda i: F.array_join(F.slice(words, i + 1, F.lit(WIDTH)), " ")), F.array().cast("array<string>"))
 
 
-def band_keys(hashes: Column, again: Column, stride: int) -> Column:
-    """Keys of all windows of WINDOW hashes, one every `stride`: the least and the greatest hash of a window, in each of
-    two hash orders, are its BANDS MinHash samples.  again: second_order(hashes), a column of its own."""
-    n = F.size(hashes) - WINDOW
+def band_keys(size: int, stride: int) -> Column:
+    """Keys of all windows of `size` hashes h, one every `stride`; h2: the hashes in a second order."""
+    h, again, n = F.col("h"), F.col("h2"), F.size("h") - size
+    if size == 1 == stride:
+        return F.transform(h, lambda x: F.xxhash64(F.lit(size), x))
 
     def keys(i: Column) -> Column:
-        one, two = F.slice(hashes, i + 1, F.lit(WINDOW)), F.slice(again, i + 1, F.lit(WINDOW))
-        return F.array(*(F.xxhash64(F.lit(b), sample) for b, sample in enumerate((F.array_min(one), F.array_max(one), F.array_min(two), F.array_max(two)))))
+        one, two = F.slice(h, i + 1, F.lit(size)), F.slice(again, i + 1, F.lit(size))
+        return F.array(*(F.xxhash64(F.lit(size * BANDS + b), x) for b, x in enumerate((F.array_min(one), F.array_max(one), F.array_min(two), F.array_max(two)))))
 
     return F.when(n >= 0, F.flatten(F.transform(F.sequence(F.lit(0), n, F.lit(stride)), keys))).otherwise(F.array().cast("array<bigint>"))
 
 
-def second_order(hashes: Column) -> Column:
-    return F.transform(hashes, lambda x: F.xxhash64(x))
+def _shingled(texts: DataFrame) -> DataFrame:
+    """texts (.., text) with words, h and h2."""
+    return texts.withColumn("words", lowered_words(text_or_empty("text"))).withColumn("h", shingle_hashes(F.col("words"))).withColumn("h2", F.transform("h", lambda x: F.xxhash64(x)))
+
+
+def window_of(n_shingles: int) -> int:
+    """The largest window of which a run of so many shingles holds one wherever the windows begin."""
+    return max(size for size, stride in SIZES.items() if size + stride - 1 <= max(n_shingles, 1))
 
 
 def _constant(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
-    """(doc_id, template_id, n_shingles, n_found, containment) for each text and template it holds."""
-    templates = NOTICES if templates is None else dict(templates)
-    if len(templates) > MOST:
-        raise ValueError(f"{len(templates)} templates; at most {MOST}")
-    rows = docs.sparkSession.createDataFrame(sorted(templates.items()), "template_id string, text string").withColumn("w", lowered_words(F.col("text")))
-    rows = rows.withColumn("h", shingle_hashes(F.col("w"))).withColumn("h2", second_order(F.col("h")))
-    known = rows.select("template_id", F.array_distinct(shingles(F.col("w"))).alias("s"), F.array_distinct("h").alias("h"), F.array_distinct(band_keys(F.col("h"), F.col("h2"), 1)).alias("k")).collect()
+def retrieve(docs: DataFrame, templates: Mapping[str, str]) -> DataFrame:
+    """(doc_id, template_id, s: the template's distinct shingles, own: the text's words) for each text and template of
+    which a window has a common band key."""
+    known = _shingled(docs.sparkSession.createDataFrame(sorted(templates.items()), "template_id string, text string"))
+    known = known.select("template_id", F.array_distinct(shingles(F.col("words"))).alias("s"), F.size("h").alias("n"), *(F.array_distinct(band_keys(size, 1)).alias(f"k{size}") for size in SIZES)).collect()
     if short := [r["template_id"] for r in known if not r["s"]]:
         raise ValueError(f"templates of fewer than {WIDTH} words: {short}")
-    long = [r for r in known if len(r["h"]) >= WINDOW + STRIDE - 1]
-    brief = [r for r in known if len(r["h"]) < WINDOW + STRIDE - 1]
-    keys = {r["template_id"]: sorted(r["k"] if r in long else r["h"]) for r in known}
-
-    found = docs.select("doc_id", lowered_words(text_or_empty("text")).alias("words")).withColumn("hashes", shingle_hashes(F.col("words")))
-    if long:
-        found = found.withColumn("again", second_order(F.col("hashes")))
-    singles = F.array_intersect("hashes", _constant(sorted({x for r in brief for x in keys[r["template_id"]]})))
-    banded = F.array_intersect(band_keys(F.col("hashes"), F.col("again"), STRIDE), _constant(sorted({x for r in long for x in keys[r["template_id"]]})))
-    found = found.withColumn("keys", F.concat(singles, banded) if long else singles)
+    sizes = sorted({window_of(r["n"]) for r in known})
+    chosen = [{"template_id": r["template_id"], "s": r["s"], "k": r[f"k{window_of(r['n'])}"]} for r in known]
+    every = _constant(sorted({k for t in chosen for k in t["k"]}))
+    table_of = F.from_json(F.lit(json.dumps(chosen)), "array<struct<template_id:string,s:array<string>,k:array<bigint>>>")
+    found = _shingled(docs.select("doc_id", "text")).withColumn("keys", F.concat(*(F.array_intersect(band_keys(size, SIZES[size]), every) for size in sizes)))
     # a row number in the filter holds it above the projection, whose parts would be computed anew below it
-    found = found.withColumn("_row", F.monotonically_increasing_id()).where("size(keys) > 0 and _row >= 0").withColumn("own", shingles(F.col("words")))
-    tests = [
-        F.when(
-            F.arrays_overlap("keys", _constant(keys[r["template_id"]])),
-            F.struct(F.lit(r["template_id"]).alias("template_id"), F.lit(len(r["s"])).cast("long").alias("n_shingles"), F.size(F.array_intersect("own", F.split(F.lit("\n".join(r["s"])), "\n"))).cast("long").alias("n_found")),
-        )
-        for r in known
-    ]
-    hits = found.select("doc_id", F.explode(F.array_compact(F.array(*tests))).alias("t")).select("doc_id", "t.*")
-    return hits.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= contained)
+    found = found.withColumn("number", F.monotonically_increasing_id()).where("size(keys) > 0 and number >= 0")
+    hits = found.select("doc_id", "words", F.explode(F.filter(table_of, lambda t: F.arrays_overlap(t["k"], F.col("keys")))).alias("t"))
+    return hits.select("doc_id", "t.template_id", "t.s", "words")
+
+
+def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, contained: float = CONTAINED) -> DataFrame:
+    """(doc_id, template_id, n_shingles, n_found, containment) for each text and template it holds."""
+    found = retrieve(docs, NOTICES | TEXTS if templates is None else templates)
+    both = F.size(F.array_intersect(shingles(F.col("words")), F.col("s"))).cast("long")
+    out = found.select("doc_id", "template_id", F.size("s").cast("long").alias("n_shingles"), both.alias("n_found"))
+    return out.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= contained)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +111,7 @@ def _quoted(text: str) -> str:
 
 
 ORACLE_SQL = f"""
-WITH templates(template_id, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in NOTICES.items())}),
+WITH templates(template_id, text) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in (NOTICES | TEXTS).items())}),
 w AS (
   SELECT 't' AS kind, template_id AS key, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM templates
   UNION ALL

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitmart.llm import chat, fingerprints, language_model, licenses, minhash, mixing, packing, pii, quality, repeats
+from pitmart.llm import chat, fingerprints, language_model, license_texts, licenses, minhash, mixing, packing, pii, quality, repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, a string, size long, kept string, p double"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -110,14 +110,41 @@ def test_copies_with_many_edits_stay_apart_and_links_across_components_are_found
 
 def test_licenses(spark, docs, rows, empty):
     assert licenses.scan(docs).count() == 0
-    long = licenses.NOTICES["mit-grant"]
-    got = licenses.scan(frame(spark, [rows[0] + "\n" + long + " " + rows[1], licenses.NOTICES["mit"].upper(), long.replace("granted", "given"), long[:60], None]))
-    assert sorted((r["doc_id"], r["template_id"], r["n_found"]) for r in got.collect()) == [(0, "mit-grant", 48), (1, "mit", 1), (2, "mit-grant", 43)] or sorted((r["doc_id"], r["template_id"]) for r in got.collect()) == [(0, "mit-grant"), (1, "mit"), (2, "mit-grant")]
+    long = license_texts.NOTICES["mit-grant"]
+    got = licenses.scan(frame(spark, [rows[0] + "\n" + long + " " + rows[1], license_texts.NOTICES["mit"].upper(), long.replace("granted", "given"), long[:60], None]))
+    assert sorted((r["doc_id"], r["template_id"], r["n_found"]) for r in got.collect()) == [(0, "mit-grant", 44), (1, "mit", 1), (2, "mit-grant", 40)]
     assert licenses.scan(empty).count() == 0
     with pytest.raises(ValueError, match="fewer"):
         licenses.scan(docs, {"x": "too short"})
 
 
+def test_every_license_is_found_by_its_bands_and_edited_copies_too(spark):
+    """Whole texts at each offset for certain; copies with words changed, dropped and added with a recall of 0.9 at least,
+    for windows of every size."""
+    r = random.Random(8)
+    every = license_texts.NOTICES | license_texts.TEXTS
+    shingled = {k: set(zip(*(t.translate(LOW).split()[j:] for j in range(5)))) for k, t in every.items()}
+    assert {licenses.window_of(len(s)) for s in shingled.values()} == set(licenses.SIZES)
+    rows, wanted = [], {}
+    for k, t in every.items():
+        for copy in range(24):
+            words = t.split()
+            for _ in range(0 if copy < 8 else r.randint(1, max(1, len(words) // 40))):
+                at = r.randrange(len(words))
+                words[at : at + 1] = r.choice([[], ["other"], [words[at], "more"]])
+            own = " ".join(f"w{r.randrange(10**6)}" for _ in range(copy)) + " " + " ".join(words) + " the end"
+            found = set(zip(*(own.translate(LOW).split()[j:] for j in range(5))))
+            if len(found & shingled[k]) >= licenses.CONTAINED * len(shingled[k]):
+                wanted[len(rows), k] = copy >= 8
+            rows.append(own)
+    got = {(x["doc_id"], x["template_id"]) for x in licenses.scan(frame(spark, rows)).collect()}
+    assert all(x in got for x, edited in wanted.items() if not edited)
+    edited = [x for x, edited in wanted.items() if edited]
+    assert len(edited) > 150 and sum(x in got for x in edited) >= 0.9 * len(edited)
+    retrieved = {(x["doc_id"], x["template_id"]) for x in licenses.retrieve(frame(spark, rows), every).select("doc_id", "template_id").collect()}
+    assert got <= retrieved
+
+
 def test_language_model(docs, rows, empty):
     got = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
     tokens = [WORD.findall((t or "").translate(LOW)) + [None] for t in rows]
@@ -284,20 +311,53 @@ def test_shortest_pack_first():
 def test_tool_calls(spark):
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "user", 'hi "you"'), (1, 2, "assistant", "hello"), (1, 3, "user", ""), (1, 4, "assistant", "?"), (1, 5, "user", "bye"),
-        (2, 0, "assistant", "unasked"), (3, 0, "assistant", '{"id":"c1","name":"sum","arguments":{"x":"3","y":"no"},"after":"c0"}'), (3, 1, "tool", '{"id":"c1","content":"7"}'), (4, 0, "user", None), (None, 1, "user", "lost"),
+        (2, 0, "assistant", "unasked"), (3, 0, "assistant", '{"id":"c1","name":"sum","arguments":{"x":3,"y":"3"},"after":"c0"}'), (3, 1, "tool", '{"id":"c1","content":"7"}'), (4, 0, "user", None), (None, 1, "user", "lost"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     schemas = {**chat.SCHEMAS, "sum": {"x": ("integer", True), "y": ("integer", True), "z": ("number", True)}}
     got = {r["call_id"]: r for r in chat.link(*chat.calls_and_results(df), schemas).collect()}
     assert len(got) == 6
-    assert got["1-1"]["json"] == '{"arguments":{"text":"hi \\"you\\"","turn":"1"},"id":"1-1","name":"chat.reply","result":"hello"}'
+    assert got["1-1"]["json"] == '{"arguments":{"text":"hi \\"you\\"","turn":1},"id":"1-1","name":"chat.reply","result":"hello"}'
     assert [got[f"1-{t}"]["depth"] for t in (1, 3, 5)] == [0, 1, 2]
     assert got["1-3"]["errors"] == "not text: text" and not got["1-5"]["has_result"]
     assert got["2--1"]["errors"] == "result without call"
-    assert got["c1"]["errors"] == "missing z;not integer: y" and got["c1"]["has_result"]
+    assert got["c1"]["errors"] == "missing z;not integer: y;unknown dependency c0" and got["c1"]["has_result"]
+    assert got["c1"]["json"] == '{"arguments":{"x":3,"y":"3"},"id":"c1","name":"sum","result":"7"}'
     assert chat.link(*chat.calls_and_results(df.limit(0))).count() == 0
 
 
+def test_tool_calls_keep_types_and_check_dependencies(spark):
+    call = lambda k, after="null", arguments="{}": f'{{"id":"{k}","name":"t","arguments":{arguments},"after":{after}}}'
+    every = '{"s":"3","i":3,"n":1.5,"b":true,"o":{"b":[1,"1",null],"a":{}},"z":null}'
+    rows = [(1, k, "assistant", t) for k, t in enumerate([
+        call("a"), call("b", '"a"'), call("c", '["b","a"]'), call("d", '["c","b"]', every), call("e", '["f","x","d","e"]'), call("f", '"e"'), call("g", "null", "[1]"), call("h", "null", '{"i":"3","n":"1","b":"true","s":3}'),
+        call("a", '"c"'), '{"id":"k","name":"t","arguments":{"i":', call("i" * 50_000),
+    ])] + [(1, 20, "tool", '{"id":"d","content":{"b":1,"a":"x"}}'), (1, 21, "tool", '{"id":"d","content":"second"}'), (1, 2, "tool", '{"id":"f","content":"early"}')]
+    df = spark.createDataFrame([(*r, "own", 1) for r in rows], "conv_id long, turn long, role string, text string, name string, depth int")
+    schema = {"t": {"s": ("string", False), "i": ("integer", False), "n": ("number", False), "b": ("boolean", False), "o": ("text", False), "z": ("text", False)}}
+    found = chat.link(*chat.calls_and_results(df), schema).collect()
+    got = {r["call_id"]: r for r in found}
+    assert [got[k]["depth"] for k in "abcdefgh"] == [0, 1, 2, 3, 4, 5, 0, 0]
+    assert got["e"]["errors"] == "dependency not earlier: e;dependency not earlier: f;unknown dependency x" and got["c"]["errors"] == ""
+    assert got["f"]["errors"] == "result before call"
+    assert got["g"]["errors"] == "arguments are no object" and '"arguments":null' in got["g"]["json"]
+    assert got["h"]["errors"] == "not boolean: b;not integer: i;not number: n;not string: s"
+    assert got["d"]["errors"] == "not text: o;not text: z"
+    assert got["d"]["json"] == '{"arguments":{"b":true,"i":3,"n":1.5,"o":{"a":{},"b":[1,"1",null]},"s":"3","z":null},"id":"d","name":"t","result":"{\\"a\\":\\"x\\",\\"b\\":1}"}'
+    assert [r["errors"] for r in found if r["call_id"] == "a"] == ["dependency not earlier: c"] * 2
+    assert got["1-8"]["errors"] == "result without call" and len(found) == 11  # the broken call is a plain answer
+
+
+def test_tool_calls_with_several_dependencies_are_as_deep_as_their_longest_chain(spark):
+    r, rows, depth = random.Random(5), [], {}
+    for k in range(120):
+        after = sorted({r.randrange(k) for _ in range(r.choice([0, 1, 1, 2, 3]))}) if k else []
+        depth[f"c{k}"] = max((depth[f"c{j}"] + 1 for j in after), default=0)
+        rows.append((7, k, "assistant", '{"id":"c%d","name":"chat.reply","after":%s}' % (k, str([f"c{j}" for j in after]).replace("'", '"'))))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {x["call_id"]: x["depth"] for x in chat.link(*chat.calls_and_results(df)).collect()} == depth
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.mix(docs).collect()
     again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
