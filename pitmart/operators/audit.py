@@ -37,3 +37,40 @@ def factor_mismatch(factors: DataFrame, multipliers: DataFrame, key: str, date:
 def report(violations: DataFrame) -> DataFrame:
     """[O14] Counts by rule, and whether it fails the audit."""
     return violations.groupBy("rule", "severity", "dataset").agg(F.count("*").alias("n"), F.min("key").alias("sample")).withColumn("status", F.when(F.col("severity") == "ERROR", "FAIL").otherwise("WARN"))
+
+
+def unregistered(df: DataFrame, dataset: str, version: str, registered: list[str]) -> DataFrame:
+    """[O4, O11] Versions in use that are not registered."""
+    return df.select(version).distinct().where(F.col(version).isNotNull() & ~F.col(version).isin(registered)).select(F.lit("unregistered_version").alias("rule"), F.lit("ERROR").alias("severity"), F.lit(dataset).alias("dataset"), F.col(version).alias("key"))
+
+
+def without_version(df: DataFrame, rule: str, dataset: str, version: str, key: Column, flag: str | None = None) -> DataFrame:
+    """[O3, O11] Rows without a version, or without the flag that marks an estimate."""
+    missing = F.coalesce(version, F.lit("")) == ""
+    if flag is not None:
+        missing = missing | ~F.coalesce(flag, F.lit(False))
+    return broken(df, rule, "ERROR", dataset, missing, key)
+
+
+def without_date(df: DataFrame, dataset: str, date: str, key: Column) -> DataFrame:
+    """[O7] Rows without their report date; a frame without the column has one violation."""
+    if date not in df.columns:
+        return df.sparkSession.createDataFrame([("without_report_date", "ERROR", dataset, f"no column {date}")], "rule string, severity string, dataset string, key string")
+    return broken(df, "without_report_date", "ERROR", dataset, F.col(date).isNull(), key)
+
+
+def flows_across_splits(flows: DataFrame, actions: DataFrame, key: str, date: str, days: int = 60, good: str = "flow_v2") -> DataFrame:
+    """[O10] Flow rows of other versions with a share factor in the `days` before them and no row of the good version on
+    their day.  Actions are few for a key; the range is a filter on the equi-join."""
+    old = flows.where(F.col("version") != good).join(flows.where(F.col("version") == good).select(key, date), [key, date], "left_anti")
+    splits = actions.where("share_factor is not null and share_factor <> 1").select(key, "action_date")
+    near = (F.col("action_date") <= F.col(date)) & (F.col("action_date") > F.date_sub(F.col(date), days))
+    return old.where("share_change is not null").join(splits, key).where(near).select(key, date, "version", "action_date")
+
+
+def dividend_moved_shares(factors: DataFrame, actions: DataFrame, key: str, date: str) -> DataFrame:
+    """[O13] Dividend days without any other action on which the share factor differs from the day before."""
+    w = s.over(key, date)
+    days = factors.withColumn("before", F.lag("share_factor").over(w))
+    only = actions.groupBy(key, F.col("action_date").alias(date)).agg(F.bool_and(F.col("action_type") == "DIVIDEND").alias("_only")).where("_only")
+    return days.join(only, [key, date]).where("share_factor <> before").select(key, date, "before", "share_factor")

@@ -40,3 +40,12 @@ def freshness(datasets: dict[str, tuple[DataFrame, str]], calendar: DataFrame, a
     day = F.lit(asof).cast("date")
     late = out.join(calendar.select("trade_date").distinct(), (F.col("trade_date") > F.col("last_date")) & (F.col("trade_date") <= day), "left")
     return late.groupBy("dataset", "last_date").agg(F.count("trade_date").alias("n")).select("dataset", "last_date", F.when(F.col("last_date") <= day, F.col("n")).alias("lag"))
+
+
+def closed_days(times: DataFrame, calendar: DataFrame, at: str, ready_hour: int = 17) -> DataFrame:
+    """[D4] The latest trading day whose data are out at a time: today's from ready_hour on, else the one before."""
+    stamped = times.select(at).distinct().withColumn("_today", F.col(at).cast("date"))
+    known = around(stamped, calendar, "_today")
+    rows = stamped.join(known, "_today")
+    early = (F.col("latest") == F.col("_today")) & (F.hour(at) < ready_hour)
+    return rows.select(at, F.when(early, F.col("previous")).otherwise(F.col("latest")).alias("closed_day"))

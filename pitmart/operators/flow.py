@@ -24,6 +24,25 @@ def daily_flows(shares: DataFrame, key: str = "security_id", date: str = "trade_
     return rows.withColumns(found).select(key, date, *found)
 
 
+def adjusted_flows(adjusted: DataFrame, key: str = "security_id", date: str = "trade_date", shares: str = "adjusted_shares", nav: str = "adjusted_nav", factor: str = "factor") -> DataFrame:
+    """[G6, G9] Flows on back-adjusted series for every date: share changes in units of the row's own factor, their percent
+    of the base in the same units, money flows, streaks, and whether more than one factor was seen so far."""
+    w = s.over(key, date)
+    rows = adjusted.withColumn("_delta", F.col(shares) - F.lag(shares).over(w)).withColumn("_money", F.col("_delta") * F.col(nav)).withColumn("_factor", F.coalesce(factor, F.lit(1.0)))
+    found = {}
+    for n in WINDOWS:
+        frame = s.last_rows(w, n)
+        change = F.when(F.count("_delta").over(frame) == n, F.sum("_delta").over(frame) * F.col("_factor"))
+        base = F.lag(shares, n).over(w) * F.col("_factor")
+        found[f"share_change_{n}d"] = change
+        found[f"share_change_pct_{n}d"] = F.when(base != 0, change / base)
+        found[f"net_subscription_{n}d"] = F.when(F.count("_money").over(frame) == n, F.sum("_money").over(frame))
+    seen = s.so_far(w)
+    quality = F.when(F.coalesce(F.min(factor).over(seen) != F.max(factor).over(seen), F.lit(False)), "adjusted").otherwise("clean")
+    out = rows.withColumns(found).withColumn("quality", quality).select(key, date, *found, "quality")
+    return out.join(streaks(adjusted, key, date, shares), [key, date], "left").fillna(0, ["inflow_days", "outflow_days"])
+
+
 def streaks(shares: DataFrame, key: str = "security_id", date: str = "trade_date", count: str = "shares") -> DataFrame:
     """[G3] Consecutive days of inflow and of outflow that end at the row; rows without a difference are passed over."""
     w = s.over(key, date)

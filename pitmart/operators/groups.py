@@ -7,8 +7,36 @@ from pyspark.sql import functions as F
 
 
 def peer_group(index_id: Column, index_name: Column, tag: Column) -> Column:
-    """[I1] The index, else its name, else the tag."""
-    return F.coalesce(F.concat(F.lit("index:"), index_id), F.concat(F.lit("name:"), index_name), F.concat(F.lit("tag:"), tag))
+    """[I1] (id, kind, label): the index, else its name, else the tag; an empty one counts as none.  Null without any."""
+    out = None
+    for prefix, kind, value in (("index", "tracking_index", index_id), ("benchmark", "benchmark_name", index_name), ("tag", "tag", tag)):
+        one = F.struct(F.concat(F.lit(f"{prefix}:"), value).alias("id"), F.lit(kind).alias("kind"), value.alias("label"))
+        out = F.when(value != "", one) if out is None else out.when(value != "", one)
+    return out
+
+
+def with_index_of_name(df: DataFrame, catalog: DataFrame, index_id: str, index_name: str) -> DataFrame:
+    """[I2] The index id from the catalog (index_id, index_name) where only a name is known; of one name the last id."""
+    known = catalog.where("index_name <> ''").groupBy("index_name").agg(F.max("index_id").alias("_id"))
+    named = df.join(known.withColumnRenamed("index_name", "_name"), F.col(index_name) == F.col("_name"), "left")
+    return named.withColumn(index_id, F.coalesce(F.when(F.col(index_id) != "", F.col(index_id)), F.col("_id"))).drop("_id", "_name")
+
+
+#: [I7] metric -> whether the highest is best.  Fixed values.
+DIRECTIONS = {"aum": True, "turnover": True, "flow": True, "tracking_error": False, "fee": False, "premium_stability": False}
+
+
+def peer_marts(facts: DataFrame, group: str, key: str, least: int = 3) -> DataFrame:
+    """[I7] The percentile of each metric in its group; groups of fewer than `least` members have no row, a metric known
+    of fewer none; 1 is best in every metric.  One shuffle by group."""
+    size = Window.partitionBy(group)
+    rows = facts.withColumn("peer_count", F.count("*").over(size)).where(F.col("peer_count") >= least)
+    found = {}
+    for c, high in DIRECTIONS.items():
+        known = Window.partitionBy(group, F.col(c).isNotNull())
+        rank = F.percent_rank().over(known.orderBy(F.asc(c) if high else F.desc(c)))
+        found[f"{c}_rank_pct"] = F.when(F.col(c).isNotNull() & (F.count("*").over(known) >= least), rank)
+    return rows.withColumns(found).select(key, group, "peer_count", *found)
 
 
 def peer_percentile(df: DataFrame, group: str, value: str, best_high: bool = True, least: int = 3) -> DataFrame:
@@ -31,24 +59,68 @@ def latest_top(holdings: DataFrame, fund: str, asof: str | None = None, n: int =
     return h.where(F.col("rank") <= n).withColumn("confidence", F.when(F.col("disclosed").isNotNull(), "exact").otherwise("limited"))
 
 
-def concentration(top: DataFrame, fund: str) -> DataFrame:
-    """[J4] Top-10 total in percent: weights are fractions when none is over 1.05; negative ones or totals over 105 % are
-    refused with a reason."""
-    t = top.groupBy(fund).agg(F.max("weight_pct").alias("_max"), F.min("weight_pct").alias("_min"), F.sum("weight_pct").alias("_sum"))
-    total = F.when(F.col("_max") > 1.05, F.col("_sum")).otherwise(F.col("_sum") * 100)
-    reason = F.when(F.col("_min") < 0, "negative_weight").when(total > 105, "total_over_105")
-    return t.select(fund, F.when(reason.isNull(), total).alias("concentration"), reason.alias("reason"))
-
-
-def overlap(holdings: DataFrame, fund: str) -> DataFrame:
-    """[J5] Pairs of funds that share a stock: how many, the share of the smaller side, and the sum of lesser weights.
-    Pairs meet on shared stocks only."""
-    sizes = holdings.groupBy(fund).agg(F.countDistinct("stock_id").alias("n"))
-    a = holdings.groupBy(F.col(fund).alias("a"), "stock_id").agg(F.max("weight_pct").alias("wa"))
-    b = holdings.groupBy(F.col(fund).alias("b"), "stock_id").agg(F.max("weight_pct").alias("wb"))
-    both = a.join(b, "stock_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(F.least("wa", "wb")).alias("weight"))
-    na, nb = sizes.select(F.col(fund).alias("a"), F.col("n").alias("na")), sizes.select(F.col(fund).alias("b"), F.col("n").alias("nb"))
-    return both.join(na, "a").join(nb, "b").select("a", "b", "common", "weight", (F.col("common") / F.least("na", "nb")).alias("share"))
+def latest_report(holdings: DataFrame, fund: str, asof: str | None = None) -> DataFrame:
+    """[J2] All holdings of each fund's latest report, dated and where known disclosed by asof."""
+    h = holdings
+    if asof is not None:
+        day = F.lit(asof).cast("date")
+        h = h.where((F.col("report_date") <= day) & (F.col("disclosed").isNull() | (F.col("disclosed") <= day)))
+    return h.withColumn("_last", F.max("report_date").over(Window.partitionBy(fund))).where("report_date = _last").drop("_last")
+
+
+def concentration(holdings: DataFrame, fund: str) -> DataFrame:
+    """[J4] The ten largest known weights' total as a fraction: weights are percent when any of all holdings is over 1.05;
+    a negative one or a total of all over 105 percent is refused with a reason, and so are funds without weights."""
+    w = Window.partitionBy(fund).orderBy(F.desc_nulls_last("weight_pct"), "stock_id")
+    t = holdings.withColumn("_rank", F.row_number().over(w)).groupBy(fund).agg(F.max("weight_pct").alias("_max"), F.min("weight_pct").alias("_min"), F.sum("weight_pct").alias("_all"), F.sum(F.when(F.col("_rank") <= 10, F.col("weight_pct"))).alias("_top"))
+    scale = F.when(F.col("_max") > 1.05, 100.0).otherwise(1.0)
+    reason = F.when(F.col("_max").isNull(), "holding_weights_unavailable").when((F.col("_min") < 0) | (F.col("_all") > F.when(scale == 100.0, 105.0).otherwise(1.05)), "holding_weight_conflict")
+    return t.select(fund, F.when(reason.isNull(), F.col("_top") / scale).alias("concentration"), reason.alias("reason"))
+
+
+def overlap(holdings: DataFrame, pairs: DataFrame, fund: str) -> DataFrame:
+    """[J5] For each asked-for pair (a, b) of funds: common holdings by the smaller side, sum of lesser weights (an unknown
+    weight is 0), common ones among both top tens by 10, and the common stocks in order; no overlap is 0, and all is
+    null where a side has no holdings.  The stocks of the pairs' funds alone are joined."""
+    w = Window.partitionBy("fund").orderBy(F.desc("weight"), "stock_id")
+    held = holdings.groupBy(F.col(fund).alias("fund"), "stock_id").agg(F.coalesce(F.max("weight_pct"), F.lit(0.0)).alias("weight"))
+    held = held.withColumn("top", F.row_number().over(w) <= 10).withColumn("n", F.count("*").over(Window.partitionBy("fund")))
+    one = pairs.select("a", "b").distinct().join(held.select(F.col("fund").alias("a"), "stock_id", F.col("weight").alias("wa"), F.col("top").alias("ta")), "a")
+    both = one.join(held.select(F.col("fund").alias("b"), "stock_id", F.col("weight").alias("wb"), F.col("top").alias("tb")), ["b", "stock_id"])
+    both = both.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(F.least("wa", "wb")).alias("weighted"), F.count_if(F.col("ta") & F.col("tb")).alias("top"), F.sort_array(F.collect_list("stock_id")).alias("stocks"))
+    sizes = held.groupBy("fund").agg(F.count("*").alias("n"))
+    out = pairs.select("a", "b").distinct().join(both, ["a", "b"], "left").join(sizes.select(F.col("fund").alias("a"), F.col("n").alias("na")), "a", "left").join(sizes.select(F.col("fund").alias("b"), F.col("n").alias("nb")), "b", "left")
+    known = F.col("na").isNotNull() & F.col("nb").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("a", "b", F.when(known, zero("common") / F.least("na", "nb")).alias("overlap"), F.when(known, F.coalesce("weighted", F.lit(0.0))).alias("weighted"), F.when(known, zero("top") / 10).alias("top10"), F.coalesce(F.array_join("stocks", ","), F.lit("")).alias("stocks"))
+
+
+def industry_overlap(weights: DataFrame, pairs: DataFrame, fund: str) -> DataFrame:
+    """[J6] Sum of the lesser industry weights of each pair (a, b); 0 without a common industry, null where a side has
+    none."""
+    w = weights.select(F.col(fund).alias("fund"), "industry", "weight")
+    one = pairs.select("a", "b").distinct().join(w.select(F.col("fund").alias("a"), "industry", F.col("weight").alias("wa")), "a")
+    both = one.join(w.select(F.col("fund").alias("b"), "industry", F.col("weight").alias("wb")), ["b", "industry"]).groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("common"))
+    there = w.select("fund").distinct()
+    out = pairs.select("a", "b").distinct().join(both, ["a", "b"], "left").join(there.withColumn("_a", F.lit(1)).withColumnRenamed("fund", "a"), "a", "left").join(there.withColumn("_b", F.lit(1)).withColumnRenamed("fund", "b"), "b", "left")
+    return out.select("a", "b", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.coalesce("common", F.lit(0.0))).alias("industry_overlap"))
+
+
+def holdings_or_constituents(holdings: DataFrame, constituents: DataFrame, mapping: DataFrame, fund: str, asof: str) -> DataFrame:
+    """[J3] A fund's latest report as of a day, else the latest constituents (index_id, effective_date, stock_id,
+    weight_pct) of its index (mapping: fund, index_id), with where they come from."""
+    day = F.lit(asof).cast("date")
+    own = latest_report(holdings, fund, asof).select(fund, "stock_id", "weight_pct", F.col("report_date").alias("dated"), F.lit("disclosure").alias("origin"))
+    latest = constituents.where(F.col("effective_date") <= day).withColumn("_last", F.max("effective_date").over(Window.partitionBy("index_id"))).where("effective_date = _last")
+    rest = mapping.join(own.select(fund).distinct(), fund, "left_anti").join(latest, "index_id").select(fund, "stock_id", "weight_pct", F.col("effective_date").alias("dated"), F.lit("constituents").alias("origin"))
+    return own.unionByName(rest)
+
+
+def tags_asof(tags: DataFrame, fund: str, asof: str) -> DataFrame:
+    """[J8, K10] A fund's tags valid at a day, the surest first."""
+    day = F.lit(asof).cast("date")
+    valid = tags.where((F.col("valid_from").isNull() | (F.col("valid_from") <= day)) & (F.col("valid_to").isNull() | (F.col("valid_to") > day)))
+    return valid.withColumn("rank", F.row_number().over(Window.partitionBy(fund).orderBy(F.desc_nulls_last("confidence"), "tag")))
 
 
 def industry_weights(holdings: DataFrame, industry: DataFrame, fund: str) -> DataFrame:

@@ -39,14 +39,6 @@ def recent_against_previous(months: DataFrame, value: str, n: int = 3) -> DataFr
     return months.select("month", recent.alias("recent"), previous.alias("previous"), F.when(previous > 0, (recent / previous - 1) * 100).alias("change_pct"))
 
 
-def volume_layer(df: DataFrame, key: str, date: str, value: str, high: float = 1.1, low: float = 0.9) -> DataFrame:
-    """[M2] Today against the mean of the 5 known days before it: state from two thresholds."""
-    before = s.over(key, date).rowsBetween(-5, -1)
-    ratio = F.when(F.count(value).over(before) == 5, F.col(value) / F.avg(value).over(before))
-    out = df.where(F.col(value).isNotNull()).withColumn("ratio", ratio)
-    return out.select(key, date, "ratio", F.when(F.col("ratio").isNull(), "UNKNOWN").when(F.col("ratio") >= high, "STRONG").when(F.col("ratio") <= low, "WEAK").otherwise("NEUTRAL").alias("state"))
-
-
 def basket_layer(size: Column, five: Column, twenty: Column) -> Column:
     """[M3] Each known flow scores +1 if positive, else -1, zero too."""
     points = F.coalesce(F.when(five > 0, 1).when(five.isNotNull(), -1), F.lit(0)) + F.coalesce(F.when(twenty > 0, 1).when(twenty.isNotNull(), -1), F.lit(0))
@@ -70,21 +62,6 @@ def confirmed(df: DataFrame, key: str, date: str, state: str, n: int = 2) -> Dat
     return rows.withColumn("_anchor", anchor).withColumn("confirmed", F.last("_anchor", ignorenulls=True).over(s.so_far(w))).drop("_anchor", "_flag", "_island", "_run")
 
 
-def quadrant(position: Column, ratio: Column) -> Column:
-    """[M7]"""
-    place = F.when(position >= 0.65, "high").when(position <= 0.35, "low").otherwise("middle")
-    pace = F.when(ratio >= 1.1, "expanding").when(ratio <= 0.9, "shrinking").otherwise("steady")
-    return F.when(position.isNotNull() & ratio.isNotNull(), F.concat_ws("_", place, pace))
-
-
-def transitions(df: DataFrame, key: str, date: str, state: str) -> DataFrame:
-    """[M9, N2] Days on which the state changes, of what kind."""
-    prev = F.lag(state).over(s.over(key, date))
-    out = df.withColumn("from_state", prev).where(F.col("from_state").isNotNull() & (F.col("from_state") != F.col(state)))
-    kind = F.when((F.col("from_state") == "UNKNOWN") | (F.col(state) == "UNKNOWN"), "coverage").otherwise("market")
-    return out.select(key, date, "from_state", F.col(state).alias("to_state"), kind.alias("kind"))
-
-
 def state_runs(df: DataFrame, key: str, date: str, state: str) -> DataFrame:
     """[N1] Length of each run of a state."""
     rows = s.run_length(F.col(state), df, key, date)
@@ -99,28 +76,29 @@ def state_summary(df: DataFrame, key: str, date: str, state: str) -> DataFrame:
 
 
 def forward_outcomes(df: DataFrame, key: str, date: str, close: str, n: int) -> DataFrame:
-    """[N5, N6] Return, true drawdown (start included) and worst loss over the n rows ahead; the window must fit."""
+    """[N5, N6] Return, true drawdown (start included) and worst loss over the n rows ahead; the window must fit and hold
+    a known close, the start must be positive; unknown closes ahead are passed over."""
     w = s.over(key, date)
-    ahead = w.rowsBetween(0, n)
-    path = F.collect_list(close).over(ahead)
-    fits = (F.lead(date, n).over(w).isNotNull()) & (F.col(close) > 0)
-    rows = df.withColumn("_path", F.when(fits, path))
-    return rows.select(key, date, (F.element_at("_path", -1) / F.col(close) - 1).alias("forward_return"), s.fold_drawdown(F.col("_path")).alias("forward_drawdown"), (F.array_min(F.slice("_path", 2, n)) / F.col(close) - 1).alias("adverse"))
-
-
-def outcome_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """[N7] Count, mean, median, linear deciles."""
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, F.lit(0.1)).alias("p10"), F.percentile(value, F.lit(0.9)).alias("p90"))
-
-
-def liquidity_layer(df: DataFrame, key: str, date: str, value: str, n: int = 250, least: int = 20) -> DataFrame:
-    """[M1] Of known observations: a point for a 5-step change beyond 0.5 percent, up or down, and one for a percentile
-    from 0.6 on, or to 0.4; under 6 observations UNKNOWN."""
-    w = s.over(key, date)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w)).withColumn("change", (F.col(value) / F.lag(value, 5).over(w) - 1) * 100).withColumn("position", s.mid_rank(value, w, n, least))
-    points = F.when(F.col("change") > 0.5, 1).when(F.col("change") < -0.5, -1).otherwise(0) + F.when(F.col("position") >= 0.6, 1).when(F.col("position") <= 0.4, -1).otherwise(0)
-    state = F.when(F.col("_n") < 6, "UNKNOWN").when(points > 0, "STRONG").when(points < 0, "WEAK").otherwise("NEUTRAL")
-    return rows.select(key, date, "change", "position", points.cast("int").alias("score"), state.alias("state"))
+    ahead = F.collect_list(close).over(w.rowsBetween(1, n))
+    fits = F.lead(date, n).over(w).isNotNull() & (F.col(close) > 0) & (F.size(ahead) > 0)
+    rows = df.withColumn("_ahead", F.when(fits, ahead))
+    path = F.concat(F.array(F.col(close)), F.col("_ahead"))
+    return rows.select(key, date, (F.element_at("_ahead", -1) / F.col(close) - 1).alias("forward_return"), F.when(F.col("_ahead").isNotNull(), s.fold_drawdown(path)).alias("forward_drawdown"), (F.array_min("_ahead") / F.col(close) - 1).alias("adverse"))
+
+
+def state_outcomes(states: DataFrame, closes: DataFrame, key: str, date: str, state: str, close: str, windows: tuple[int, ...] = (5, 20, 60), by: tuple[str, ...] = ()) -> DataFrame:
+    """[N7, N8] Per state, window and sample (every day, or the days on which a state begins): count, mean, median, linear
+    deciles of the forward return, mean and worst forward drawdown.  Rows are the days of states; `by`: further slices,
+    which forward windows may cross.  UNKNOWN has no outcome."""
+    rows = states.join(closes.select(key, date, close), [key, date], "left").withColumn("_enters", ~F.coalesce(F.col(state) == F.lag(state).over(s.over(key, date)), F.lit(False)))
+    out = None
+    for n in windows:
+        found = rows.select(key, date, state, "_enters", *by).join(forward_outcomes(rows, key, date, close, n), [key, date]).withColumn("window", F.lit(n))
+        out = found if out is None else out.unionByName(found)
+    out = out.where((F.col(state) != "UNKNOWN") & F.col("forward_return").isNotNull())
+    sampled = out.withColumn("sample", F.explode(F.when(F.col("_enters"), F.array(F.lit("daily"), F.lit("transition"))).otherwise(F.array(F.lit("daily")))))
+    r = "forward_return"
+    return sampled.groupBy(key, *by, state, "window", "sample").agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.median(r).alias("median"), F.percentile(r, F.lit(0.1)).alias("p10"), F.percentile(r, F.lit(0.9)).alias("p90"), F.avg("forward_drawdown").alias("drawdown_mean"), F.min("forward_drawdown").alias("drawdown_worst"))
 
 
 def norm_ratio(over: DataFrame, under: DataFrame, date: str, exchanges: int = 2) -> DataFrame:
@@ -136,3 +114,45 @@ def switches(df: DataFrame, by: list[str], key: str, date: str, state: str) -> D
     w = Window.partitionBy(*by).orderBy(date)
     marked = df.withColumn("_switch", F.coalesce(F.col(state) != F.lag(state).over(w), F.lit(False)))
     return marked.groupBy(*by).agg(F.count("*").alias("days"), F.count_if("_switch").alias("switches"), F.avg((F.col(state) == "UNKNOWN").cast("double")).alias("unknown"))
+
+
+def valuation_percentile(df: DataFrame, key: str, date: str, value: str, years: int = 3653, least: int = 36) -> DataFrame:
+    """[L7] Mid-rank percentile of each known value among all up to it, and among those of the last `years` calendar days,
+    with how many they are; under `least` null."""
+    w = Window.partitionBy(key).orderBy(F.unix_date(date))
+    rows = df.where(F.col(value).isNotNull()).withColumn("_all", F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_ten", F.collect_list(value).over(w.rangeBetween(-years, 0)))
+    rank = lambda a: F.when(F.size(a) >= least, (F.size(F.filter(a, lambda x: x < F.col(value))) + F.size(F.filter(a, lambda x: x == F.col(value))) / 2) / F.size(a))
+    return rows.select(key, date, value, rank("_all").alias("percentile_all"), rank("_ten").alias("percentile_10y"), F.size("_all").alias("n_all"), F.size("_ten").alias("n_10y"))
+
+
+def basket_members(mapping: DataFrame, indexes: DataFrame, fund: str, asof: str) -> DataFrame:
+    """[L10] Funds mapped to one of the indexes (index_id, basket: its main id, aliases too) at a day."""
+    day = F.lit(asof).cast("date")
+    valid = mapping.where((F.col("valid_from").isNull() | (F.col("valid_from") <= day)) & (F.col("valid_to").isNull() | (F.col("valid_to") > day)))
+    return valid.join(indexes, "index_id").select(fund, "basket").distinct()
+
+
+def basket_sizes(members: DataFrame, premiums: DataFrame, fund: str) -> DataFrame:
+    """[L10] Members of each basket, and the median of their known premiums (fund, premium)."""
+    return members.join(premiums, fund, "left").groupBy("basket").agg(F.countDistinct(fund).alias("members"), F.median("premium").alias("premium_median"), F.count("premium").alias("premiums"))
+
+
+def basket_detail(members: DataFrame, blocks: dict[str, DataFrame], fund: str, date: str) -> DataFrame:
+    """[L11] A row for each member with the last row of each block and its date, the largest `aum` first."""
+    out = members
+    for name, block in blocks.items():
+        last = block.withColumn("_rn", F.row_number().over(Window.partitionBy(fund).orderBy(F.desc(date)))).where("_rn = 1").drop("_rn")
+        out = out.join(last.withColumnRenamed(date, f"{name}_date"), fund, "left")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("basket").orderBy(F.desc_nulls_last("aum"), fund)))
+
+
+def basket_sums(flows: DataFrame, members: DataFrame, fund: str, date: str, values: list[str]) -> DataFrame:
+    """[L12] Sums of the members' flows by basket and day, with how many are known."""
+    joined = flows.join(members, fund)
+    return joined.groupBy("basket", date).agg(*(F.sum(v).alias(v) for v in values), *(F.count(v).alias(f"{v}_known") for v in values))
+
+
+def alignment(states: DataFrame, days: DataFrame, key: str, date: str, version: str) -> DataFrame:
+    """[N9] Of each key's states on the days of an index: how many, since, until, in how many years, and whether they mix
+    versions."""
+    return states.join(days.select(date).distinct(), date, "left_semi").groupBy(key).agg(F.count("*").alias("days"), F.min(date).alias("since"), F.max(date).alias("until"), F.countDistinct(F.year(date)).alias("years"), (F.countDistinct(version) > 1).alias("mixed_versions"))

@@ -64,7 +64,12 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def themes(tags: DataFrame, facts: DataFrame, key: str, least: int) -> DataFrame:
-    """[K11] Per tag the distinct funds and their aggregates; (fund, tag) pairs count once."""
-    joined = tags.select(key, "tag").distinct().join(facts, key, "left")
-    return joined.groupBy("tag").agg(F.countDistinct(key).alias("funds"), F.sum("aum").alias("aum"), F.avg("ret").alias("mean_return")).where(F.col("funds") >= least)
+def themes(tags: DataFrame, facts: DataFrame, key: str, least: int, n: int) -> DataFrame:
+    """[K11] Per tag and type the distinct funds, their total aum, mean return and flow, greatest coverage and last dates;
+    at least `least` funds, the n largest by aum."""
+    joined = tags.groupBy(key, "tag", "tag_type").agg(F.max("confidence").alias("coverage")).join(facts, key, "left")
+    found = joined.groupBy("tag", "tag_type").agg(
+        F.countDistinct(key).alias("funds"), F.sum("aum").alias("aum"), F.avg("ret").alias("mean_return"), F.avg("pct").alias("mean_flow_pct"),
+        F.max("coverage").alias("coverage"), F.max("share_date").alias("share_date"), F.max("quote_date").alias("quote_date"),
+    )
+    return top(found.where(F.col("funds") >= least), n, F.desc_nulls_last("aum"), F.asc("tag"))

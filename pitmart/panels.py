@@ -23,16 +23,20 @@ WINDOW w AS (PARTITION BY security_id ORDER BY trade_date ROWS BETWEEN 19 PRECED
 
 PANELS = {
     "calendar": f"SELECT DISTINCT {_DAY} AS trade_date FROM {{orders}}",
-    "quotes": _quotes("c_mktsegment"),
+    "quotes": """
+SELECT security_id, trade_date, CAST(cents AS DOUBLE) / 100 AS turnover_amount, n AS n_orders,
+  CASE WHEN count(*) OVER w = 20 THEN CAST(sum(cents) OVER w AS DOUBLE) / CAST(sum(n) OVER w AS DOUBLE) / 100 END AS close
+FROM (SELECT 'S' || CAST(l_suppkey AS VARCHAR(9)) AS security_id, CAST(l_shipdate AS DATE) AS trade_date, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, count(*) AS n FROM {lineitem} GROUP BY 1, 2) t
+WINDOW w AS (PARTITION BY security_id ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
     "quotes_wide": _quotes("c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR(9))"),
     "quotes_jumpy": f"""
 SELECT c_mktsegment AS security_id, {_DAY} AS trade_date, CAST(sum({_CENTS}) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 100 AS close
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey GROUP BY 1, 2""",
     "shares": """
 SELECT security_id, trade_date, CAST(1000000 + sum(q) OVER (PARTITION BY security_id ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS shares, CAST(cents AS DOUBLE) / CAST(lots AS DOUBLE) / 99991 AS nav
-FROM (SELECT CAST(s_nationkey AS BIGINT) AS security_id, CAST(l_shipdate AS DATE) AS trade_date,
+FROM (SELECT CAST(l_suppkey AS BIGINT) AS security_id, CAST(l_shipdate AS DATE) AS trade_date,
         sum(CAST(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS BIGINT)) AS q, sum(CAST(l_quantity AS BIGINT)) AS lots, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents
-      FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY 1, 2) t""",
+      FROM {lineitem} GROUP BY 1, 2) t""",
     "turnover": f"""
 SELECT {_DAY} AS trade_date, CASE WHEN c_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS exchange, CAST(sum({_CENTS}) AS DOUBLE) / 100 AS turnover_amount, CAST(count(*) AS DOUBLE) AS rate
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey GROUP BY 1, 2""",
@@ -48,20 +52,41 @@ FROM (SELECT CAST(l_suppkey AS BIGINT) AS etf_id, CAST(l_partkey AS BIGINT) AS s
 SELECT event_type AS series_id, day, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n % 3 = 0 THEN 'WEAK' WHEN n % 3 = 1 THEN 'NEUTRAL' ELSE 'STRONG' END AS state
 FROM (SELECT t.event_type, d.day, c.n FROM (SELECT DISTINCT event_type FROM {events}) t JOIN (SELECT DISTINCT CAST(ts AS DATE) AS day FROM {events}) d ON TRUE
   LEFT JOIN (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM {events} GROUP BY 1, 2) c ON c.event_type = t.event_type AND c.day = d.day AND c.n % 11 <> 0) x""",
+    "m_days": f"SELECT CAST(c_nationkey AS BIGINT) AS market_id, {_DAY} AS trade_date, sum({_CENTS}) AS cents, count(*) AS n FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey GROUP BY 1, 2",
+    "m_turnover": "SELECT market_id, trade_date, CASE WHEN day(trade_date) % 10 <> 9 THEN CAST(cents AS DOUBLE) / 100 END AS amount FROM {m_days}",
+    "m_margin": "SELECT market_id, trade_date, CASE WHEN day(trade_date) % 8 <> 3 THEN CAST(sum(cents) OVER w AS DOUBLE) / CAST(count(*) OVER w AS DOUBLE) END AS balance FROM {m_days} WHERE day(trade_date) % 6 <> 1 WINDOW w AS (PARTITION BY market_id ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
+    "m_index": "SELECT market_id, trade_date, CASE WHEN day(trade_date) % 12 <> 5 THEN CAST(sum(cents) OVER w AS DOUBLE) / CAST(sum(n) OVER w AS DOUBLE) END AS close FROM {m_days} WINDOW w AS (PARTITION BY market_id ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
+    "m_basket": "SELECT market_id, trade_date, market_id % 5 AS basket_size, CASE WHEN n > 1 OR day(trade_date) % 4 <> 2 THEN CAST(sum(cents * (n % 3 - 1)) OVER w5 AS DOUBLE) END AS net_5d, CASE WHEN day(trade_date) % 6 <> 2 THEN CAST(sum(cents % 1999 - 999) OVER w20 AS DOUBLE) END AS net_20d FROM {m_days} WHERE day(trade_date) <> 28 WINDOW w5 AS (PARTITION BY market_id ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w20 AS (PARTITION BY market_id ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
     "fund_index": """
 SELECT CAST(s_suppkey AS BIGINT) AS fund_id, 'N' || CAST(s_nationkey AS VARCHAR(9)) AS index_id, CAST(NULL AS DATE) AS valid_from, DATE '1998-01-01' AS valid_to FROM {supplier}
 UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'N' || CAST((s_nationkey + 1) % 25 AS VARCHAR(9)), DATE '1998-01-01', CAST(NULL AS DATE) FROM {supplier} WHERE s_suppkey % 7 <> 0""",
+    "fund_tag": """
+SELECT CAST(s_suppkey AS BIGINT) AS fund_id, 'T' || CAST(s_nationkey % 7 AS VARCHAR(9)) AS tag, 'industry' AS tag_type, CAST(s_suppkey % 11 AS DOUBLE) / 10 AS confidence, CAST(NULL AS DATE) AS valid_from, CASE WHEN s_suppkey % 4 = 0 THEN DATE '1998-01-01' END AS valid_to FROM {supplier}
+UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'T' || CAST(s_nationkey % 5 AS VARCHAR(9)), 'style', CASE WHEN s_suppkey % 6 <> 0 THEN CAST(s_suppkey % 13 AS DOUBLE) / 13 END, DATE '1998-01-01', CAST(NULL AS DATE) FROM {supplier} WHERE s_suppkey % 3 <> 0""",
+    "constituents": "SELECT 'N' || CAST(p_partkey % 25 AS VARCHAR(9)) AS index_id, CAST(p_partkey AS BIGINT) AS stock_id, CASE WHEN p_partkey % 2 = 0 THEN DATE '1997-01-01' ELSE DATE '1998-07-01' END AS effective_date, CAST(p_size AS DOUBLE) / 10 AS weight_pct FROM {part}",
+    "adjusted": "SELECT security_id, trade_date, CASE WHEN day(trade_date) % 17 <> 0 THEN shares / f END AS adjusted_shares, CASE WHEN day(trade_date) % 9 <> 0 THEN nav * f END AS adjusted_nav, CASE WHEN day(trade_date) % 23 <> 0 THEN f END AS factor FROM (SELECT *, CASE WHEN security_id % 3 = 0 AND trade_date >= DATE '1998-07-01' THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS f FROM {shares}) x",
+    "actions": """
+SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS security_id, CAST(l_shipdate AS DATE) AS action_date, CASE WHEN day(l_shipdate) = 20 THEN 'DIVIDEND' ELSE 'SPLIT' END AS action_type, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(1 + l_partkey % 3 AS DOUBLE) END AS k, CASE WHEN day(l_shipdate) <> 20 THEN CAST(1 + l_partkey % 2 AS DOUBLE) END AS share_factor
+FROM {lineitem} WHERE (day(l_shipdate) = 20 AND month(l_shipdate) = 6) OR (day(l_shipdate) = 5 AND month(l_shipdate) = 3)""",
+    "fund_map": "SELECT fund_id, CASE WHEN fund_id % 4 = 1 THEN '' WHEN fund_id % 4 <> 2 THEN index_id END AS index_id, CASE WHEN fund_id % 8 < 6 THEN 'Name ' || substr(index_id, 2) END AS index_name, valid_from, valid_to FROM {fund_index}",
     "fund_master": """
 SELECT CAST(s_suppkey AS BIGINT) AS fund_id, s_name AS name, CAST(s_acctbal AS DOUBLE) AS fee, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 2 = 1 THEN DATE '1998-06-30' ELSE DATE '1997-06-30' END AS observed, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'N' || CAST(s_nationkey AS VARCHAR(9)) END AS master_index FROM {supplier}""",
 }
 
 
+def _parts(name: str) -> list[str]:
+    return sorted(set(re.findall(r"\{(\w+)\}", PANELS[name])))
+
+
 def panel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = PANELS[name]
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sorted(set(re.findall(r"\{(\w+)\}", text)))}
-    return spark.sql(text, **frames)
+    frames = {t: panel(spark, sf_dir, t) if t in PANELS else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _parts(name)}
+    return spark.sql(PANELS[name], **frames)
 
 
 def panel_sql(*names: str) -> str:
-    """WITH list of the panels for DuckDB."""
-    return "WITH " + ", ".join(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', PANELS[n])})" for n in names)
+    """WITH list of the panels, and of those they are made of, for DuckDB."""
+    def needed(n: str) -> list[str]:
+        return [*(x for t in _parts(n) if t in PANELS for x in needed(t)), n]
+
+    wanted = dict.fromkeys(x for n in names for x in needed(n))
+    return "WITH " + ", ".join(f"{n} AS ({re.sub(r'{(\w+)}', r'\1', PANELS[n])})" for n in wanted)

@@ -153,9 +153,9 @@ def _g8(spark: SparkSession, d: str) -> DataFrame:
     return flow.cumulative(rows, "security_id", "trade_date", "v")
 
 
-@add("G10_basket_flow", f"{panel_sql('shares')}, x AS (SELECT security_id, trade_date, CASE WHEN day(trade_date) % 5 <> 0 THEN shares - lag(shares) OVER (PARTITION BY security_id ORDER BY trade_date) END AS v FROM shares), mb AS (SELECT n_nationkey AS security_id, r_name AS basket FROM nation JOIN region ON n_regionkey = r_regionkey), sz AS (SELECT basket, count(DISTINCT security_id) AS members FROM mb GROUP BY 1) SELECT basket, trade_date, sum(v) AS flow, count(v) AS contributors, any_value(members) AS members FROM x JOIN mb USING (security_id) JOIN sz USING (basket) GROUP BY 1, 2", "flow")
+@add("G10_basket_flow", f"{panel_sql('shares')}, x AS (SELECT security_id, trade_date, CASE WHEN day(trade_date) % 5 <> 0 THEN shares - lag(shares) OVER (PARTITION BY security_id ORDER BY trade_date) END AS v FROM shares), mb AS (SELECT s_suppkey AS security_id, r_name AS basket FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), sz AS (SELECT basket, count(DISTINCT security_id) AS members FROM mb GROUP BY 1) SELECT basket, trade_date, sum(v) AS flow, count(v) AS contributors, any_value(members) AS members FROM x JOIN mb USING (security_id) JOIN sz USING (basket) GROUP BY 1, 2", "flow")
 def _g10(spark: SparkSession, d: str) -> DataFrame:
     rows = panel(spark, d, "shares").withColumn("v", F.when(F.dayofmonth("trade_date") % 5 != 0, F.col("shares") - F.lag("shares").over(s.over())))
-    nation, region = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
-    members = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("security_id"), F.col("r_name").alias("basket"))
+    supplier, nation, region = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("supplier", "nation", "region"))
+    members = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").cast("long").alias("security_id"), F.col("r_name").alias("basket"))
     return flow.basket_flow(rows, members, "security_id", "trade_date", "v")

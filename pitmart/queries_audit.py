@@ -31,25 +31,6 @@ def _l2(spark: SparkSession, d: str) -> DataFrame:
     return market.norm_ratio(margin, under, "trade_date")
 
 
-_M1 = f"{panel_sql('index_quotes')}, x AS (SELECT *, row_number() OVER w AS n, (close / lag(close, 5) OVER w - 1) * 100 AS change, list(close) OVER (w ROWS 249 PRECEDING) AS a FROM index_quotes WINDOW w AS (PARTITION BY index_id ORDER BY trade_date)), y AS (SELECT *, CASE WHEN len(a) >= 20 THEN (len([v FOR v IN a IF v < close]) + len([v FOR v IN a IF v = close]) / 2) / len(a) END AS position FROM x), z AS (SELECT *, CASE WHEN change > 0.5 THEN 1 WHEN change < -0.5 THEN -1 ELSE 0 END + CASE WHEN position >= 0.6 THEN 1 WHEN position <= 0.4 THEN -1 ELSE 0 END AS score FROM y), m1 AS (SELECT index_id, trade_date, change, position, score, CASE WHEN n < 6 THEN 'UNKNOWN' WHEN score > 0 THEN 'STRONG' WHEN score < 0 THEN 'WEAK' ELSE 'NEUTRAL' END AS state FROM z)"
-
-
-def _m1(spark: SparkSession, d: str) -> DataFrame:
-    return market.liquidity_layer(panel(spark, d, "index_quotes"), "index_id", "trade_date", "close")
-
-
-@add("M1_liquidity_layer", f"{_M1} SELECT * FROM m1", "change position")
-def _m1_query(spark: SparkSession, d: str) -> DataFrame:
-    return _m1(spark, d)
-
-
-@add("M8_quadrants", f"{_M1}, {_M2.split('WITH ', 1)[1].replace('x AS (', 'x2 AS (').replace('FROM x)', 'FROM x2)')}, q AS (SELECT m1.trade_date, position, ratio FROM m1 JOIN v ON m1.trade_date = v.trade_date WHERE index_id = 'ASIA' AND exchange = 'A') SELECT trade_date, CASE WHEN position >= 0.65 THEN 'high' WHEN position <= 0.35 THEN 'low' ELSE 'middle' END || '_' || CASE WHEN ratio >= 1.1 THEN 'expanding' WHEN ratio <= 0.9 THEN 'shrinking' ELSE 'steady' END AS quadrant FROM q WHERE position IS NOT NULL AND ratio IS NOT NULL")
-def _m8(spark: SparkSession, d: str) -> DataFrame:
-    place = _m1(spark, d).where("index_id = 'ASIA'").select("trade_date", "position")
-    both = place.join(_m2(spark, d).where("exchange = 'A'").select("trade_date", "ratio"), "trade_date")
-    return both.select("trade_date", market.quadrant(F.col("position"), F.col("ratio")).alias("quadrant")).where("quadrant is not null")
-
-
 @add("M12_pending", f"{_M2}, {_m5_sql('v', 'exchange', 'trade_date')} SELECT exchange, trade_date, confirmed AS from_state, state AS to_state FROM confirmed WHERE state <> confirmed")
 def _m12(spark: SparkSession, d: str) -> DataFrame:
     rows = market.confirmed(_m2(spark, d).select("exchange", "trade_date", "state"), "exchange", "trade_date", "state")
@@ -72,25 +53,11 @@ def _n4(spark: SparkSession, d: str) -> DataFrame:
     return market.switches(_m2(spark, d), ["exchange"], "exchange", "trade_date", "state")
 
 
-@add("H1_return_basis", "SELECT p_partkey, CASE WHEN contains(n, 'net total') THEN 'net_total_return' WHEN contains(n, 'total') THEN 'total_return' WHEN contains(n, 'price') THEN 'price' ELSE 'unknown' END AS basis FROM (SELECT p_partkey, lower(p_type || CASE p_partkey % 4 WHEN 0 THEN ' Net Total Return' WHEN 1 THEN ' TOTAL' WHEN 2 THEN ' price index' ELSE '' END) AS n FROM part)")
-def _h1(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    name = F.concat("p_type", F.when(k == 0, " Net Total Return").when(k == 1, " TOTAL").when(k == 2, " price index").otherwise(""))
-    return _table(spark, d, "part").select("p_partkey", metrics.return_basis(name).alias("basis"))
-
-
 @add("I3_group_members", "SELECT s_nationkey, string_agg(s_name, '|' ORDER BY s_name) AS members, count(*) AS n FROM supplier GROUP BY 1")
 def _i3(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), "|").alias("members"), F.count("*").alias("n"))
 
 
-@add("I7_peer_mart", f"{panel_sql('shares')}, l AS (SELECT security_id, shares, nav, security_id % 4 AS g FROM shares QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY trade_date DESC) = 1) SELECT security_id, CAST(count(*) OVER (PARTITION BY g) AS BIGINT) AS peer_count, CASE WHEN count(*) OVER (PARTITION BY g) >= 3 THEN percent_rank() OVER (PARTITION BY g ORDER BY shares) END AS size_pct, CASE WHEN count(*) OVER (PARTITION BY g) >= 3 THEN percent_rank() OVER (PARTITION BY g ORDER BY nav DESC) END AS nav_pct FROM l", "size_pct nav_pct")
-def _i7(spark: SparkSession, d: str) -> DataFrame:
-    rows = metrics.latest(panel(spark, d, "shares"), "security_id", "trade_date").withColumn("g", F.col("security_id") % 4)
-    size = groups.peer_percentile(rows, "g", "shares").withColumnRenamed("rank_pct", "size_pct")
-    return groups.peer_percentile(size.drop("peer_count"), "g", "nav", best_high=False).select("security_id", "peer_count", "size_pct", F.col("rank_pct").alias("nav_pct"))
-
-
 @add("K9_aum_coalesce", f"{panel_sql('fund_master')} SELECT fund_id, coalesce(CASE WHEN fund_id % 4 <> 0 THEN fee * 2 END, CASE WHEN observed <= DATE '1998-01-31' THEN fee END) AS aum FROM fund_master", "aum")
 def _k9(spark: SparkSession, d: str) -> DataFrame:
     from pitmart.operators import pit
@@ -156,7 +123,8 @@ def _m14(spark: SparkSession, d: str) -> DataFrame:
     return metrics.latest(_m2(spark, d), "exchange", "trade_date", "1999-06-30")
 
 
-@add("N9_aligned_states", f"{_M2} SELECT exchange, trade_date, state FROM v WHERE trade_date IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 10 = 0)")
+@add("N9_aligned_states", f"{_M2}, ix AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date FROM lineitem WHERE day(l_shipdate) <> 13), al AS (SELECT v.*, CASE WHEN year(trade_date) < 1998 THEN 'pulse_v1' ELSE 'pulse_v2' END AS version FROM v WHERE trade_date IN (SELECT trade_date FROM ix)) SELECT exchange, count(*) AS days, min(trade_date) AS since, max(trade_date) AS until, count(DISTINCT year(trade_date)) AS years, count(DISTINCT version) > 1 AS mixed_versions FROM al GROUP BY 1")
 def _n9(spark: SparkSession, d: str) -> DataFrame:
-    days = _table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderdate").cast("date").alias("trade_date")).distinct()
-    return _m2(spark, d).join(days, "trade_date", "left_semi").select("exchange", "trade_date", "state")
+    days = _table(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("trade_date")).where(F.dayofmonth("trade_date") != 13).distinct()
+    states = _m2(spark, d).withColumn("version", F.when(F.year("trade_date") < 1998, "pulse_v1").otherwise("pulse_v2"))
+    return market.alignment(states, days, "exchange", "trade_date", "version")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitmart.operators import calendar, checks, groups, market, merge, metrics, pit
+from pitmart.operators import calendar, checks, groups, market, merge, metrics, pit, pulse
 from pitmart.operators import series as s
 from pitmart.panels import panel, panel_sql
 from pitmart.queries import add
+from pitmart.queries_pulse import volume_sql
 
 ASOF = "1999-06-30"
 _LAST = "QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY {d} DESC) = 1"
@@ -80,15 +81,35 @@ def _k8(spark: SparkSession, d: str) -> DataFrame:
     return pit.top(found, 15, F.desc_nulls_last("turnover_amount"), F.asc("security_id")).select("security_id", "close", "turnover_amount", "stale_blocks")
 
 
-@add("K10_tags_joined", f"{panel_sql('fund_index')} SELECT fund_id, string_agg(index_id, '|' ORDER BY index_id) AS tags FROM (SELECT DISTINCT fund_id, index_id FROM fund_index) GROUP BY 1")
+_TAGGED = f"(valid_from IS NULL OR valid_from <= DATE '{ASOF}') AND (valid_to IS NULL OR valid_to > DATE '{ASOF}')"
+
+
+def _tags(spark: SparkSession, d: str) -> DataFrame:
+    return panel(spark, d, "fund_tag")
+
+
+@add("K10_tags_joined", f"{panel_sql('fund_tag')} SELECT fund_id, string_agg(tag, '|' ORDER BY tag) AS tags FROM (SELECT DISTINCT fund_id, tag FROM fund_tag WHERE {_TAGGED}) GROUP BY 1")
 def _k10(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d, "fund_index").groupBy("fund_id").agg(F.array_join(F.array_sort(F.collect_set("index_id")), "|").alias("tags"))
+    return groups.tags_asof(_tags(spark, d), "fund_id", ASOF).groupBy("fund_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), "|").alias("tags"))
+
+
+@add("J8_tags_asof", f"{panel_sql('fund_tag')} SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY confidence DESC NULLS LAST, tag) AS rank FROM fund_tag WHERE {_TAGGED}", "confidence")
+def _j8(spark: SparkSession, d: str) -> DataFrame:
+    return groups.tags_asof(_tags(spark, d), "fund_id", ASOF)
+
 
+_FACTS = f"{panel_sql('fund_tag', 'shares', 'quotes')}, f AS (SELECT security_id AS fund_id, shares * nav AS aum, trade_date AS share_date FROM shares WHERE trade_date <= DATE '{ASOF}' {_LAST.format(k='security_id', d='trade_date')}), g AS (SELECT CAST(substr(security_id, 2) AS BIGINT) AS fund_id, ret, trade_date AS quote_date FROM (SELECT *, close / lag(close, 20) OVER (PARTITION BY security_id ORDER BY trade_date) - 1 AS ret FROM quotes) WHERE trade_date <= DATE '{ASOF}' {_LAST.format(k='security_id', d='trade_date')}), w AS (SELECT security_id AS fund_id, pct FROM (SELECT *, (shares - lag(shares, 20) OVER (PARTITION BY security_id ORDER BY trade_date)) / lag(shares, 20) OVER (PARTITION BY security_id ORDER BY trade_date) AS pct FROM shares) WHERE trade_date <= DATE '{ASOF}' {_LAST.format(k='security_id', d='trade_date')})"
 
-@add("K11_themes", f"{panel_sql('fund_index', 'fund_master')} SELECT index_id AS tag, count(DISTINCT fund_id) AS funds, sum(fee) AS aum, avg(fee) AS mean_return FROM (SELECT DISTINCT fund_id, index_id FROM fund_index) LEFT JOIN fund_master USING (fund_id) GROUP BY 1 HAVING count(DISTINCT fund_id) >= 3", "aum mean_return")
+
+@add("K11_themes", f"{_FACTS} SELECT tag, tag_type, count(DISTINCT fund_id) AS funds, sum(aum) AS aum, avg(ret) AS mean_return, avg(pct) AS mean_flow_pct, max(confidence) AS coverage, max(share_date) AS share_date, max(quote_date) AS quote_date FROM (SELECT fund_id, tag, tag_type, max(confidence) AS confidence FROM fund_tag WHERE {_TAGGED} GROUP BY ALL) LEFT JOIN f USING (fund_id) LEFT JOIN g USING (fund_id) LEFT JOIN w USING (fund_id) GROUP BY 1, 2 HAVING count(DISTINCT fund_id) >= 2 ORDER BY aum DESC NULLS LAST, tag LIMIT 30", "aum mean_return mean_flow_pct coverage")
 def _k11(spark: SparkSession, d: str) -> DataFrame:
-    facts = panel(spark, d, "fund_master").select("fund_id", F.col("fee").alias("aum"), F.col("fee").alias("ret"))
-    return pit.themes(panel(spark, d, "fund_index").withColumnRenamed("index_id", "tag"), facts, "fund_id", 3)
+    shares = panel(spark, d, "shares").withColumnRenamed("security_id", "fund_id")
+    sw = s.over("fund_id")
+    shares = shares.withColumn("pct", (F.col("shares") - F.lag("shares", 20).over(sw)) / F.lag("shares", 20).over(sw))
+    shares = pit.asof_rows(shares, "fund_id", "trade_date", ASOF).select("fund_id", (F.col("shares") * F.col("nav")).alias("aum"), "pct", F.col("trade_date").alias("share_date"))
+    quotes = panel(spark, d, "quotes").withColumn("fund_id", F.expr("CAST(substr(security_id, 2) AS BIGINT)")).withColumn("ret", F.col("close") / F.lag("close", 20).over(s.over("security_id")) - 1)
+    quotes = pit.asof_rows(quotes, "fund_id", "trade_date", ASOF).select("fund_id", "ret", F.col("trade_date").alias("quote_date"))
+    return pit.themes(groups.tags_asof(_tags(spark, d), "fund_id", ASOF), shares.join(quotes, "fund_id", "full_outer"), "fund_id", 2, 30)
 
 
 @add("K13_quote_search", f"{panel_sql('quotes_wide')}, {_BLOCKS} SELECT security_id, quote_date, turnover_amount FROM q WHERE security_id ILIKE '%mach%'", "turnover_amount")
@@ -270,12 +291,12 @@ def _l9(spark: SparkSession, d: str) -> DataFrame:
 
 
 # M: states
-_M2 = f"{panel_sql('turnover')}, x AS (SELECT exchange, trade_date, CASE WHEN count(turnover_amount) OVER w = 5 THEN turnover_amount / avg(turnover_amount) OVER w END AS ratio FROM turnover WINDOW w AS (PARTITION BY exchange ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)), v AS (SELECT *, CASE WHEN ratio IS NULL THEN 'UNKNOWN' WHEN ratio >= 1.1 THEN 'STRONG' WHEN ratio <= 0.9 THEN 'WEAK' ELSE 'NEUTRAL' END AS state FROM x)"
+_M2 = f"{panel_sql('m_turnover')}, t AS (SELECT market_id AS exchange, trade_date, amount FROM m_turnover), {volume_sql('t', 'exchange', 'amount', 'vol')}, v AS (SELECT exchange, trade_date, ratio, state FROM vol)"
 
 
-@add("M2_volume_layer", f"{_M2} SELECT * FROM v", "ratio")
 def _m2(spark: SparkSession, d: str) -> DataFrame:
-    return market.volume_layer(panel(spark, d, "turnover"), "exchange", "trade_date", "turnover_amount")
+    rows = panel(spark, d, "m_turnover").withColumnRenamed("market_id", "exchange")
+    return pulse.volume_layer(rows, "exchange", "trade_date", "amount").select("exchange", "trade_date", "ratio", "state")
 
 
 @add("M3_basket_layer", "SELECT o_orderkey, CASE WHEN size = 0 OR (five IS NULL AND twenty IS NULL) THEN 'UNKNOWN' WHEN p > 0 THEN 'STRONG' WHEN p < 0 THEN 'WEAK' ELSE 'NEUTRAL' END AS state FROM (SELECT *, CASE WHEN five > 0 THEN 1 WHEN five IS NOT NULL THEN -1 ELSE 0 END + CASE WHEN twenty > 0 THEN 1 WHEN twenty IS NOT NULL THEN -1 ELSE 0 END AS p FROM (SELECT o_orderkey, o_custkey % 5 AS size, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 3 - 1 END AS five, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 7 - 3 END AS twenty FROM orders))")
@@ -284,12 +305,6 @@ def _m3(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders").select("o_orderkey", market.basket_layer(F.col("o_custkey") % 5, F.when(k % 4 != 0, k % 3 - 1), F.when(k % 6 != 0, k % 7 - 3)).alias("state"))
 
 
-@add("M4_overall", f"{_M2}, a AS (SELECT trade_date, max(state) FILTER (WHERE exchange = 'A') AS sa, max(state) FILTER (WHERE exchange = 'B') AS sb FROM v GROUP BY 1), c AS (SELECT trade_date, coalesce(sa, 'UNKNOWN') AS sa, coalesce(sb, 'UNKNOWN') AS sb FROM a) SELECT trade_date, CASE WHEN (sa <> 'UNKNOWN')::INT + (sb <> 'UNKNOWN')::INT < 2 THEN 'unknown' WHEN (sa = 'STRONG')::INT + (sb = 'STRONG')::INT >= 2 THEN 'strong' WHEN (sa = 'STRONG')::INT + (sb = 'STRONG')::INT = 1 THEN 'mixed' ELSE 'weak' END AS overall FROM c")
-def _m4(spark: SparkSession, d: str) -> DataFrame:
-    states = _m2(spark, d).groupBy("trade_date").agg(*(F.coalesce(F.max(F.when(F.col("exchange") == e, F.col("state"))), F.lit("UNKNOWN")).alias(e) for e in "AB"))
-    return states.select("trade_date", market.overall(F.col("A"), F.col("B")).alias("overall"))
-
-
 def _m5_sql(source: str, key: str, day: str) -> str:
     w = f"(PARTITION BY {key} ORDER BY {day})"
     return f"""p AS (SELECT *, lag(state) OVER {w} AS prev FROM {source}),
@@ -304,11 +319,6 @@ def _m5(spark: SparkSession, d: str) -> DataFrame:
     return market.confirmed(_m2(spark, d).select("exchange", "trade_date", "state"), "exchange", "trade_date", "state")
 
 
-@add("M9_transitions", f"{panel_sql('states')}, p AS (SELECT *, lag(state) OVER (PARTITION BY series_id ORDER BY day) AS prev FROM states) SELECT series_id, day, prev AS from_state, state AS to_state, CASE WHEN prev = 'UNKNOWN' OR state = 'UNKNOWN' THEN 'coverage' ELSE 'market' END AS kind FROM p WHERE prev IS NOT NULL AND prev <> state")
-def _m9(spark: SparkSession, d: str) -> DataFrame:
-    return market.transitions(panel(spark, d, "states"), "series_id", "day", "state")
-
-
 _RUNS = f"{_M2}, {_m5_sql('v', 'exchange', 'trade_date')}, runs AS (SELECT exchange, state, count(*) AS days, min(trade_date) AS since FROM r GROUP BY exchange, island, state)"
 
 
@@ -322,24 +332,43 @@ def _n3(spark: SparkSession, d: str) -> DataFrame:
     return market.state_summary(_m2(spark, d), "exchange", "trade_date", "state")
 
 
-_N5 = f"{panel_sql('index_quotes')}, f AS (SELECT *, list(close) OVER (PARTITION BY index_id ORDER BY trade_date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING) AS a FROM index_quotes), n5 AS (SELECT index_id, trade_date, CASE WHEN len(a) = 21 THEN a[21] / close - 1 END AS forward_return, CASE WHEN len(a) = 21 THEN list_min([list_min(a[i:]) / a[i] - 1 FOR i IN range(1, 22)]) END AS forward_drawdown, CASE WHEN len(a) = 21 THEN list_min(a[2:]) / close - 1 END AS adverse FROM f)"
+def _n5_sql(n: int, source: str = "index_quotes", key: str = "index_id", name: str = "n5") -> str:
+    fall = "list_min([list_min(q[i:]) / q[i] - 1 FOR i IN range(1, len(q) + 1)])"
+    return f"{name} AS (SELECT {key}, trade_date, a[len(a)] / close - 1 AS forward_return, CASE WHEN a IS NOT NULL THEN {fall} END AS forward_drawdown, list_min(a) / close - 1 AS adverse FROM (SELECT *, list_concat([close], a) AS q FROM (SELECT {key}, trade_date, close, CASE WHEN fits AND close > 0 AND len(b) > 0 THEN b END AS a FROM (SELECT *, [v FOR v IN list(close) OVER (PARTITION BY {key} ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) IF v IS NOT NULL] AS b, lead(trade_date, {n}) OVER (PARTITION BY {key} ORDER BY trade_date) IS NOT NULL AS fits FROM {source}))))"
+
+
+def _gapped(spark: SparkSession, d: str) -> DataFrame:
+    return panel(spark, d, "m_index")
 
 
-@add("N5_forward_outcomes", f"{_N5} SELECT * FROM n5", "forward_return forward_drawdown adverse")
+@add("N5_forward_outcomes", f"{panel_sql('m_index')}, {', '.join(_n5_sql(n, 'm_index', 'market_id', f'n{n}') for n in (5, 20, 60))} {' UNION ALL '.join(f'SELECT *, {n} AS days FROM n{n}' for n in (5, 20, 60))}", "forward_return forward_drawdown adverse")
 def _n5(spark: SparkSession, d: str) -> DataFrame:
-    return market.forward_outcomes(panel(spark, d, "index_quotes"), "index_id", "trade_date", "close", 20)
+    parts = [market.forward_outcomes(_gapped(spark, d), "market_id", "trade_date", "close", n).withColumn("days", F.lit(n)) for n in (5, 20, 60)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@add("N7_outcome_stats", f"{_N5} SELECT index_id, year(trade_date) AS year, count(*) AS n, avg(forward_return) AS mean, median(forward_return) AS median, quantile_cont(forward_return, 0.1) AS p10, quantile_cont(forward_return, 0.9) AS p90 FROM n5 WHERE forward_return IS NOT NULL GROUP BY 1, 2", "mean median p10 p90")
+@add("N6_adverse_excursion", f"{panel_sql('m_index')}, {_n5_sql(20, 'm_index', 'market_id')} SELECT market_id, trade_date, adverse FROM n5", "adverse")
+def _n6(spark: SparkSession, d: str) -> DataFrame:
+    return market.forward_outcomes(_gapped(spark, d), "market_id", "trade_date", "close", 20).select("market_id", "trade_date", "adverse")
+
+
+_S = f"{panel_sql('m_turnover', 'm_index')}, {volume_sql('m_turnover', 'market_id', 'amount', 'vol')}, st AS (SELECT market_id, trade_date, state, year(trade_date) AS year, lag(state) OVER (PARTITION BY market_id ORDER BY trade_date) IS DISTINCT FROM state AS enters, close FROM vol LEFT JOIN m_index USING (market_id, trade_date)), {', '.join(_n5_sql(n, 'st', 'market_id', f'o{n}') for n in (5, 20, 60))}, o AS ({' UNION ALL '.join(f'SELECT *, {n} AS win FROM o{n}' for n in (5, 20, 60))}), sm AS (SELECT st.market_id, st.year, st.state, win, forward_return AS r, forward_drawdown AS dd, unnest(CASE WHEN enters THEN ['daily', 'transition'] ELSE ['daily'] END) AS sample FROM st JOIN o USING (market_id, trade_date) WHERE state <> 'UNKNOWN' AND forward_return IS NOT NULL)"
+_STATS = "count(*) AS n, avg(r) AS mean, median(r) AS median, quantile_cont(r, 0.1) AS p10, quantile_cont(r, 0.9) AS p90, avg(dd) AS drawdown_mean, min(dd) AS drawdown_worst"
+
+
+def _outcomes(spark: SparkSession, d: str, by: tuple[str, ...] = ()) -> DataFrame:
+    states = pulse.volume_layer(panel(spark, d, "m_turnover"), "market_id", "trade_date", "amount").select("market_id", "trade_date", "state").withColumn("year", F.year("trade_date"))
+    return market.state_outcomes(states, _gapped(spark, d), "market_id", "trade_date", "state", "close", by=by)
+
+
+@add("N7_outcome_stats", f'{_S} SELECT market_id, state, win AS "window", sample, {_STATS} FROM sm GROUP BY ALL', "mean median p10 p90 drawdown_mean drawdown_worst")
 def _n7(spark: SparkSession, d: str) -> DataFrame:
-    return market.outcome_stats(_n5(spark, d).withColumn("year", F.year("trade_date")), ["index_id", "year"], "forward_return")
+    return _outcomes(spark, d)
 
 
-# H: against an index
-@add("H4_tracking", f"{panel_sql('quotes', 'index_quotes')}, i AS (SELECT trade_date, close AS ic, close / lag(close) OVER (ORDER BY trade_date) - 1 AS ri FROM index_quotes WHERE index_id = 'ASIA'), o AS (SELECT *, close / lag(close) OVER (PARTITION BY security_id ORDER BY trade_date) - 1 AS rn FROM quotes WHERE close > 0), b AS (SELECT security_id, trade_date, close, ic, rn - ri AS gap FROM o JOIN i USING (trade_date)) SELECT security_id, trade_date, CASE WHEN count(*) OVER l = 21 THEN close / first(close) OVER l - 1 END AS nav_return, CASE WHEN count(*) OVER l = 21 THEN ic / first(ic) OVER l - 1 END AS index_return, CASE WHEN count(*) OVER l = 21 THEN (close / first(close) OVER l - 1) - (ic / first(ic) OVER l - 1) END AS tracking_difference, CASE WHEN count(gap) OVER s >= 20 THEN stddev_samp(gap) OVER s * sqrt(242) END AS tracking_error FROM b WINDOW l AS (PARTITION BY security_id ORDER BY trade_date ROWS 20 PRECEDING), s AS (PARTITION BY security_id ORDER BY trade_date ROWS 19 PRECEDING)", "nav_return index_return tracking_difference tracking_error")
-def _h4(spark: SparkSession, d: str) -> DataFrame:
-    index = panel(spark, d, "index_quotes").where("index_id = 'ASIA'").withColumnRenamed("close", "ic")
-    return metrics.tracking(panel(spark, d, "quotes"), index, "security_id", "trade_date", "close", "ic", 20)
+@add("N8_yearly_outcomes", f'{_S} SELECT market_id, year, state, win AS "window", sample, {_STATS} FROM sm GROUP BY ALL', "mean median p10 p90 drawdown_mean drawdown_worst")
+def _n8_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return _outcomes(spark, d, ("year",))
 
 
 # I: peers, J: holdings
@@ -349,15 +378,6 @@ def _i6(spark: SparkSession, d: str) -> DataFrame:
     return groups.peer_percentile(rows, "s_nationkey", "v").select("s_suppkey", "s_nationkey", "peer_count", "rank_pct")
 
 
-@add("I1_peer_groups", f"{panel_sql('fund_master', 'fund_index')}, v AS (SELECT * FROM fund_index WHERE {_VALID}), g AS (SELECT fund_id, coalesce('index:' || v.index_id, 'name:' || master_index, 'tag:' || name) AS peer_group FROM fund_master LEFT JOIN v USING (fund_id)) SELECT fund_id, peer_group, count(*) OVER (PARTITION BY peer_group) AS members FROM g")
-def _i1(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    mapped = pit.valid_rows(panel(spark, d, "fund_index"), "fund_id", ASOF, tie="index_id").select("fund_id", "index_id")
-    rows = panel(spark, d, "fund_master").join(mapped, "fund_id", "left").select("fund_id", groups.peer_group(F.col("index_id"), F.col("master_index"), F.col("name")).alias("peer_group"))
-    return rows.withColumn("members", F.count("*").over(Window.partitionBy("peer_group")))
-
-
 _J1 = f"{panel_sql('holdings', 'industry')}, h AS (SELECT * FROM holdings WHERE report_date <= DATE '{ASOF}' AND (disclosed IS NULL OR disclosed <= DATE '{ASOF}') QUALIFY report_date = max(report_date) OVER (PARTITION BY etf_id)), t AS (SELECT *, row_number() OVER (PARTITION BY etf_id ORDER BY weight_pct DESC NULLS LAST, stock_id) AS rank FROM h QUALIFY rank <= 10)"
 
 
@@ -370,22 +390,12 @@ def _j2(spark: SparkSession, d: str) -> DataFrame:
     return _top10(spark, d)
 
 
-@add("J4_concentration", f"{_J1}, c AS (SELECT etf_id, CASE WHEN max(weight_pct) > 1.05 THEN sum(weight_pct) ELSE sum(weight_pct) * 100 END AS total, min(weight_pct) AS least FROM t GROUP BY 1) SELECT etf_id, CASE WHEN least >= 0 AND total <= 105 THEN total END AS concentration, CASE WHEN least < 0 THEN 'negative_weight' WHEN total > 105 THEN 'total_over_105' END AS reason FROM c", "concentration")
-def _j4(spark: SparkSession, d: str) -> DataFrame:
-    return groups.concentration(_top10(spark, d), "etf_id")
-
-
-@add("J5_overlap", f"{_J1}, z AS (SELECT etf_id, count(DISTINCT stock_id) AS n FROM h GROUP BY 1), o AS (SELECT a.etf_id AS a, b.etf_id AS b, count(*) AS common, sum(least(a.weight_pct, b.weight_pct)) AS weight FROM h a JOIN h b ON a.stock_id = b.stock_id AND a.etf_id < b.etf_id GROUP BY 1, 2) SELECT a, b, common, weight, common / least(x.n, y.n) AS share FROM o JOIN z x ON a = x.etf_id JOIN z y ON b = y.etf_id", "weight share")
-def _j5(spark: SparkSession, d: str) -> DataFrame:
-    return groups.overlap(_top10(spark, d, 1_000_000), "etf_id")
-
-
 _J6 = f"{_J1}, w AS (SELECT etf_id, coalesce(industry_name, 'unclassified') AS industry, sum(weight_pct) AS weight FROM h LEFT JOIN industry USING (stock_id) GROUP BY 1, 2)"
 
 
 @add("J6_industry_weights", f"{_J6} SELECT * FROM w", "weight")
 def _j6(spark: SparkSession, d: str) -> DataFrame:
-    return groups.industry_weights(_top10(spark, d, 1_000_000), panel(spark, d, "industry"), "etf_id")
+    return groups.industry_weights(groups.latest_report(panel(spark, d, "holdings"), "etf_id", ASOF), panel(spark, d, "industry"), "etf_id")
 
 
 @add("J7_industry_tags", f"{_J6}, k AS (SELECT etf_id, industry, weight / total AS share FROM (SELECT *, sum(weight) OVER (PARTITION BY etf_id) AS total FROM w WHERE weight > 0) WHERE industry <> 'unclassified'), r AS (SELECT *, row_number() OVER (PARTITION BY etf_id ORDER BY share DESC, industry) AS rank, sum(share) OVER (PARTITION BY etf_id) AS coverage, count(*) OVER (PARTITION BY etf_id) AS n, max(share) OVER (PARTITION BY etf_id) AS top FROM k) SELECT etf_id, industry AS tag, 'primary' AS tag_type, coverage FROM r WHERE rank = 1 AND share >= 0.30 UNION ALL SELECT etf_id, industry, 'secondary', coverage FROM r WHERE rank > 1 AND share >= 0.18 UNION ALL SELECT etf_id, 'diversified', 'style', coverage FROM r WHERE rank = 1 AND top < 0.30 AND coverage >= 0.80 AND n >= 3", "coverage")

@@ -7,8 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pitmart import queries, queries_audit, queries_more, queries_norm  # noqa: F401
-from pitmart.operators import checks, flow, groups, market, merge, metrics, pit
+from pitmart import queries, queries_audit, queries_marts, queries_more, queries_norm, queries_pulse  # noqa: F401
+from pitmart.operators import checks, flow, groups, market, merge, metrics, pit, pulse, records
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -113,3 +113,87 @@ def test_peer_percentile_needs_three(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", None), ("b", 1.0), ("b", 2.0)], "g string, v double")
     got = sorted((r["g"], r["v"], r["rank_pct"]) for r in groups.peer_percentile(df, "g", "v").collect())
     assert got == [("a", 1.0, 0.0), ("a", 2.0, 0.5), ("a", 2.0, 0.5), ("b", 1.0, None), ("b", 2.0, None)]
+
+
+def test_volume_layer_scores_ratio_and_percentile_and_keeps_days_without_turnover(spark):
+    rows = {r["trade_date"]: r for r in pulse.volume_layer(days(spark, [5e11] * 8 + [None, 6e11], "amount"), "security_id", "trade_date", "amount").collect()}
+    states = [rows[d]["state"] for d in sorted(rows)]
+    assert states == ["UNKNOWN"] * 5 + ["NEUTRAL"] * 3 + ["UNKNOWN", "STRONG"]
+    rising = days(spark, [100.0 + i for i in range(90)], "amount")
+    last = pulse.volume_layer(rising, "security_id", "trade_date", "amount").orderBy(F.desc("trade_date")).first()
+    # the ratio is flat, the mean of 20 rows is the highest of 71
+    assert last["ratio"] == pytest.approx(189 / 186) and last["position"] == pytest.approx(70.5 / 71) and (last["score"], last["state"]) == (1, "STRONG")
+
+
+def test_pulse_replay_of_a_rising_margin(spark):
+    day = [dt.date(2026, 8, 3) + dt.timedelta(i) for i in range(12)]
+    turnover = spark.createDataFrame([("cn", d, 1e12) for d in day], "market string, trade_date date, amount double")
+    margin = spark.createDataFrame([("cn", d, 1.9 * (1e12 + 1.5e10 * i)) for i, d in enumerate(day)], "market string, trade_date date, balance double")
+    basket = spark.createDataFrame([], "market string, trade_date date, basket_size int, net_5d double, net_20d double")
+    index = spark.createDataFrame([("cn", d, 4000.0) for d in day], "market string, trade_date date, close double")
+    last = pulse.replay(turnover, margin, basket, index, "market", "trade_date", last=1).first()
+    assert (last["liquidity_state"], last["volume_state"], last["etf_state"], last["overall_state"]) == ("STRONG", "NEUTRAL", "UNKNOWN", "中性观望")
+
+
+def test_transitions_name_the_leading_layer_and_coverage(spark):
+    rows = spark.createDataFrame([("m", k, *x) for k, x in enumerate([("WEAK", "WEAK", "UNKNOWN", "防守"), ("STRONG", "WEAK", "UNKNOWN", "中性观望"), ("STRONG", "WEAK", "WEAK", "中性观望"), ("WEAK", "STRONG", "WEAK", "中性观望"), ("WEAK", "STRONG", "WEAK", "中性观望")])], "m string, day int, liquidity_state string, volume_state string, etf_state string, overall_state string")
+    got = [(r["day"], r["leading_layer"], r["kind"], r["significance"], r["overall_changed"]) for r in pulse.transitions(rows, "m", "day").orderBy("day").collect()]
+    assert got == [(1, "liquidity", "market", "资金先行信号", True), (2, "etf", "coverage", "数据开始覆盖/中断", False), (3, None, "market", "多层共振转向", False)]
+
+
+def test_concentration_checks_all_holdings_and_is_a_fraction(spark):
+    rows = [("pct", k, 6.0) for k in range(12)] + [("frac", k, 0.06) for k in range(12)] + [("over", k, 9.0) for k in range(12)] + [("neg", 0, 50.0), ("neg", 1, -1.0), ("none", 0, None)]
+    got = {r["fund"]: (r["concentration"], r["reason"]) for r in groups.concentration(spark.createDataFrame(rows, "fund string, stock_id int, weight_pct double"), "fund").collect()}
+    assert got["pct"] == (pytest.approx(0.6), None) and got["frac"] == (pytest.approx(0.6), None)
+    assert got["over"] == got["neg"] == (None, "holding_weight_conflict") and got["none"] == (None, "holding_weights_unavailable")
+
+
+def test_overlap_counts_unknown_weights_as_zero_and_keeps_pairs_without_overlap(spark):
+    held = spark.createDataFrame([("a", 1, 0.4), ("a", 2, None), ("b", 1, 0.3), ("b", 2, 0.5), ("b", 3, 0.1), ("c", 9, 1.0)], "fund string, stock_id int, weight_pct double")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "z")], "a string, b string")
+    got = {r["b"]: tuple(r)[2:] for r in groups.overlap(held, pairs, "fund").collect()}
+    assert got["b"] == (1.0, pytest.approx(0.3), 0.2, "1,2") and got["c"] == (0.0, 0.0, 0.0, "") and got["z"] == (None, None, None, "")
+    weights = spark.createDataFrame([("a", "x", 0.6), ("a", "y", 0.4), ("b", "x", 0.2), ("c", "q", 1.0)], "fund string, industry string, weight double")
+    assert {r["b"]: r["industry_overlap"] for r in groups.industry_overlap(weights, pairs, "fund").collect()} == {"b": 0.2, "c": 0.0, "z": None}
+
+
+def test_outcomes_need_a_known_close_ahead_and_skip_unknown(spark):
+    closes = days(spark, [10.0, None, None, None, 8.0, 12.0, 9.0])
+    got = [r["forward_return"] for r in market.forward_outcomes(closes, "security_id", "trade_date", "close", 3).orderBy("trade_date").collect()]
+    assert got[0] is None and got[3] is None  # unknown closes ahead give no sample, nor does an unknown start
+    states = spark.createDataFrame([("s", dt.date(2026, 8, 7) + dt.timedelta(i), x) for i, x in enumerate(["UP", "UP", "UNKNOWN", "UP", "DOWN", "DOWN"])], "security_id string, trade_date date, state string")
+    prices = days(spark, [10.0, 11.0, 12.0, 13.0, 12.0, 14.0])
+    found = {(r["state"], r["sample"]): (r["n"], round(r["mean"], 6)) for r in market.state_outcomes(states, prices, "security_id", "trade_date", "state", "close", (1,)).collect()}
+    assert found == {("UP", "daily"): (3, round((0.1 + 1 / 11 - 1 / 13) / 3, 6)), ("UP", "transition"): (2, round((0.1 - 1 / 13) / 2, 6)), ("DOWN", "daily"): (1, round(1 / 6, 6)), ("DOWN", "transition"): (1, round(1 / 6, 6))}
+
+
+def test_return_basis_by_fixed_keywords(spark):
+    names = ["沪深300全收益", "沪深300净收益", "沪深300价格", "沪深300", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r[0] for r in df.select(metrics.return_basis(F.col("name"))).collect()] == ["total_return_index", "net_total_return_index", "price_index", "unknown", "unknown"]
+
+
+def test_tracking_refuses_with_a_reason(spark):
+    index = days(spark, [100.0 + i for i in range(30)], "ic", "x").select("trade_date", "ic")
+    for nav, basis, reason in (([1.0 + 0.01 * i for i in range(30)], "price_index", None), ([1.0] * 30, "unknown", metrics.UNKNOWN_BASIS), ([1.0] * 30, "total_return_index", metrics.TOTAL_BASIS), ([1.0] * 20 + [2.0] * 10, "price_index", metrics.JUMPED), ([1.0] * 10, "price_index", metrics.SHORT)):
+        df = days(spark, nav, "nav").withColumn("basis", F.lit(basis))
+        last = metrics.tracking(df, index, "security_id", "trade_date", "nav", "ic", (20,), (), "basis").orderBy(F.desc("trade_date")).first()
+        assert last["reason_20"] == reason and (last["difference_20"] is None) == (reason is not None)
+
+
+def test_flows_on_adjusted_shares_ignore_a_split(spark):
+    df = days(spark, [100.0] * 5 + [101.0] * 20, "adjusted_shares").withColumn("adjusted_nav", F.lit(2.0)).withColumn("factor", F.when(F.col("trade_date") < dt.date(2026, 8, 20), 1.0).otherwise(2.0))
+    last = flow.adjusted_flows(df).orderBy(F.desc("trade_date")).first()
+    assert (last["share_change_20d"], last["net_subscription_20d"], last["share_change_pct_20d"], last["quality"]) == (2.0, 2.0, 0.01, "adjusted")
+
+
+def test_peer_group_passes_over_empty_ids(spark):
+    df = spark.createDataFrame([("i", "n", "t"), ("", "n", "t"), (None, "", "t"), (None, None, None)], "i string, n string, t string")
+    got = [r[0] and tuple(r[0]) for r in df.select(groups.peer_group(F.col("i"), F.col("n"), F.col("t"))).collect()]
+    assert got == [("index:i", "tracking_index", "i"), ("benchmark:n", "benchmark_name", "n"), ("tag:t", "tag", "t"), None]
+
+
+def test_version_of_an_unknown_block_is_an_error():
+    assert records.version_for("flow") == "flow_v2"
+    with pytest.raises(KeyError):
+        records.version_for("no such block")
