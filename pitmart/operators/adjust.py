@@ -2,37 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitmart.operators import series as s
 
 SPLIT_LIKE = ("SPLIT", "MERGE", "SHARE_CONVERSION")
+CHANNELS = ("price", "nav", "shares")
 
 
-def multipliers(actions: DataFrame, prices: DataFrame, key: str = "security_id", date: str = "trade_date") -> tuple[DataFrame, DataFrame]:
-    """[E1-E3] (key, effective date, action, multiplier) and refused actions.  A price takes effect on the first close
-    strictly after the action; a split multiplies by its ratio k, a dividend d by P / (P - d) with P the last close
-    before.  Refused: no close before, d null, 0, negative or not under P, and a ratio null, 0 or negative."""
-    on = actions.join(prices.where("close is not null").select(key, F.col(date).alias("_day"), F.col("close").alias("_close")), key, "left")
-    found = on.groupBy(key, "action_date", "action_type", "k", "d").agg(
-        F.min(F.when(F.col("_day") > F.col("action_date"), F.col("_day"))).alias("effective"),
-        F.max_by("_close", F.when(F.col("_day") < F.col("action_date"), F.col("_day"))).alias("p"),
-    )
+def effective_dates(actions: DataFrame, days: DataFrame, key: str = "security_id", date: str = "trade_date") -> DataFrame:
+    """[E1] actions with effective_price, the first day with a close strictly after; effective_fund, the first day with a
+    NAV or shares on or after; and p, the last close strictly before.  Actions and days (close, nav, shares) are one
+    ordered table, so a long history is passed once and never joined."""
+    given = [c for c in actions.columns if c != key]
+    one = actions.select(key, F.col("action_date").alias("_at"), F.lit(True).alias("_is"), *given, *(F.lit(None).cast("double").alias(f"_{c}") for c in ("close", "nav", "shares")))
+    two = days.select(key, F.col(date).alias("_at"), F.lit(False).alias("_is"), *(F.lit(None).cast(actions.schema[c].dataType).alias(c) for c in given), *(F.col(c).cast("double").alias(f"_{c}") for c in ("close", "nav", "shares")))
+    back = Window.partitionBy(key)
+    before = (Window.unboundedPreceding, -1)
+    later = back.orderBy(F.desc("_at"), F.desc("_is")).rowsBetween(*before)
+    since = back.orderBy(F.desc("_at"), F.asc("_is")).rowsBetween(*before)
+    earlier = back.orderBy(F.asc("_at"), F.desc("_is")).rowsBetween(*before)
+    rows = one.unionByName(two)
+    out = rows.withColumns({
+        "effective_price": F.last(F.when(F.col("_close").isNotNull(), F.col("_at")), ignorenulls=True).over(later),
+        "effective_fund": F.last(F.when(F.col("_nav").isNotNull() | F.col("_shares").isNotNull(), F.col("_at")), ignorenulls=True).over(since),
+        "p": F.last("_close", ignorenulls=True).over(earlier),
+    })
+    return out.where("_is").select(key, *given, "effective_price", "effective_fund", "p")
+
+
+def multipliers(actions: DataFrame, days: DataFrame, key: str = "security_id", date: str = "trade_date") -> tuple[DataFrame, DataFrame]:
+    """[E2, E3, E5] (key, date, channel, action_type, m), and refused actions, each rule and action once.  A split
+    multiplies all channels by its ratio k; a dividend d price and NAV by P / (P - d), shares by 1.  Refused: no close
+    before, d null, 0, negative or not under P, and a ratio null, 0 or negative."""
+    found = effective_dates(actions, days, key, date)
     split = F.col("action_type").isin(*SPLIT_LIKE)
     reason = (
         F.when(split & ~F.coalesce(F.col("k") > 0, F.lit(False)), "bad_ratio")
         .when(~split & (F.col("p").isNull() | ~F.coalesce(F.col("d") > 0, F.lit(False))), "no_previous_close_or_amount")
         .when(~split & (F.col("d") >= F.col("p")), "dividend_not_under_price")
     )
-    found = found.withColumn("reason", reason).withColumn("m", F.when(reason.isNull(), F.when(split, F.col("k")).otherwise(F.col("p") / (F.col("p") - F.col("d")))))
-    return found.where("reason is null and effective is not null").select(key, F.col("effective").alias(date), "action_type", "m"), found.where("reason is not null").select(key, "action_date", "action_type", "reason").distinct()
+    found = found.withColumn("reason", reason)
+    paid = F.when(split, F.col("k")).otherwise(F.col("p") / (F.col("p") - F.col("d")))
+    by_channel = F.array(*(F.struct(F.lit(c).alias("channel"), F.col("effective_price" if c == "price" else "effective_fund").alias("at"), (F.when(split, F.col("k")).otherwise(1.0) if c == "shares" else paid).alias("m")) for c in CHANNELS))
+    good = found.where("reason is null").select(key, "action_type", F.explode(by_channel).alias("x")).where("x.at is not null")
+    return good.select(key, F.col("x.at").alias(date), F.col("x.channel").alias("channel"), "action_type", F.col("x.m").alias("m")), found.where("reason is not null").select(key, "action_date", "action_type", "reason").dropDuplicates()
 
 
-def adjusted(prices: DataFrame, factors: DataFrame, key: str = "security_id", date: str = "trade_date") -> DataFrame:
-    """[E4] The close times the running product of the multipliers up to its date; factors are positive, so the product
-    is the exponential of a running sum of logarithms."""
-    daily = factors.groupBy(key, date).agg(F.sum(F.ln("m")).alias("_ln"))
+def adjusted(days: DataFrame, factors: DataFrame, key: str = "security_id", date: str = "trade_date") -> DataFrame:
+    """[E4] Close times the running product of price factors up to its date, NAV times that of NAV factors, shares by that
+    of share factors; the legacy factor is the NAV's.  Factors are positive, so a product is the exponential of a running
+    sum of logarithms."""
+    daily = factors.groupBy(key, date).agg(*(F.sum(F.when(F.col("channel") == c, F.ln("m"))).alias(f"_{c}") for c in CHANNELS))
     w = s.so_far(s.over(key, date))
-    factor = F.exp(F.sum(F.coalesce("_ln", F.lit(0.0))).over(w))
-    return prices.join(daily, [key, date], "left").withColumn("factor", factor).select(key, date, "close", "factor", (F.col("close") * F.col("factor")).alias("adjusted_close"))
+
+    def factor(c: str) -> Column:
+        return F.exp(F.sum(F.coalesce(f"_{c}", F.lit(0.0))).over(w))
+
+    rows = days.join(daily, [key, date], "left").withColumns({f"{c}_factor": factor(c) for c in CHANNELS})
+    return rows.select(
+        key, date, *(f"{c}_factor" for c in CHANNELS), F.col("nav_factor").alias("factor"),
+        (F.col("close") * F.col("price_factor")).alias("adjusted_close"), (F.col("nav") * F.col("nav_factor")).alias("adjusted_nav"), (F.col("shares") / F.col("shares_factor")).alias("adjusted_shares"),
+    )

@@ -65,6 +65,11 @@ SELECT CAST(s_suppkey AS BIGINT) AS fund_id, 'T' || CAST(s_nationkey % 7 AS VARC
 UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'T' || CAST(s_nationkey % 5 AS VARCHAR(9)), 'style', CASE WHEN s_suppkey % 6 <> 0 THEN CAST(s_suppkey % 13 AS DOUBLE) / 13 END, DATE '1998-01-01', CAST(NULL AS DATE) FROM {supplier} WHERE s_suppkey % 3 <> 0""",
     "constituents": "SELECT 'N' || CAST(p_partkey % 25 AS VARCHAR(9)) AS index_id, CAST(p_partkey AS BIGINT) AS stock_id, CASE WHEN p_partkey % 2 = 0 THEN DATE '1997-01-01' ELSE DATE '1998-07-01' END AS effective_date, CAST(p_size AS DOUBLE) / 10 AS weight_pct FROM {part}",
     "adjusted": "SELECT security_id, trade_date, CASE WHEN day(trade_date) % 17 <> 0 THEN shares / f END AS adjusted_shares, CASE WHEN day(trade_date) % 9 <> 0 THEN nav * f END AS adjusted_nav, CASE WHEN day(trade_date) % 23 <> 0 THEN f END AS factor FROM (SELECT *, CASE WHEN security_id % 3 = 0 AND trade_date >= DATE '1998-07-01' THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS f FROM {shares}) x",
+    "fund_days": "SELECT s.security_id, s.trade_date, q.close, CASE WHEN day(s.trade_date) % 11 <> 0 THEN s.nav END AS nav, CASE WHEN day(s.trade_date) % 13 <> 0 THEN s.shares END AS shares FROM {shares} s JOIN {quotes} q ON q.security_id = 'S' || CAST(s.security_id AS VARCHAR(19)) AND q.trade_date = s.trade_date",
+    "fund_actions": """
+SELECT security_id, action_date, action_type, CASE WHEN action_type = 'SPLIT' THEN k END AS k, CASE WHEN action_type = 'DIVIDEND' THEN d END AS d FROM (
+  SELECT security_id, CAST(trade_date + INTERVAL 1 DAY AS DATE) AS action_date, CASE WHEN n IN (10, 120, 400) THEN 'SPLIT' ELSE 'DIVIDEND' END AS action_type, CASE WHEN n = 400 THEN CAST(-1 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END AS k, CASE WHEN n = 240 THEN close / 100 WHEN n = 300 THEN close * 2 WHEN n = 5 THEN CAST(1 AS DOUBLE) END AS d
+  FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY trade_date) AS n FROM {fund_days}) z WHERE n IN (5, 10, 120, 240, 300, 350, 400)) y""",
     "actions": """
 SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS security_id, CAST(l_shipdate AS DATE) AS action_date, CASE WHEN day(l_shipdate) = 20 THEN 'DIVIDEND' ELSE 'SPLIT' END AS action_type, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(1 + l_partkey % 3 AS DOUBLE) END AS k, CASE WHEN day(l_shipdate) <> 20 THEN CAST(1 + l_partkey % 2 AS DOUBLE) END AS share_factor
 FROM {lineitem} WHERE (day(l_shipdate) = 20 AND month(l_shipdate) = 6) OR (day(l_shipdate) = 5 AND month(l_shipdate) = 3)""",

@@ -10,7 +10,7 @@ from pitmart.operators import series as s
 from pitmart.panels import panel, panel_sql
 from pitmart.queries import add
 from pitmart.queries_more import _M2, _m2, _m5_sql
-from pitmart.queries_norm import _E, _actions
+from pitmart.queries_norm import _E4, _actions
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -85,11 +85,12 @@ def _o9(spark: SparkSession, d: str) -> DataFrame:
     return audit.later_than_facts(rows, rows.where("n_orders > 1"), "security_id", "trade_date")
 
 
-@add("O12_future_factor", f"{_E}, g AS (SELECT q.security_id, q.trade_date, exp(sum(coalesce(l, 0)) OVER (PARTITION BY q.security_id ORDER BY q.trade_date ROWS UNBOUNDED PRECEDING)) AS expected FROM quotes q LEFT JOIN (SELECT security_id, trade_date, sum(ln(m)) AS l FROM m GROUP BY 1, 2) x ON q.security_id = x.security_id AND q.trade_date = x.trade_date) SELECT security_id, trade_date, expected * 1.5::DOUBLE AS factor, expected FROM g WHERE day(trade_date) = 20", "factor expected")
+@add("O12_future_factor", f"{_E4}, pl AS (SELECT security_id, trade_date, CASE WHEN day(trade_date) = 20 THEN price_factor * 1.5 ELSE price_factor END AS factor, price_factor AS expected FROM fc) SELECT security_id, trade_date, factor, expected FROM pl WHERE abs(factor / expected - 1) > 1e-9 AND security_id NOT IN (SELECT security_id FROM fund_actions WHERE action_type = 'DIVIDEND' AND security_id % 2 = 0)", "factor expected")
 def _o12(spark: SparkSession, d: str) -> DataFrame:
-    quotes, (factors, _) = _actions(spark, d)
-    planted = adjust.adjusted(quotes, factors).withColumn("factor", F.when(F.dayofmonth("trade_date") == 20, F.col("factor") * 1.5).otherwise(F.col("factor")))
-    return audit.factor_mismatch(planted.select("security_id", "trade_date", "factor"), factors, "security_id", "trade_date")
+    days, (factors, _) = _actions(spark, d)
+    planted = adjust.adjusted(days, factors).select("security_id", "trade_date", F.when(F.dayofmonth("trade_date") == 20, F.col("price_factor") * 1.5).otherwise(F.col("price_factor")).alias("factor"))
+    paying = panel(spark, d, "fund_actions").where("action_type = 'DIVIDEND' and security_id % 2 = 0").select("security_id").distinct()
+    return audit.factor_mismatch(planted, factors.where("channel = 'price'"), "security_id", "trade_date").join(paying, "security_id", "left_anti")
 
 
 @add("O14_audit_report", f"{panel_sql('turnover')}, x AS (SELECT 'single_exchange' AS rule, 'WARN' AS severity, 'turnover' AS dataset, CAST(trade_date AS VARCHAR) AS key FROM turnover GROUP BY trade_date HAVING count(DISTINCT exchange) < 2 UNION ALL SELECT 'orphan_order', 'ERROR', 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey % 3 = 0) SELECT rule, severity, dataset, count(*) AS n, min(key) AS sample, CASE WHEN severity = 'ERROR' THEN 'FAIL' ELSE 'WARN' END AS status FROM x GROUP BY 1, 2, 3")

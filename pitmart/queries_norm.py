@@ -90,16 +90,23 @@ def _b24(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d, "shares").select("security_id", "trade_date", (aum / 1_000_000).alias("aum"), known.alias("is_estimated"))
 
 
-_ACTIONS = """a AS (SELECT security_id, action_date, action_type, CASE WHEN action_type = 'SPLIT' THEN k END AS k, CASE WHEN action_type = 'DIVIDEND' THEN d END AS d FROM (
-  SELECT security_id, trade_date AS action_date, CASE WHEN n = 500 OR n = 1200 THEN 'SPLIT' ELSE 'DIVIDEND' END AS action_type, CASE WHEN n = 500 THEN CAST(2 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS k, CASE WHEN n = 900 THEN close / 100 WHEN n = 1000 THEN close * 2 END AS d
-  FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY trade_date) AS n FROM {q}) z WHERE n IN (500, 900, 1000, 1200)) y)"""
-_E = f"{panel_sql('quotes')}, {_ACTIONS.format(q='quotes')}, f AS (SELECT a.*, (SELECT min(trade_date) FROM quotes q WHERE q.security_id = a.security_id AND trade_date > action_date AND close IS NOT NULL) AS effective, (SELECT max_by(close, trade_date) FROM quotes q WHERE q.security_id = a.security_id AND trade_date < action_date AND close IS NOT NULL) AS p FROM a), r AS (SELECT *, CASE WHEN action_type = 'SPLIT' AND NOT coalesce(k > 0, FALSE) THEN 'bad_ratio' WHEN action_type <> 'SPLIT' AND (p IS NULL OR NOT coalesce(d > 0, FALSE)) THEN 'no_previous_close_or_amount' WHEN action_type <> 'SPLIT' AND d >= p THEN 'dividend_not_under_price' END AS reason FROM f), m AS (SELECT security_id, effective AS trade_date, action_type, CASE WHEN action_type = 'SPLIT' THEN k ELSE p / (p - d) END AS m FROM r WHERE reason IS NULL AND effective IS NOT NULL)"
+_LATER = "(SELECT min(trade_date) FROM fund_days q WHERE q.security_id = a.security_id AND trade_date > action_date AND close IS NOT NULL)"
+_SINCE = "(SELECT min(trade_date) FROM fund_days q WHERE q.security_id = a.security_id AND trade_date >= action_date AND (nav IS NOT NULL OR shares IS NOT NULL))"
+_BEFORE = "(SELECT max_by(close, trade_date) FROM fund_days q WHERE q.security_id = a.security_id AND trade_date < action_date AND close IS NOT NULL)"
+_E = f"""{panel_sql('fund_actions')}, f AS (SELECT a.*, {_LATER} AS effective_price, {_SINCE} AS effective_fund, {_BEFORE} AS p FROM fund_actions a),
+r AS (SELECT *, CASE WHEN action_type = 'SPLIT' AND NOT coalesce(k > 0, FALSE) THEN 'bad_ratio' WHEN action_type <> 'SPLIT' AND (p IS NULL OR NOT coalesce(d > 0, FALSE)) THEN 'no_previous_close_or_amount' WHEN action_type <> 'SPLIT' AND d >= p THEN 'dividend_not_under_price' END AS reason FROM f),
+g AS (SELECT *, CASE WHEN action_type = 'SPLIT' THEN k ELSE p / (p - d) END AS paid FROM r WHERE reason IS NULL),
+m AS (SELECT security_id, effective_price AS trade_date, 'price' AS channel, action_type, paid AS m FROM g WHERE effective_price IS NOT NULL UNION ALL SELECT security_id, effective_fund, 'nav', action_type, paid FROM g WHERE effective_fund IS NOT NULL UNION ALL SELECT security_id, effective_fund, 'shares', action_type, CASE WHEN action_type = 'SPLIT' THEN k ELSE 1 END FROM g WHERE effective_fund IS NOT NULL)"""
 
 
 def _actions(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    quotes = panel(spark, d, "quotes")
-    actions = spark.sql("WITH " + _ACTIONS.format(q="{q}") + " SELECT * FROM a", q=quotes)
-    return quotes, adjust.multipliers(actions, quotes)
+    days = panel(spark, d, "fund_days")
+    return days, adjust.multipliers(panel(spark, d, "fund_actions"), days)
+
+
+@add("E1_effective_dates", f"{_E} SELECT * FROM f", "p k d")
+def _e1(spark: SparkSession, d: str) -> DataFrame:
+    return adjust.effective_dates(panel(spark, d, "fund_actions"), panel(spark, d, "fund_days"))
 
 
 @add("E2_action_multipliers", f"{_E} SELECT * FROM m", "m")
@@ -107,15 +114,19 @@ def _e2(spark: SparkSession, d: str) -> DataFrame:
     return _actions(spark, d)[1][0]
 
 
-@add("E3_refused_actions", f"{_E} SELECT security_id, action_date, action_type, reason FROM r WHERE reason IS NOT NULL")
+@add("E3_refused_actions", f"{_E} SELECT DISTINCT security_id, action_date, action_type, reason FROM r WHERE reason IS NOT NULL")
 def _e3(spark: SparkSession, d: str) -> DataFrame:
     return _actions(spark, d)[1][1]
 
 
-@add("E4_adjusted_close", f"{_E}, g AS (SELECT q.security_id, q.trade_date, close, exp(sum(coalesce(l, 0)) OVER (PARTITION BY q.security_id ORDER BY q.trade_date ROWS UNBOUNDED PRECEDING)) AS factor FROM quotes q LEFT JOIN (SELECT security_id, trade_date, sum(ln(m)) AS l FROM m GROUP BY 1, 2) x ON q.security_id = x.security_id AND q.trade_date = x.trade_date) SELECT security_id, trade_date, factor, close * factor / 70000 AS adjusted_close FROM g", "factor adjusted_close")
+_PRODUCT = "exp(sum(coalesce({c}, 0)) OVER (PARTITION BY security_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS {c}_factor"
+_E4 = f"{_E}, dl AS (SELECT security_id, trade_date, {', '.join(f'sum(ln(m)) FILTER (WHERE channel = {c!r}) AS {c}' for c in adjust.CHANNELS)} FROM m GROUP BY 1, 2), fc AS (SELECT security_id, trade_date, fund_days.close, fund_days.nav AS own_nav, fund_days.shares AS own_shares, {', '.join(_PRODUCT.format(c=c).replace(f'coalesce({c}', f'coalesce(dl.{c}') for c in adjust.CHANNELS)} FROM fund_days LEFT JOIN dl USING (security_id, trade_date))"
+
+
+@add("E4_adjusted_series", f"{_E4} SELECT security_id, trade_date, price_factor, nav_factor, shares_factor, nav_factor AS factor, close * price_factor / 70000 AS adjusted_close, own_nav * nav_factor AS adjusted_nav, own_shares / shares_factor AS adjusted_shares FROM fc", "price_factor nav_factor shares_factor factor adjusted_close adjusted_nav adjusted_shares")
 def _e4(spark: SparkSession, d: str) -> DataFrame:
-    quotes, (factors, _) = _actions(spark, d)
-    return adjust.adjusted(quotes, factors).select("security_id", "trade_date", "factor", (F.col("adjusted_close") / 70000).alias("adjusted_close"))
+    days, (factors, _) = _actions(spark, d)
+    return adjust.adjusted(days, factors).withColumn("adjusted_close", F.col("adjusted_close") / 70000)
 
 
 @add("A9_source_health", "WITH l AS (SELECT event_type, max(CASE WHEN NOT f THEN ts END) AS last_success, max(CASE WHEN f THEN ts END) AS last_failure FROM (SELECT event_type, ts, user_id % 3 = 0 AS f FROM events) GROUP BY 1) SELECT event_type, last_success, last_failure, (SELECT count(*) FROM events e WHERE e.event_type = l.event_type AND e.user_id % 3 = 0 AND (l.last_success IS NULL OR e.ts > l.last_success)) AS failures_in_a_row FROM l")

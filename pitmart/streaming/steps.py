@@ -65,7 +65,9 @@ def source_health(stream: DataFrame, source: str, at: str, failed: str) -> DataF
 
 
 def health_rollup(events: DataFrame, source: str, at: str, failed: str) -> DataFrame:
-    """[A9] The same of a whole table: failures after the last success."""
+    """[A9] The same of a whole table: failures after the last success.  Both passes sum before they shuffle; the last
+    times, one row a source, are a side that Spark broadcasts by its size."""
     last = events.groupBy(source).agg(F.max(F.when(~F.col(failed), F.col(at))).alias("last_success"), F.max(F.when(F.col(failed), F.col(at))).alias("last_failure"))
-    later = events.join(last.select(source, "last_success"), source).where(F.col(failed) & (F.col("last_success").isNull() | (F.col(at) > F.col("last_success"))))
-    return last.join(later.groupBy(source).agg(F.count("*").alias("_n")), source, "left").select(source, "last_success", "last_failure", F.coalesce("_n", F.lit(0)).alias("failures_in_a_row"))
+    times = events.where(failed).groupBy(source, at).agg(F.count("*").alias("_n"))
+    later = times.join(last.select(source, "last_success"), source).where(F.col("last_success").isNull() | (F.col(at) > F.col("last_success")))
+    return last.join(later.groupBy(source).agg(F.sum("_n").alias("_n")), source, "left").select(source, "last_success", "last_failure", F.coalesce("_n", F.lit(0)).alias("failures_in_a_row"))
