@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitmart.operators import series as s
 
-SPLIT_LIKE = ("SPLIT", "MERGE", "SHARE_CONVERSION")
+SPLIT_LIKE = ("SPLIT", "REVERSE_SPLIT", "SHARE_CONVERSION")
 CHANNELS = ("price", "nav", "shares")
 
 

@@ -52,12 +52,6 @@ def _b8(spark: SparkSession, d: str) -> DataFrame:
     return normalize.key_value_pivot(items, "user_id", "event_type", "v", {"click": ("clicks", 100.0), "error": ("errors", 1.0)})
 
 
-@add("B16_preferred_row", "SELECT c_nationkey, c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment <> 'BUILDING', c_acctbal DESC, c_custkey) = 1")
-def _b16(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "customer")
-    return normalize.pick_preferred(rows, "c_nationkey", [F.asc(F.col("c_mktsegment") != "BUILDING"), F.desc("c_acctbal"), F.asc("c_custkey")]).select("c_nationkey", "c_custkey", "c_mktsegment")
-
-
 @add("B20_outer_union", "SELECT k AS c_custkey, coalesce(a.nm, b.nm) AS nm, bal FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS nm, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0) a FULL OUTER JOIN (SELECT c_custkey AS k, c_mktsegment AS nm FROM customer WHERE c_custkey % 2 = 0) b USING (k)", "bal")
 def _b20(spark: SparkSession, d: str) -> DataFrame:
     customer = _table(spark, d, "customer")

@@ -7,8 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pitmart import queries, queries_audit, queries_marts, queries_more, queries_norm, queries_pulse  # noqa: F401
+from pitmart import queries, queries_audit, queries_marts, queries_more, queries_norm, queries_pulse, queries_sources  # noqa: F401
 from pitmart.operators import checks, flow, groups, market, merge, metrics, pit, pulse, records
+from pitmart.sources import frames, sinks
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -197,3 +198,42 @@ def test_version_of_an_unknown_block_is_an_error():
     assert records.version_for("flow") == "flow_v2"
     with pytest.raises(KeyError):
         records.version_for("no such block")
+
+
+def test_raw_snapshots_and_marts_are_idempotent_by_partition(spark, tmp_path):
+    raw, mart = str(tmp_path / "raw"), str(tmp_path / "mart")
+    df = days(spark, [1.0, 2.0, 3.0])
+    for date, rows in (("2026-08-07", df), ("2026-08-08", df.limit(1)), ("2026-08-07", df.limit(2))):
+        sinks.write_raw(rows, raw, "vendor", "quotes", date)
+    assert {str(r["date"]): r["count"] for r in spark.read.parquet(raw).groupBy("date").count().collect()} == {"2026-08-07": 2, "2026-08-08": 1}
+    sinks.write_mart(df, mart, "metric_v1")
+    for _ in range(2):
+        sinks.write_mart(df.limit(2), mart, "metric_v2")
+    assert {r["calculation_version"]: r["count"] for r in spark.read.parquet(mart).groupBy("calculation_version").count().collect()} == {"metric_v1": 3, "metric_v2": 2}
+    assert [r["close"] for r in sinks.history(spark, mart, ["s"], "2026-08-08").where("calculation_version = 'metric_v1'").collect()] == [1.0, 2.0]
+
+
+def test_run_log_records_success_and_failure(spark, tmp_path):
+    log = str(tmp_path / "log")
+    sinks.recorded(spark, log, "r1", "quotes", "vendor", lambda: (5, 4, 1))
+    with pytest.raises(ValueError, match="no such"):
+        sinks.recorded(spark, log, "r2", "quotes", "vendor", lambda: int("no such"))
+    assert {r["run_id"]: (r["status"], r["rejected"]) for r in spark.read.parquet(log).collect()} == {"r1": ("PARTIAL", 1), "r2": ("FAILED", 0)}
+    issues = sinks.issue_rows(spark.createDataFrame([("a", "bad", "x"), ("a", "bad", "x")], "s string, rule string, d string"), "quotes", F.col("s"), F.lit(None), F.col("d"))
+    sinks.append_issues(issues, str(tmp_path / "issues"))
+    assert spark.read.parquet(str(tmp_path / "issues")).select("issue_id").distinct().count() == 1
+
+
+def test_corporate_action_pages_with_placeholders_and_bad_rows(spark):
+    head = "".join(f"<th>{c}</th>" for c in frames.SPLIT_HEADER)
+    html = f"<table><tr>{head}</tr><tr><td>暂无拆分信息!</td></tr><tr><td>2026</td><td>2026年7月3日</td><td>份额合并</td><td>2:1</td></tr><tr><td>2026</td><td>x</td><td>?</td><td>1:2</td></tr><tr><td>2026</td><td>2026-07-04</td><td>?</td><td>none</td></tr></table><table></table>"
+    facts, issues = frames.corporate_actions(spark.createDataFrame([("f", html), ("g", None), ("h", "<p>no table")], "id string, html string"), "id", "html")
+    assert [(r["id"], str(r["action_date"]), r["action_type"], r["share_factor"], r["nav_factor"]) for r in facts.collect()] == [("f", "2026-07-03", "REVERSE_SPLIT", 0.5, 2.0)]
+    assert sorted(r["rule"] for r in issues.collect()) == ["corporate_action_date_invalid", "corporate_action_ratio_invalid"]
+
+
+def test_new_master_rows_for_unknown_money_market_funds(spark):
+    own = days(spark, [1.0], "shares", "a")
+    other = days(spark, [5.0, 6.0], "shares", "m").withColumn("fund_type", F.lit("货币")).unionByName(days(spark, [7.0], "shares", "s").withColumn("fund_type", F.lit("股票")))
+    shares, inserts = frames.money_market_supplement(own, own.select("security_id"), other)
+    assert sorted((r["security_id"], r["shares"]) for r in shares.collect()) == [("a", 1.0), ("m", 5.0), ("m", 6.0)] and [r["security_id"] for r in inserts.collect()] == ["m"]
