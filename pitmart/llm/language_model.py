@@ -4,8 +4,9 @@ A text is its words, A-Z lower-cased, and one end.  P(word | before) = P(class |
 softmax has hashed features: the word before, the word two before (a skip), and the pair of classes before.
 All words seen LEAST times in the training texts are dealt to classes by the texts they stand in (random
 indexing, then k-means) and by frequency; inside a class the maximum-entropy solution with word features is the
-relative frequency.  All other words are one class, spelt by an interpolated model of four bytes, so that every text
-has a probability.
+relative frequency.  All other words are one class.  Of it the share that falls to words seen once
+is 2 n2 / (2 n2 + n1), with n1 and n2 words seen once and twice (the counts that they would have been left with), dealt
+evenly to the n1 words; the rest is spelt by an interpolated model of four bytes, so that every text has a probability.
 
 Texts are dealt to batches.  The counts of all words are a table by hash; the distinct words of a batch are joined to
 their count, class and feature row and meet the texts of the batch, which become classes and feature rows.  Only the
@@ -207,6 +208,8 @@ class Vocabulary:
     total: int
     distinct: int
     slots: int
+    once: int  # words seen once
+    twice: int
 
 
 def _at(keys: np.ndarray, values: np.ndarray, sought: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
@@ -286,6 +289,7 @@ def build_vocabulary(counted: DataFrame) -> Vocabulary:
     end = F.col("h") == F.lit(int(END_HASH))
     total, single, ended = occurring.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(~end & (F.col("c") == 1) & (F.col("n") == 1)), F.count_if(end)).first()
     distinct = known + single + (ended > 0)
+    twice = words.where("c = 2").count()
     grams = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # distinct runs of four bytes
     spelling = Spelling(grams["key"].to_numpy(dtype=np.int64), grams["n"].to_numpy(dtype=np.int64))
 
@@ -321,7 +325,7 @@ def build_vocabulary(counted: DataFrame) -> Vocabulary:
     named = often.select("batch", "h", "c").join(classed, F.col("h") == F.col("_w")).drop("_w")
     # a word of a training text that is not among these is seen once; held-out texts cannot tell
     other = occurring.where((F.col("c") < LEAST) & F.col("out") | end).select("batch", "h", "c", F.lit(OTHER).alias("class"), F.lit(0.0).cast("float").alias("logp"), F.lit(-1).alias("slot"))
-    return Vocabulary(named.unionByName(other), occurring, spelling, int(total), int(distinct), slots)
+    return Vocabulary(named.unionByName(other), occurring, spelling, int(total), int(distinct), slots, int(single), twice)
 
 
 def _let_go(spark: SparkSession, *done: DataFrame) -> None:
@@ -342,6 +346,8 @@ def code(texts: DataFrame, v: Vocabulary) -> DataFrame:
     together = one.unionByName(two).repartition("batch").sortWithinPartitions("batch", F.desc("word"))
     shared = texts.sparkSession.sparkContext.broadcast(v.spelling)
     slots, own = v.slots, v.slots // 2
+    share = 2 * v.twice / (2 * v.twice + v.once) if v.once and v.twice else 0.0
+    each = share / max(v.once, 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "fixed", "classes", "slots"]
 
     def coded(words: list[np.ndarray], ids: list, some: list[bytes]) -> pa.RecordBatch:
@@ -359,13 +365,16 @@ def code(texts: DataFrame, v: Vocabulary) -> DataFrame:
         last = t.raw[np.maximum(t.ends - 1, 0)].astype(np.int64) * 31 + t.raw[np.maximum(t.ends - 2, 0)].astype(np.int64)
         slot = np.where(classes != OTHER, slot_of[k], own + last % (slots - own))
         fixed = np.where(classes != OTHER, logp[k], 0.0).astype(float)
+        out = np.array([held_out(i) for i in ids])
+        once = ~found & ~np.repeat(out, np.diff(t.bounds))  # of a training text
         rare = np.flatnonzero((classes == OTHER) & ~end)
-        fixed[rare] += _spelt(shared.value, t, rare)
+        spelt = _spelt(shared.value, t, rare) + np.log10(1 - share)
+        single = (once[rare] | found[rare] & (c[k[rare]] == 1)) & (each > 0)
+        spelt[single] = np.logaddexp(spelt[single] * np.log(10), np.log(each or 1.0)) / np.log(10)
+        fixed[rare] += spelt
         classes[end], slot[end] = END, slots - 1
         starts, cuts = t.bounds[:-1], list(zip(t.bounds[:-1], t.bounds[1:], strict=True))
         classes, slot = classes.astype(np.uint8), slot.astype(np.uint16 if slots <= 1 << 16 else np.uint32)
-        out = np.array([held_out(i) for i in ids])
-        once = ~found & ~np.repeat(out, np.diff(t.bounds))
         logs = np.where(found, np.log10(c[k] + 1.0), np.where(once, np.log10(2.0), 0.0))
         sums = [np.add.reduceat(x, starts) for x in ((found | once).astype(np.int64), logs, fixed)]
         return pa.RecordBatch.from_arrays(

@@ -226,7 +226,8 @@ def drop_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.withColumn("id", F.col("row")["doc_id"].cast("long"))
-    left = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    # dealt by id at every size: what goes grows with the corpus and is never broadcast
+    left = rows.join(gone.hint("merge"), F.col("id") == F.col("gone"), "left_anti")
     repeated = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("gone")).agg(F.count("*").alias("n")).where("n > 1").select("gone"))
     if repeated.isEmpty():
         return left.select("row.*")

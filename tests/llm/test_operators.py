@@ -159,6 +159,17 @@ def test_language_model(docs, rows, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_language_model_knows_words_seen_once_and_scores_above_the_base_on_a_larger_corpus(spark):
+    """Held-out texts of a closed vocabulary, some of it seen once: the score is a probability and beats the base."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice(["ba", "do", "ri", "lu", "ne", "so"]) for _ in range(r.randint(2, 5))) for _ in range(900)]
+    topics = [vocabulary[k * 150 : (k + 1) * 150] for k in range(6)]
+    df = frame(spark, [" ".join(r.choice(topics[i % 6]) if r.random() < 0.97 else r.choice(vocabulary) + "xy" for _ in range(80)) for i in range(400)])
+    got = [x for x in language_model.score_documents(df).collect() if x["held_out"]]
+    assert len(got) > 30 and sum(x["score"] for x in got) > sum(x["base_score"] for x in got)
+    assert any(x["n_known"] < x["n_tokens"] for x in got)
+
+
 def test_pii_base_spans(spark, empty):
     r = random.Random(2)
     pieces = ["a.b@c.de", "@", "x@y", "1.2.3.4", "1.2.3.456", "4111 1111 1111 1111", "+1 (234) 567-8901", "+", " ", "12", ".", "-", "é", "99.1.1.1.1", "4111111111111112", "word", "@a.b", "\n"]
