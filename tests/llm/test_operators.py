@@ -427,6 +427,61 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(r["doc_id"] for r in packed.collect()) == seen
 
 
+def test_whole_pipeline_against_brute_force(spark, tmp_path):
+    """run() over a small corpus: survivors of the rules, one of each group of near copies, redacted texts, as many copies
+    as the mix takes, and pieces whose ids are the tokenizer's."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice(["tion", "er", "the", "ou", "st"]) for _ in range(r.randint(1, 4))) + str(k % 7) for k in range(400)]
+    plain = [" ".join(r.choice(vocabulary) for _ in range(r.randint(60, 2500 if i % 9 == 0 else 200))) for i in range(40)]
+    rows = [*plain, *(p.replace(" ", "  ", 3) for p in plain[:9]), *(" ".join([*p.split()[:-3], "end", "of", "it"]) for p in plain[12:15]), *(f"mail u{k}.x@firma.de " + p for k, p in enumerate(plain[20:24])), "too short", None, "na " * 90]
+    ids = [None if i == 3 else 100 + i for i in range(len(rows))]
+    df = frame(spark, rows, ids).select("doc_id", "text", "lang", "source", "n_chars")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids if i is not None][:50], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+
+    def passes(text):
+        w = WORD.findall(text or "")
+        windows = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        again = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        return len(w) >= 50 and 100 * len(again) <= 50 * len(w)
+
+    judged = {x["doc_id"]: x["kept"] for x in quality.judge(df, quality.fit(df, labels)).collect()}
+    left = [(i, t) for i, t in zip(ids, rows, strict=True) if passes(t) and judged[i]]
+    assert not any(kept for i, kept in judged.items() if not passes(dict(zip(ids, rows, strict=True))[i]))
+    s = sets_of([t for _, t in left])
+    group = list(range(len(left)))
+    for _ in left:
+        for a in range(len(left)):
+            for b in range(a):
+                if left[a][0] is not None and left[b][0] is not None and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    left = [(i, re.sub(r"u[0-9]\.x@firma\.de", "<EMAIL>", t)) for k, (i, t) in enumerate(left) if group[k] == k]
+    source = {i: f"s{k % 4}" if k % 9 else None for k, i in enumerate(ids)}
+    mixed = spark.createDataFrame([(i, t, source[i]) for i, t in left], "doc_id long, text string, source string")
+    copies = {x["doc_id"]: x["copies"] for x in mixing.mix(mixed).collect()}
+    wanted = collections.Counter()
+    known = packing._Ids(packing.default_tokenizer())
+    for i, t in left:
+        every = np.array([*known.tokenizer.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
+        for start in range(0, len(every), 2048):
+            piece = every[start : start + 2048]
+            wanted[i, start, len(piece), zlib.crc32(piece.tobytes()), len(every)] += copies[i]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((x["doc_id"], x["start"], x["length"], x["ids_crc32"], x["doc_tokens"]) for x in got) == +wanted
+    filled = collections.defaultdict(list)
+    for x in got:
+        filled[x["sequence_id"]].append((x["offset"], x["length"]))
+    for parts in filled.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+
+
 def test_pipeline_drops_near_copies_between_80_and_85_percent(spark, tmp_path):
     import corpus_pipeline
 
