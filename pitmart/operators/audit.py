@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitmart.operators import series as s
@@ -34,9 +34,13 @@ def factor_mismatch(factors: DataFrame, multipliers: DataFrame, key: str, date:
     return days.withColumn("expected", expected).where(F.abs(F.col("factor") / F.col("expected") - 1) > most).select(key, date, "factor", "expected")
 
 
-def report(violations: DataFrame) -> DataFrame:
-    """[O14] Counts by rule, and whether it fails the audit."""
-    return violations.groupBy("rule", "severity", "dataset").agg(F.count("*").alias("n"), F.min("key").alias("sample")).withColumn("status", F.when(F.col("severity") == "ERROR", "FAIL").otherwise("WARN"))
+def report(violations: DataFrame, samples: int = 3, strict: bool = False) -> DataFrame:
+    """[O14] Counts by rule with the first keys as samples, and whether it fails the audit: errors do, warnings where it is
+    strict."""
+    w = Window.partitionBy("rule", "severity", "dataset").orderBy("key")
+    ranked = violations.withColumn("_rn", F.row_number().over(w))
+    found = ranked.groupBy("rule", "severity", "dataset").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_rn") <= samples, F.col("key")))), ",").alias("samples"))
+    return found.withColumn("status", F.when((F.col("severity") == "ERROR") | F.lit(strict), "FAIL").otherwise("WARN"))
 
 
 def unregistered(df: DataFrame, dataset: str, version: str, registered: list[str]) -> DataFrame:

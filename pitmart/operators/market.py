@@ -156,3 +156,26 @@ def alignment(states: DataFrame, days: DataFrame, key: str, date: str, version:
     """[N9] Of each key's states on the days of an index: how many, since, until, in how many years, and whether they mix
     versions."""
     return states.join(days.select(date).distinct(), date, "left_semi").groupBy(key).agg(F.count("*").alias("days"), F.min(date).alias("since"), F.max(date).alias("until"), F.countDistinct(F.year(date)).alias("years"), (F.countDistinct(version) > 1).alias("mixed_versions"))
+
+
+def last_days(df: DataFrame, date: str, n: int) -> DataFrame:
+    """[L1] The last n days of a market series."""
+    return df.orderBy(F.desc(date)).limit(n)
+
+
+def norm_ratios(turnover: DataFrame, margin: DataFrame, activity: DataFrame, date: str) -> DataFrame:
+    """[L2] By day of turnover (exchange, amount, cap): margin by market value if both exchanges report on both sides,
+    turnover by market value, risers by risers and fallers, limit-ups by all; null without a positive divisor."""
+    t = turnover.groupBy(date).agg(F.sum("amount").alias("_amount"), F.sum("cap").alias("cap"), F.countDistinct("exchange").alias("_nt"))
+    m = margin.groupBy(date).agg(F.sum("balance").alias("_balance"), F.countDistinct("exchange").alias("_nm"))
+    out = t.join(m, date, "left").join(activity, date, "left")
+    both = F.col("rising") + F.col("falling")
+    every = both + F.coalesce("flat", F.lit(0))
+    return out.select(
+        date,
+        F.when((F.col("_nt") == 2) & (F.col("_nm") == 2) & (F.col("cap") > 0), F.col("_balance") / F.col("cap")).alias("margin_balance_ratio"),
+        F.when(F.col("cap") > 0, F.col("_amount") / F.col("cap")).alias("turnover_ratio"),
+        F.when(both > 0, F.col("rising") / both).alias("advance_ratio"),
+        F.when(every > 0, F.col("limit_up") / every).alias("limit_up_ratio"),
+        "cap",
+    )

@@ -33,30 +33,48 @@ def mapping_label(mapped: Column, master: Column, historical: bool = True) -> Co
     return F.when(mapped.isNotNull(), "mapped_asof").when(master.isNotNull(), "missing_asof" if historical else "master_latest")
 
 
-def with_staleness(df: DataFrame, blocks: dict[str, tuple[str, list[str]]], asof: str, most_days: int, anchor: str | None = None) -> DataFrame:
+def with_staleness(df: DataFrame, blocks: dict[str, tuple[str, list[str]]], asof: str, most_days: int, anchor: str | None = None, versions: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """[K6] blocks: name -> (its date column, its value columns).  A block that is missing, dated after asof, older than
-    most_days, or not of the anchor's day where one is asked for, has its values nulled and its reason listed."""
+    most_days, not of the anchor's day where one is asked for, or not of its version (versions: name -> column and
+    expected value), has its values nulled and its reason listed."""
     day = F.lit(asof).cast("date")
     reasons = {}
     for name, (date, _) in blocks.items():
         r = F.when(F.col(date).isNull(), "missing").when(F.col(date) > day, "future_data")
         if anchor is not None:
             r = r.when(~F.col(date).eqNullSafe(F.col(anchor)), "not_same_trade_date")
-        reasons[name] = r.when(F.datediff(day, F.col(date)) > most_days, "stale")
+        r = r.when(F.datediff(day, F.col(date)) > most_days, "stale")
+        if versions and name in versions:
+            column, expected = versions[name]
+            r = r.when(~F.col(column).eqNullSafe(F.lit(expected)), "calculation_version_mismatch")
+        reasons[name] = r
     out = df.withColumns({f"_{n}": r for n, r in reasons.items()})
     out = out.withColumns({c: F.when(F.col(f"_{n}").isNull(), F.col(c)) for n, (_, values) in blocks.items() for c in values})
     out = out.withColumns({f"{n}_staleness_days": F.datediff(day, F.col(date)) for n, (date, _) in blocks.items()})
     listed = F.array_compact(F.array(*(F.when(F.col(f"_{n}").isNotNull(), F.concat(F.lit(f"{n}:"), F.col(f"_{n}"))) for n in blocks)))
     out = out.withColumn("stale_blocks", F.array_join(listed, ","))
-    return out.withColumn("data_quality", F.when(F.col("stale_blocks") == "", "PASS").otherwise("WARN")).drop(*(f"_{n}" for n in blocks))
+    return out.withColumn("data_quality", F.when(F.col("stale_blocks") == "", "PASS").otherwise("PARTIAL")).drop(*(f"_{n}" for n in blocks))
 
 
-def compare(ids: DataFrame, key: str, blocks: list[DataFrame]) -> DataFrame:
-    """[K7] Asked-for ids, known or not, with each as-of block."""
+def compare(ids: DataFrame, key: str, blocks: list[DataFrame], order: str | None = None) -> DataFrame:
+    """[K7] Asked-for ids, known or not, with each as-of block; in the order in which they were asked for (a column)."""
     out = ids
     for b in blocks:
         out = out.join(b, key, "left")
-    return out
+    return out if order is None else out.orderBy(order)
+
+
+def search(latest: DataFrame, names: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """[K13] Latest quotes whose id or name holds the text, in any case; the name is the quote's, else the master's; the
+    largest turnover first."""
+    pattern = f"%{text}%"
+    out = latest.join(names.select(key, F.col("name").alias("_master")), key, "left").withColumn("name", F.coalesce("name", "_master")).drop("_master")
+    return top(out.where(F.col(key).ilike(pattern) | F.col("name").ilike(pattern)), n, F.desc_nulls_last("turnover_amount"), F.asc(key))
+
+
+def work_list(df: DataFrame, aum: DataFrame, key: str, needed: Column, n: int) -> DataFrame:
+    """[K16] Keys for which something is needed, the largest aum first."""
+    return top(df.where(needed).select(key).distinct().join(aum, key, "left"), n, F.desc_nulls_last("aum"), F.asc(key))
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:

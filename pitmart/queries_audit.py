@@ -23,14 +23,6 @@ def _c2(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("shares <= 0").select("security_id", "trade_date", F.lit("shares_not_positive").alias("rule"))
 
 
-@add("L2_norm_ratio", f"{panel_sql('turnover')}, m AS (SELECT trade_date, exchange, avg(turnover_amount) OVER (PARTITION BY exchange ORDER BY trade_date ROWS 59 PRECEDING) * 10 AS value FROM turnover), a AS (SELECT trade_date, sum(value) AS a, count(DISTINCT exchange) AS na FROM m GROUP BY 1), b AS (SELECT trade_date, sum(turnover_amount) AS b, count(DISTINCT exchange) AS nb FROM turnover WHERE day(trade_date) <> 13 OR exchange = 'A' GROUP BY 1) SELECT trade_date, CASE WHEN na = 2 AND nb = 2 AND b > 0 THEN a / b END AS ratio FROM a LEFT JOIN b USING (trade_date)", "ratio")
-def _l2(spark: SparkSession, d: str) -> DataFrame:
-    t = panel(spark, d, "turnover")
-    margin = t.select("trade_date", "exchange", (F.avg("turnover_amount").over(s.last_rows(s.over("exchange"), 60)) * 10).alias("value"))
-    under = t.where((F.dayofmonth("trade_date") != 13) | (F.col("exchange") == "A")).select("trade_date", "exchange", F.col("turnover_amount").alias("value"))
-    return market.norm_ratio(margin, under, "trade_date")
-
-
 @add("M12_pending", f"{_M2}, {_m5_sql('v', 'exchange', 'trade_date')} SELECT exchange, trade_date, confirmed AS from_state, state AS to_state FROM confirmed WHERE state <> confirmed")
 def _m12(spark: SparkSession, d: str) -> DataFrame:
     rows = market.confirmed(_m2(spark, d).select("exchange", "trade_date", "state"), "exchange", "trade_date", "state")
@@ -65,20 +57,6 @@ def _k9(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d, "fund_master").select("fund_id", F.coalesce(F.when(F.col("fund_id") % 4 != 0, F.col("fee") * 2), pit.observed(F.col("fee"), F.col("observed"), "1998-01-31")).alias("aum"))
 
 
-_ZERO = {"zero_balance": "c_acctbal = 0", "small_balance": "abs(c_acctbal) < 50", "nation_zero": "c_nationkey = 0"}
-
-
-@add("O5_zero_for_unknown", " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER (WHERE {c}) AS n FROM customer" for n, c in _ZERO.items()))
-def _o5(spark: SparkSession, d: str) -> DataFrame:
-    return audit.counted(_table(spark, d, "customer"), {n: F.expr(c) for n, c in _ZERO.items()})
-
-
-@add("O6_missing_metadata", "SELECT 'no_segment' AS rule, count(*) FILTER (WHERE s IS NULL) AS n FROM (SELECT CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_mktsegment END AS s FROM customer)")
-def _o6(spark: SparkSession, d: str) -> DataFrame:
-    rows = _table(spark, d, "customer").withColumn("seg", F.when(F.col("c_custkey") % 17 != 0, F.col("c_mktsegment")))
-    return audit.counted(rows, {"no_segment": F.col("seg").isNull()})
-
-
 @add("O9_later_than_facts", f"{panel_sql('quotes_wide')} SELECT security_id, max(trade_date) AS derived, max(CASE WHEN n_orders > 1 THEN trade_date END) AS fact FROM quotes_wide GROUP BY 1 HAVING max(CASE WHEN n_orders > 1 THEN trade_date END) IS NULL OR max(trade_date) > max(CASE WHEN n_orders > 1 THEN trade_date END)")
 def _o9(spark: SparkSession, d: str) -> DataFrame:
     rows = panel(spark, d, "quotes_wide")
@@ -93,13 +71,6 @@ def _o12(spark: SparkSession, d: str) -> DataFrame:
     return audit.factor_mismatch(planted, factors.where("channel = 'price'"), "security_id", "trade_date").join(paying, "security_id", "left_anti")
 
 
-@add("O14_audit_report", f"{panel_sql('turnover')}, x AS (SELECT 'single_exchange' AS rule, 'WARN' AS severity, 'turnover' AS dataset, CAST(trade_date AS VARCHAR) AS key FROM turnover GROUP BY trade_date HAVING count(DISTINCT exchange) < 2 UNION ALL SELECT 'orphan_order', 'ERROR', 'orders', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey % 3 = 0) SELECT rule, severity, dataset, count(*) AS n, min(key) AS sample, CASE WHEN severity = 'ERROR' THEN 'FAIL' ELSE 'WARN' END AS status FROM x GROUP BY 1, 2, 3")
-def _o14(spark: SparkSession, d: str) -> DataFrame:
-    days = market.totals(panel(spark, d, "turnover"))
-    found = audit.broken(days, "single_exchange", "WARN", "turnover", F.col("exchanges") < 2, F.col("trade_date"))
-    return audit.report(found.unionByName(audit.broken(_table(spark, d, "orders"), "orphan_order", "ERROR", "orders", F.col("o_custkey") % 3 == 0, F.col("o_orderkey"))))
-
-
 @add("J1_latest_top_holdings", f"{panel_sql('holdings')}, h AS (SELECT * FROM holdings QUALIFY report_date = max(report_date) OVER (PARTITION BY etf_id)), t AS (SELECT *, row_number() OVER (PARTITION BY etf_id ORDER BY weight_pct DESC NULLS LAST, stock_id) AS rank FROM h QUALIFY rank <= 10) SELECT *, CASE WHEN disclosed IS NOT NULL THEN 'exact' ELSE 'limited' END AS confidence FROM t", "weight_pct")
 def _j1(spark: SparkSession, d: str) -> DataFrame:
     return groups.latest_top(panel(spark, d, "holdings"), "etf_id")

@@ -57,7 +57,7 @@ def _blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
 
 _K7 = f"{panel_sql('quotes_wide')}, {_BLOCKS}, i AS (SELECT DISTINCT security_id FROM quotes_wide UNION ALL SELECT 'NO-SUCH'), j AS (SELECT * FROM i LEFT JOIN q USING (security_id) LEFT JOIN o USING (security_id))"
-_K6 = f"{_K7}, r AS (SELECT *, {_STALE.format(d='quote_date', n=30)} AS rq, {_STALE.format(d='old_date', n=120)} AS ro FROM j), k AS (SELECT security_id, quote_date, CASE WHEN rq IS NULL THEN close END AS close, CASE WHEN rq IS NULL THEN turnover_amount END AS turnover_amount, old_date, CASE WHEN ro IS NULL THEN old_close END AS old_close, datediff('day', quote_date, DATE '{ASOF}') AS quote_staleness_days, datediff('day', old_date, DATE '{ASOF}') AS old_staleness_days, concat_ws(',', 'quote:' || rq, 'old:' || ro) AS stale_blocks, CASE WHEN rq IS NULL AND ro IS NULL THEN 'PASS' ELSE 'WARN' END AS data_quality FROM r)"
+_K6 = f"{_K7}, r AS (SELECT *, {_STALE.format(d='quote_date', n=30)} AS rq, {_STALE.format(d='old_date', n=120)} AS ro FROM j), k AS (SELECT security_id, quote_date, CASE WHEN rq IS NULL THEN close END AS close, CASE WHEN rq IS NULL THEN turnover_amount END AS turnover_amount, old_date, CASE WHEN ro IS NULL THEN old_close END AS old_close, datediff('day', quote_date, DATE '{ASOF}') AS quote_staleness_days, datediff('day', old_date, DATE '{ASOF}') AS old_staleness_days, concat_ws(',', 'quote:' || rq, 'old:' || ro) AS stale_blocks, CASE WHEN rq IS NULL AND ro IS NULL THEN 'PASS' ELSE 'PARTIAL' END AS data_quality FROM r)"
 
 
 @add("K7_compare", f"{_K7} SELECT * FROM j", "close turnover_amount old_close")
@@ -75,12 +75,6 @@ def _k6(spark: SparkSession, d: str) -> DataFrame:
     return _stale(spark, d)
 
 
-@add("K8_screen", f"{_K6.replace('> 120', '> 30')} SELECT security_id, close, turnover_amount, stale_blocks FROM k WHERE security_id LIKE 'B%' AND turnover_amount > 50000 ORDER BY turnover_amount DESC NULLS LAST, security_id LIMIT 15", "close turnover_amount")
-def _k8(spark: SparkSession, d: str) -> DataFrame:
-    found = _stale(spark, d).where(F.col("security_id").startswith("B")).where("turnover_amount > 50000")
-    return pit.top(found, 15, F.desc_nulls_last("turnover_amount"), F.asc("security_id")).select("security_id", "close", "turnover_amount", "stale_blocks")
-
-
 _TAGGED = f"(valid_from IS NULL OR valid_from <= DATE '{ASOF}') AND (valid_to IS NULL OR valid_to > DATE '{ASOF}')"
 
 
@@ -112,11 +106,6 @@ def _k11(spark: SparkSession, d: str) -> DataFrame:
     return pit.themes(groups.tags_asof(_tags(spark, d), "fund_id", ASOF), shares.join(quotes, "fund_id", "full_outer"), "fund_id", 2, 30)
 
 
-@add("K13_quote_search", f"{panel_sql('quotes_wide')}, {_BLOCKS} SELECT security_id, quote_date, turnover_amount FROM q WHERE security_id ILIKE '%mach%'", "turnover_amount")
-def _k13(spark: SparkSession, d: str) -> DataFrame:
-    return _blocks(spark, d)[1].where(F.col("security_id").ilike("%mach%")).select("security_id", "quote_date", "turnover_amount")
-
-
 @add("K14_dashboard", f"{panel_sql('quotes_wide')}, {_BLOCKS} SELECT max(quote_date) AS latest, count(*) AS funds, count(*) FILTER (WHERE quote_date < (SELECT max(quote_date) FROM q)) AS stale, sum(CASE WHEN quote_date = (SELECT max(quote_date) FROM q) THEN turnover_amount END) AS turnover FROM q", "turnover")
 def _k14(spark: SparkSession, d: str) -> DataFrame:
     q = _blocks(spark, d)[1]
@@ -129,16 +118,6 @@ def _k15(spark: SparkSession, d: str) -> DataFrame:
     return pit.top(_blocks(spark, d)[1].select("security_id", "turnover_amount"), 10, F.desc("turnover_amount"), F.asc("security_id"))
 
 
-@add("K16_work_list", f"{panel_sql('quotes_wide')} SELECT security_id, count(close) AS n FROM quotes_wide GROUP BY 1 HAVING count(close) < 100")
-def _k16(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d, "quotes_wide").groupBy("security_id").agg(F.count("close").alias("n")).where("n < 100")
-
-
-@add("K17_tracked_indexes", f"{panel_sql('fund_index')} SELECT DISTINCT index_id FROM fund_index WHERE valid_to IS NULL")
-def _k17(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d, "fund_index").where("valid_to is null").select("index_id").distinct()
-
-
 # D: calendar
 _SHIP = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem"
 
