@@ -281,6 +281,9 @@ def build_vocabulary(counted: DataFrame) -> Vocabulary:
     # one shuffle by word; words seen once are of class OTHER and are joined to nothing more
     rows = counted.where("kind = 0").select("batch", F.col("key").alias("h"), "n", "context", "out").withColumn("c", F.sum("n").over(Window.partitionBy("h")))
     occurring = materialize(rows.where("c > 0").withColumn("context", F.when(F.col("c") >= LEAST, F.col("context"))))
+    grams = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # distinct runs of four bytes
+    del rows
+    _let_go(spark, counted)
     numbers = [F.sum(F.col("n") * F.shiftright(F.shiftleft("context", 56 - 8 * d), 56)).cast("double").alias(f"x{d}") for d in range(CONTEXT)]
     norm = F.sqrt(sum((F.col(f"x{d}") * F.col(f"x{d}") for d in range(1, CONTEXT)), F.col("x0") * F.col("x0"))) + 1e-9
     often = occurring.where((F.col("c") >= LEAST) & (F.col("h") != F.lit(int(END_HASH))))
@@ -290,7 +293,6 @@ def build_vocabulary(counted: DataFrame) -> Vocabulary:
     total, single, ended = occurring.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(~end & (F.col("c") == 1) & (F.col("n") == 1)), F.count_if(end)).first()
     distinct = known + single + (ended > 0)
     twice = words.where("c = 2").count()
-    grams = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")  # distinct runs of four bytes
     spelling = Spelling(grams["key"].to_numpy(dtype=np.int64), grams["n"].to_numpy(dtype=np.int64))
 
     slots = SLOTS
@@ -325,7 +327,7 @@ def build_vocabulary(counted: DataFrame) -> Vocabulary:
     named = often.select("batch", "h", "c").join(classed, F.col("h") == F.col("_w")).drop("_w")
     # a word of a training text that is not among these is seen once; held-out texts cannot tell
     other = occurring.where((F.col("c") < LEAST) & F.col("out") | end).select("batch", "h", "c", F.lit(OTHER).alias("class"), F.lit(0.0).cast("float").alias("logp"), F.lit(-1).alias("slot"))
-    return Vocabulary(named.unionByName(other), occurring, spelling, int(total), int(distinct), slots, int(single), twice)
+    return Vocabulary(materialize(named.unionByName(other)), occurring, spelling, int(total), int(distinct), slots, int(single), twice)
 
 
 def _let_go(spark: SparkSession, *done: DataFrame) -> None:
@@ -534,9 +536,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     texts = materialize(dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
     counted = materialize(count_tokens(texts))
     v = build_vocabulary(counted)
-    _let_go(docs.sparkSession, counted)
+    _let_go(docs.sparkSession, v.occurring)
     coded = materialize(code(texts, v))
-    _let_go(docs.sparkSession, texts, v.occurring)
+    _let_go(docs.sparkSession, texts, v.words)
     scored = score(coded, train(coded, v.slots), v.slots)
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(v.total + v.distinct + 1)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
