@@ -13,12 +13,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pitmart.operators.merge import merge_keyed
 
 
-def ingest(stream: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], keys: list[str], order: str, checkpoint: str, valid: str = "true") -> StreamingQuery:
+def ingest(stream: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], keys: list[str], order: str, checkpoint: str, valid: str = "true", newest: bool = False) -> StreamingQuery:
     """[P1] Each microbatch's valid rows are merged by key into what read() gives and handed to write(), which must not
-    overwrite what it reads.  A row delivered again merges to the same table, so the sink is idempotent."""
+    overwrite what it reads.  A row delivered again merges to the same table, so the sink is idempotent.  newest: a row
+    older by `order` than what is there, delivered late, changes nothing."""
 
     def step(batch: DataFrame, _: int) -> None:
         good, old = batch.where(valid), read()
+        if newest and old is not None:
+            held = old.select(*keys, F.col(order).alias("_held"))
+            good = good.join(held, keys, "left").where(F.col("_held").isNull() | (F.col(order) >= F.col("_held"))).drop("_held")
         write(merge_keyed(old if old is not None else good.limit(0), good, keys, order=order))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
