@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def contract(df: DataFrame, required: list[str], allow_empty: bool = False) -> DataFrame:
-    """[A3] Issues of a frame: missing columns, emptiness."""
-    spark = df.sparkSession
-    missing = [(f"missing_column:{c}", "ERROR") for c in required if c not in df.columns]
-    issues = spark.createDataFrame(missing, "rule string, severity string")
-    empty = df.groupBy().agg(F.count("*").alias("n")).where("n = 0").select(F.lit("empty_frame").alias("rule"), F.lit("WARN" if allow_empty else "ERROR").alias("severity"))
+def contract(df: DataFrame | None, required: list[str], allow_empty: bool = False, spark: SparkSession | None = None) -> DataFrame:
+    """[A3] Issues of a frame: none at all (then `spark` is needed), missing columns, emptiness, which reads one row."""
+    session = spark if df is None else df.sparkSession
+    shape = "rule string, severity string"
+    if df is None:
+        return session.createDataFrame([("missing_frame", "ERROR")], shape)
+    issues = session.createDataFrame([(f"missing_column:{c}", "ERROR") for c in required if c not in df.columns], shape)
+    empty = df.limit(1).groupBy().agg(F.count("*").alias("n")).where("n = 0").select(F.lit("empty_frame").alias("rule"), F.lit("WARN" if allow_empty else "ERROR").alias("severity"))
     return issues.unionByName(empty)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitmart.operators import checks
 from pitmart.panels import panel, panel_sql
 from pitmart.queries import add
 from pitmart.sources import frames, sinks
@@ -202,3 +203,9 @@ _MASTER = "SELECT fund_id, master_index AS tracking_index_id, CAST(NULL AS VARCH
 def _a11(spark: SparkSession, d: str) -> DataFrame:
     new = _raw(spark, d, _NEW_MAP, "p_fund_index")
     return sinks.map_and_master(_raw(spark, d, _MASTER, "p_fund_master"), new.limit(0), new, "fund_id")[1]
+
+
+@add("A3_frame_contract", "SELECT 'missing_column:fee' AS rule, 'ERROR' AS severity UNION ALL SELECT 'empty_frame', 'WARN' WHERE (SELECT count(*) FROM customer WHERE c_acctbal > 10000000) = 0 UNION ALL SELECT 'empty_frame', 'ERROR' WHERE (SELECT count(*) FROM customer) = 0")
+def _a3(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "customer")
+    return checks.contract(rows, ["c_custkey", "fee"]).unionByName(checks.contract(rows.where("c_acctbal > 10000000"), ["c_custkey"], allow_empty=True))

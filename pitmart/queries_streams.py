@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pitmart.panels import panel, panel_sql
 from pitmart.queries import SQL, add
 from pitmart.queries_pulse import confirmed_sql
+from pitmart.sources import sinks
 from pitmart.streaming import steps
 
 _OWN: dict[str, str] = {}
@@ -85,3 +86,21 @@ def _p3(spark: SparkSession, d: str) -> DataFrame:
     _taken_in(rows, at, "ts", start)
     last = spark.read.parquet(f"{at}/out").groupBy("event_type").agg(F.max_by(F.struct("last_success", "last_failure", "failures_in_a_row"), "batch").alias("x")).select("event_type", "x.*")
     return last.select("event_type", F.col("last_success").cast("timestamp_ntz").alias("last_success"), F.col("last_failure").cast("timestamp_ntz").alias("last_failure"), "failures_in_a_row")
+
+
+# A: sinks that write and are read again
+@add("A1_raw_snapshots", "SELECT c_custkey, c_name, 'vendor' AS source, 'customers' AS dataset, DATE '2026-08-07' AS date FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name, 'vendor', 'customers', DATE '2026-08-08' FROM customer WHERE c_custkey % 5 = 0")
+def _a1(spark: SparkSession, d: str) -> DataFrame:
+    at, rows = shared_folder(spark), spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
+    for date, n in (("2026-08-07", 3), ("2026-08-08", 5), ("2026-08-07", 2)):  # the first is delivered again
+        sinks.write_raw(rows.where(F.col("c_custkey") % n == 0), at, "vendor", "customers", date)
+    return spark.read.parquet(at)
+
+
+@add("A6_versioned_mart", f"{panel_sql('shares')} SELECT security_id, trade_date, shares * CASE WHEN v = 'flow_v2' THEN 2 ELSE 1 END AS shares, v AS calculation_version FROM shares, (SELECT unnest(['flow_v1', 'flow_v2']) AS v)", "shares")
+def _a6(spark: SparkSession, d: str) -> DataFrame:
+    at, rows = shared_folder(spark), panel(spark, d, "shares").select("security_id", "trade_date", "shares")
+    sinks.write_mart(rows, at, "flow_v1")
+    for times in (3, 2):  # the second run of one version replaces the first
+        sinks.write_mart(rows.withColumn("shares", F.col("shares") * times), at, "flow_v2")
+    return spark.read.parquet(at).select("security_id", "trade_date", "shares", "calculation_version")
