@@ -101,14 +101,6 @@ def state_outcomes(states: DataFrame, closes: DataFrame, key: str, date: str, st
     return sampled.groupBy(key, *by, state, "window", "sample").agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.median(r).alias("median"), F.percentile(r, F.lit(0.1)).alias("p10"), F.percentile(r, F.lit(0.9)).alias("p90"), F.avg("forward_drawdown").alias("drawdown_mean"), F.min("forward_drawdown").alias("drawdown_worst"))
 
 
-def norm_ratio(over: DataFrame, under: DataFrame, date: str, exchanges: int = 2) -> DataFrame:
-    """[L2] Sum of `over` by `under` on days on which both sides have all exchanges; null without a positive divisor."""
-    a = over.groupBy(date).agg(F.sum("value").alias("_a"), F.countDistinct("exchange").alias("_na"))
-    b = under.groupBy(date).agg(F.sum("value").alias("_b"), F.countDistinct("exchange").alias("_nb"))
-    whole = (F.col("_na") == exchanges) & (F.col("_nb") == exchanges) & (F.col("_b") > 0)
-    return a.join(b, date, "left").select(date, F.when(whole, F.col("_a") / F.col("_b")).alias("ratio"))
-
-
 def switches(df: DataFrame, by: list[str], key: str, date: str, state: str) -> DataFrame:
     """[N4, N8] Per slice the days, the switches inside it and the share of UNKNOWN."""
     w = Window.partitionBy(*by).orderBy(date)

@@ -9,7 +9,7 @@ from pitmart.operators import audit, calendar, flow, groups, market, metrics, pi
 from pitmart.operators import series as s
 from pitmart.panels import panel, panel_sql
 from pitmart.queries import add
-from pitmart.queries_more import _LAST, ASOF
+from pitmart.queries_more import ASOF
 
 _DAY = f"DATE '{ASOF}'"
 

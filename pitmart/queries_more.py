@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitmart.operators import calendar, checks, groups, market, merge, metrics, pit, pulse
+from pitmart.operators import calendar, checks, groups, market, merge, pit, pulse
 from pitmart.operators import series as s
 from pitmart.panels import panel, panel_sql
 from pitmart.queries import add

@@ -69,7 +69,7 @@ def _k8(spark: SparkSession, d: str) -> DataFrame:
     return pit.top(rows, 25, F.desc_nulls_last("turnover_amount"), F.desc_nulls_last("aum"), F.asc("fund_id"))
 
 
-@add("K13_quote_search", f"{panel_sql('quotes', 'fund_master')}, l AS (SELECT security_id, trade_date, turnover_amount, CASE WHEN n_orders > 1 THEN 'quoted ' || security_id END AS name FROM quotes {_LAST.format(k='security_id', d='trade_date')}), n AS (SELECT security_id, trade_date, turnover_amount, coalesce(l.name, m.name) AS name FROM l LEFT JOIN fund_master m ON 'S' || CAST(m.fund_id AS VARCHAR) = l.security_id) SELECT * FROM n WHERE security_id ILIKE '%supplier#0000%' OR name ILIKE '%supplier#0000%' OR name ILIKE '%SUPPLIER%' ORDER BY turnover_amount DESC NULLS LAST, security_id LIMIT 20", "turnover_amount")
+@add("K13_quote_search", f"{panel_sql('quotes', 'fund_master')}, l AS (SELECT security_id, trade_date, turnover_amount, CASE WHEN n_orders > 1 THEN 'quoted ' || security_id END AS name FROM quotes {_LAST.format(k='security_id', d='trade_date')}), n AS (SELECT security_id, trade_date, turnover_amount, coalesce(l.name, m.name) AS name FROM l LEFT JOIN fund_master m ON 'S' || CAST(m.fund_id AS VARCHAR) = l.security_id) SELECT * FROM n WHERE security_id ILIKE '%supplier%' OR name ILIKE '%supplier%' ORDER BY turnover_amount DESC NULLS LAST, security_id LIMIT 20", "turnover_amount")
 def _k13(spark: SparkSession, d: str) -> DataFrame:
     latest = pit.asof_rows(panel(spark, d, "quotes"), "security_id", "trade_date", "9999-12-31").select("security_id", "trade_date", "turnover_amount", F.when(F.col("n_orders") > 1, F.concat(F.lit("quoted "), "security_id")).alias("name"))
     names = panel(spark, d, "fund_master").select(F.concat(F.lit("S"), "fund_id").alias("security_id"), "name")
