@@ -34,13 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pitmart/{uuid.uuid4().hex}"
     if _MADE:
         _MADE[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -533,11 +533,11 @@ def score(coded: DataFrame, w: np.ndarray, slots: int) -> DataFrame:
 @tidy
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text)."""
-    texts = materialize(dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
-    counted = materialize(count_tokens(texts))
+    texts = materialize(dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "zstd")
+    counted = materialize(count_tokens(texts), "zstd")
     v = build_vocabulary(counted)
     _let_go(docs.sparkSession, v.occurring)
-    coded = materialize(code(texts, v))
+    coded = materialize(code(texts, v), "zstd")
     _let_go(docs.sparkSession, texts, v.words)
     scored = score(coded, train(coded, v.slots), v.slots)
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(v.total + v.distinct + 1)))
