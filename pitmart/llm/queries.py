@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitmart.llm import chat, fingerprints, language_model, licenses, minhash, mixing, packing, pii, quality, repeats
+from pitmart.llm import chat, fingerprints, language_model, lattice, licenses, minhash, mixing, packing, pii, prefix_trie, quality, repeats, survival
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_tool_calls": chat.op9_tool_calls,
     "op10_mixing": mixing.op10_mixing,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_filter_audit": survival.op12_filter_audit,
+    "op13_embedding_near_duplicates": lattice.op13_embedding_near_duplicates,
 }
-ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.ORACLE_SQL, "op9_tool_calls": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.ORACLE_SQL, "op9_tool_calls": chat.ORACLE_SQL, "op12_filter_audit": survival.ORACLE_SQL}
