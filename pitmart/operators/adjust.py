@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitmart.operators import scan
 from pitmart.operators import series as s
 
-SPLIT_LIKE = ("SPLIT", "REVERSE_SPLIT", "SHARE_CONVERSION")
 CHANNELS = ("price", "nav", "shares")
 
 
@@ -33,11 +33,11 @@ def effective_dates(actions: DataFrame, days: DataFrame, key: str = "security_id
 
 
 def multipliers(actions: DataFrame, days: DataFrame, key: str = "security_id", date: str = "trade_date") -> tuple[DataFrame, DataFrame]:
-    """[E2, E3, E5] (key, date, channel, action_type, m), and refused actions, each rule and action once.  A split
-    multiplies all channels by its ratio k; a dividend d price and NAV by P / (P - d), shares by 1.  Refused: no close
+    """[E2, E3, E5] (key, date, channel, action_type, m), and refused actions, each rule and action once.  Whatever
+    is no dividend, of type OTHER too, multiplies all channels by its ratio k; a dividend d price and NAV by P / (P - d), shares by 1.  Refused: no close
     before, d null, 0, negative or not under P, and a ratio null, 0 or negative."""
     found = effective_dates(actions, days, key, date)
-    split = F.col("action_type").isin(*SPLIT_LIKE)
+    split = F.coalesce(F.col("action_type") != "DIVIDEND", F.lit(True))
     reason = (
         F.when(split & ~F.coalesce(F.col("k") > 0, F.lit(False)), "bad_ratio")
         .when(~split & (F.col("p").isNull() | ~F.coalesce(F.col("d") > 0, F.lit(False))), "no_previous_close_or_amount")
@@ -50,17 +50,21 @@ def multipliers(actions: DataFrame, days: DataFrame, key: str = "security_id", d
     return good.select(key, F.col("x.at").alias(date), F.col("x.channel").alias("channel"), "action_type", F.col("x.m").alias("m")), found.where("reason is not null").select(key, "action_date", "action_type", "reason").dropDuplicates()
 
 
-def adjusted(days: DataFrame, factors: DataFrame, key: str = "security_id", date: str = "trade_date") -> DataFrame:
+def adjusted(days: DataFrame, factors: DataFrame, key: str = "security_id", date: str = "trade_date", width: int | None = None) -> DataFrame:
     """[E4] Close times the running product of price factors up to its date, NAV times that of NAV factors, shares by that
-    of share factors; the legacy factor is the NAV's.  Factors are positive, so a product is the exponential of a running
-    sum of logarithms."""
-    daily = factors.groupBy(key, date).agg(*(F.sum(F.when(F.col("channel") == c, F.ln("m"))).alias(f"_{c}") for c in CHANNELS))
+    of share factors; the legacy factor is the NAV's.  Factors are multiplied in order of their days, so that ratios
+    which doubles hold exactly have exact products.  width: days of a line that one task scans, for few long lines."""
+    daily = factors.groupBy(key, date).agg(*(F.product(F.when(F.col("channel") == c, F.col("m"))).alias(f"_{c}") for c in CHANNELS))
     w = s.so_far(s.over(key, date))
 
     def factor(c: str) -> Column:
-        return F.exp(F.sum(F.coalesce(f"_{c}", F.lit(0.0))).over(w))
+        return F.product(F.coalesce(f"_{c}", F.lit(1.0))).over(w)
 
-    rows = days.join(daily, [key, date], "left").withColumns({f"{c}_factor": factor(c) for c in CHANNELS})
+    rows = days.join(daily, [key, date], "left")
+    if width is not None:
+        rows = scan.running(rows, key, date, products={f"{c}_factor": F.coalesce(f"_{c}", F.lit(1.0)) for c in CHANNELS}, width=width)
+    else:
+        rows = rows.withColumns({f"{c}_factor": factor(c) for c in CHANNELS})
     return rows.select(
         key, date, *(f"{c}_factor" for c in CHANNELS), F.col("nav_factor").alias("factor"),
         (F.col("close") * F.col("price_factor")).alias("adjusted_close"), (F.col("nav") * F.col("nav_factor")).alias("adjusted_nav"), (F.col("shares") / F.col("shares_factor")).alias("adjusted_shares"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitmart.operators import scan
+
 
 def guard(df: DataFrame, calendar: DataFrame, date: str) -> DataFrame:
     """[C3, D1] covered: inside the calendar's bounds; rejected: covered, but no trading day."""
@@ -16,13 +18,14 @@ def guard(df: DataFrame, calendar: DataFrame, date: str) -> DataFrame:
 
 
 def around(days: DataFrame, calendar: DataFrame, date: str) -> DataFrame:
-    """[D2] Of each day the latest trading day (<=) and the previous one (<), by carrying the last known forward."""
-    both = days.select(F.col(date).alias("day"), F.lit(True).alias("asked"), F.lit(None).cast("date").alias("t")).distinct()
-    both = both.unionByName(calendar.select(F.col("trade_date").alias("day"), F.lit(False).alias("asked"), F.col("trade_date").alias("t")).distinct())
-    w = Window.partitionBy(F.lit(0)).orderBy("day")
-    to_day, before = w.rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(0)).orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(Window.unboundedPreceding, -1)
-    out = both.withColumn("latest", F.max("t").over(to_day)).withColumn("previous", F.max("t").over(before))
-    return out.where("asked").select(F.col("day").alias(date), "latest", "previous")
+    """[D2] Of each day the latest trading day (<=) and the previous one (<), by carrying the last known forward in
+    segments of the calendar; nothing for a null day."""
+    one = F.lit("calendar").alias("_line")
+    asked = days.select(one, F.col(date).alias("_day")).where(F.col(date).isNotNull()).distinct()
+    known = calendar.select(one, F.col("trade_date").alias("_day"), F.col("trade_date").alias("latest"), F.col("trade_date").alias("previous"))
+    found = scan.asof(asked, known, ["_line"], "_day", ["latest"])
+    found = scan.asof(found, known, ["_line"], "_day", ["previous"], strict=True)
+    return days.select(date).distinct().join(found.drop("_line"), F.col(date) == F.col("_day"), "left").select(date, "latest", "previous")
 
 
 def days_back(calendar: DataFrame, asof: str, n: int) -> DataFrame:

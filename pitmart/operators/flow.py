@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitmart.operators import scan
 from pitmart.operators import series as s
 
 WINDOWS = (1, 5, 20, 60)
@@ -51,8 +52,11 @@ def streaks(shares: DataFrame, key: str = "security_id", date: str = "trade_date
     return rows.select(key, date, F.when(F.col("_flag") > 0, F.col("_run")).otherwise(0).alias("inflow_days"), F.when(F.col("_flag") < 0, F.col("_run")).otherwise(0).alias("outflow_days"))
 
 
-def cumulative(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
-    """[G8] Running total; a null day is null and the total is carried over it."""
+def cumulative(df: DataFrame, key: str, date: str, value: str, width: int | None = None) -> DataFrame:
+    """[G8] Running total; a null day is null and the total is carried over it.  width: days of a line that one task scans,
+    for few long lines; without it a line is one task."""
+    if width is not None:
+        return scan.running(df, key, date, sums={"_total": F.col(value)}, width=width).select(key, date, F.when(F.col(value).isNotNull(), F.col("_total")).alias("total"))
     return df.select(key, date, F.when(F.col(value).isNotNull(), F.sum(value).over(s.so_far(s.over(key, date)))).alias("total"))
 
 
@@ -63,11 +67,14 @@ def nav_coalesce(shares: DataFrame, navs: DataFrame, key: str, date: str) -> Dat
 
 
 def mechanical_split(shares: DataFrame, factors: DataFrame, key: str, date: str) -> DataFrame:
-    """[G5, E6] Of a day's share change the part that a share factor k explains, previous * (k - 1), and the rest."""
+    """[G5, E6] Of a day's share change the part that a share factor k explains, previous * (k - 1), and the rest; without
+    shares that day or before both parts are null and the day is clean."""
     w = s.over(key, date)
     k = factors.groupBy(key, date).agg(F.product("k").alias("k"))
     rows = shares.withColumn("_prev", F.lag("shares").over(w)).join(k, [key, date], "left").withColumn("k", F.coalesce("k", F.lit(1.0)))
-    return rows.where("_prev is not null").select(key, date, (F.col("_prev") * (F.col("k") - 1)).alias("mechanical"), (F.col("shares") - F.col("_prev") * F.col("k")).alias("economic"), F.when(F.col("k") == 1, "plain").otherwise("adjusted").alias("quality"))
+    known = F.col("_prev").isNotNull() & F.col("shares").isNotNull()
+    part = lambda c, name: F.when(known, c).alias(name)
+    return rows.select(key, date, part(F.col("_prev") * (F.col("k") - 1), "mechanical"), part(F.col("shares") - F.col("_prev") * F.col("k"), "economic"), F.when(known & (F.col("k") != 1), "adjusted").otherwise("clean").alias("quality"))
 
 
 def basket_flow(flows: DataFrame, members: DataFrame, key: str, date: str, flow: str) -> DataFrame:

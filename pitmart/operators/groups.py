@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitmart.operators import scan
+
 
 def peer_group(index_id: Column, index_name: Column, tag: Column) -> Column:
     """[I1] (id, kind, label): the index, else its name, else the tag; an empty one counts as none.  Null without any."""
@@ -28,44 +30,48 @@ DIRECTIONS = {"aum": True, "turnover": True, "flow": True, "tracking_error": Fal
 
 def peer_marts(facts: DataFrame, group: str, key: str, least: int = 3) -> DataFrame:
     """[I7] The percentile of each metric in its group; groups of fewer than `least` members have no row, a metric known
-    of fewer none; 1 is best in every metric.  One shuffle by group."""
-    size = Window.partitionBy(group)
-    rows = facts.withColumn("peer_count", F.count("*").over(size)).where(F.col("peer_count") >= least)
-    found = {}
-    for c, high in DIRECTIONS.items():
-        known = Window.partitionBy(group, F.col(c).isNotNull())
-        rank = F.percent_rank().over(known.orderBy(F.asc(c) if high else F.desc(c)))
-        found[f"{c}_rank_pct"] = F.when(F.col(c).isNotNull() & (F.count("*").over(known) >= least), rank)
-    return rows.withColumns(found).select(key, group, "peer_count", *found)
+    of fewer none; 1 is best in every metric.  All metrics are ranked at once, from counted values, so that no group is
+    one task; keys are distinct in a group."""
+    sizes = facts.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("peer_count")).where(F.col("peer_count") >= least)
+    metrics = F.array(*(F.struct(F.lit(c).alias("metric"), (F.col(c) if high else -F.col(c)).cast("double").alias("good")) for c, high in DIRECTIONS.items()))
+    told = facts.select(group, key, F.explode(metrics).alias("_m")).select(group, key, "_m.*").where("good is not null")
+    ranked = scan.ranks(told, [group, "metric"], "good").where(F.col("known") >= least)
+    share = F.when(F.col("known") > 1, F.col("below") / (F.col("known") - 1)).otherwise(0.0)
+    wide = ranked.groupBy(F.col(group).alias("_g"), F.col(key).alias("_key")).agg(*(F.max(F.when(F.col("metric") == c, share)).alias(f"{c}_rank_pct") for c in DIRECTIONS))
+    rows = facts.select(group, key).join(sizes, F.col(group).eqNullSafe(F.col("_group")))
+    rows = rows.join(wide, F.col(group).eqNullSafe(F.col("_g")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    return rows.select(key, group, "peer_count", *(f"{c}_rank_pct" for c in DIRECTIONS))
 
 
 def peer_percentile(df: DataFrame, group: str, value: str, best_high: bool = True, least: int = 3) -> DataFrame:
-    """[I6] worse / (n - 1) among the known values of a group, ties equal; groups of fewer than `least` have none."""
-    known = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(group)
-    order = F.asc(value) if best_high else F.desc(value)
-    n = F.count("*").over(w)
-    return known.withColumn("peer_count", n).withColumn("rank_pct", F.when(F.col("peer_count") >= least, F.percent_rank().over(w.orderBy(order))))
+    """[I6] worse / (n - 1) among the known values of a group, ties equal; groups of fewer than `least` have none.  Ranks come
+    from counted values: no group is one task."""
+    known = df.where(F.col(value).isNotNull()).withColumn("_good", (F.col(value) if best_high else -F.col(value)).cast("double"))
+    ranked = scan.ranks(known, [group], "_good").withColumnRenamed("known", "peer_count")
+    share = F.when(F.col("peer_count") > 1, F.col("below") / (F.col("peer_count") - 1)).otherwise(0.0)
+    return ranked.withColumn("rank_pct", F.when(F.col("peer_count") >= least, share)).drop("_good", "below", "equal")
 
 
-def latest_top(holdings: DataFrame, fund: str, asof: str | None = None, n: int = 10) -> DataFrame:
-    """[J1, J2] The latest report's top holdings; as of a day, reports dated and, where known, disclosed by it."""
-    h = holdings
+def latest_report(holdings: DataFrame, fund: str, asof: str | None = None) -> DataFrame:
+    """[J2] All holdings of each fund's latest report.  As of a day a report counts from the first of its holdings that is
+    dated and, where known, disclosed by it, and then counts whole."""
+    seen = holdings
     if asof is not None:
         day = F.lit(asof).cast("date")
-        h = h.where((F.col("report_date") <= day) & (F.col("disclosed").isNull() | (F.col("disclosed") <= day)))
-    h = h.withColumn("_last", F.max("report_date").over(Window.partitionBy(fund))).where("report_date = _last").drop("_last")
-    h = h.withColumn("rank", F.row_number().over(Window.partitionBy(fund).orderBy(F.desc_nulls_last("weight_pct"), "stock_id")))
-    return h.where(F.col("rank") <= n).withColumn("confidence", F.when(F.col("disclosed").isNotNull(), "exact").otherwise("limited"))
+        seen = seen.where((F.col("report_date") <= day) & (F.col("disclosed").isNull() | (F.col("disclosed") <= day)))
+    last = seen.groupBy(F.col(fund).alias("_fund")).agg(F.max("report_date").alias("_last"))
+    return holdings.join(last, (F.col(fund) == F.col("_fund")) & (F.col("report_date") == F.col("_last"))).drop("_fund", "_last")
 
 
-def latest_report(holdings: DataFrame, fund: str, asof: str | None = None) -> DataFrame:
-    """[J2] All holdings of each fund's latest report, dated and where known disclosed by asof."""
-    h = holdings
-    if asof is not None:
-        day = F.lit(asof).cast("date")
-        h = h.where((F.col("report_date") <= day) & (F.col("disclosed").isNull() | (F.col("disclosed") <= day)))
-    return h.withColumn("_last", F.max("report_date").over(Window.partitionBy(fund))).where("report_date = _last").drop("_last")
+def latest_top(holdings: DataFrame, fund: str, asof: str | None = None, n: int = 10, funds: DataFrame | None = None) -> DataFrame:
+    """[J1, J2] The latest report's top holdings.  A fund's confidence is exact if all of them have a day of disclosure,
+    else limited; `funds` without any report have one row, whose confidence is missing."""
+    w = Window.partitionBy(fund)
+    h = latest_report(holdings, fund, asof).withColumn("rank", F.row_number().over(w.orderBy(F.desc_nulls_last("weight_pct"), "stock_id"))).where(F.col("rank") <= n)
+    h = h.withColumn("confidence", F.when(F.bool_and(F.col("disclosed").isNotNull()).over(w), "exact").otherwise("limited"))
+    if funds is None:
+        return h
+    return funds.select(fund).distinct().join(h, fund, "left").withColumn("confidence", F.coalesce("confidence", F.lit("missing")))
 
 
 def concentration(holdings: DataFrame, fund: str) -> DataFrame:
@@ -129,14 +135,22 @@ def industry_weights(holdings: DataFrame, industry: DataFrame, fund: str) -> Dat
     return joined.groupBy(fund, "industry").agg(F.sum("weight_pct").alias("weight"))
 
 
-def industry_tags(weights: DataFrame, fund: str) -> DataFrame:
-    """[J7] primary from a share of 0.30 on, secondary from 0.18; broad style when the first is under 0.30, at least 0.80
-    is classified and there are three industries."""
-    total = F.sum(F.when(F.col("weight") > 0, F.col("weight"))).over(Window.partitionBy(fund))
-    known = weights.where("weight > 0").withColumn("_total", total).where("industry <> 'unclassified'").withColumn("share", F.col("weight") / F.col("_total"))
+#: [J7] Fixed values: shares from which the first and second industry are tags, classified share and number of industries
+#: from which a fund without a first one is broad, and that tag with its confidence.
+PRIMARY, SECONDARY, COVERED, BROAD, BROAD_TAG, BROAD_CONFIDENCE = 0.30, 0.18, 0.80, 3, "核心宽基/均衡", 0.85
+
+
+def industry_tags(holdings: DataFrame, industry: DataFrame, fund: str, asof: str) -> DataFrame:
+    """[J7] (fund, tag, tag_type, confidence, coverage, valid_from).  Of the holdings with a positive weight alone: the
+    largest industry and the second are tags from their shares of all weight on; a fund whose largest is none, which
+    is classified enough and stands in several industries, is broad.  An empty industry is none."""
+    held = holdings.where("weight_pct > 0").join(industry.where("industry_name <> ''"), "stock_id", "left")
+    by_industry = held.groupBy(fund, "industry_name").agg(F.sum("weight_pct").alias("weight"))
     w = Window.partitionBy(fund)
-    ranked = known.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("share"), "industry"))).withColumn("coverage", F.sum("share").over(w)).withColumn("_n", F.count("*").over(w)).withColumn("_first", F.max("share").over(w))
-    primary = ranked.where("_rank = 1 and share >= 0.30").select(fund, F.col("industry").alias("tag"), F.lit("primary").alias("tag_type"), "coverage")
-    secondary = ranked.where("_rank > 1 and share >= 0.18").select(fund, F.col("industry").alias("tag"), F.lit("secondary").alias("tag_type"), "coverage")
-    style = ranked.where("_rank = 1 and _first < 0.30 and coverage >= 0.80 and _n >= 3").select(fund, F.lit("diversified").alias("tag"), F.lit("style").alias("tag_type"), "coverage")
-    return primary.unionByName(secondary).unionByName(style)
+    shares = by_industry.withColumn("share", F.col("weight") / F.sum("weight").over(w)).where("industry_name is not null")
+    ranked = shares.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("share"), "industry_name"))).withColumn("coverage", F.sum("share").over(w)).withColumn("_n", F.count("*").over(w))
+    least = F.when(F.col("_rank") == 1, PRIMARY).when(F.col("_rank") == 2, SECONDARY)
+    broad = (F.col("_rank") == 1) & (F.col("share") < PRIMARY) & (F.col("coverage") >= COVERED) & (F.col("_n") >= BROAD)
+    tag = F.when(F.col("share") >= least, F.struct(F.col("industry_name").alias("tag"), F.lit("industry").alias("tag_type"), F.round("share", 4).alias("confidence")))
+    tag = tag.when(broad, F.struct(F.lit(BROAD_TAG).alias("tag"), F.lit("style").alias("tag_type"), F.lit(BROAD_CONFIDENCE).alias("confidence")))
+    return ranked.withColumn("_tag", tag).where("_tag is not null").select(fund, "_tag.*", F.round("coverage", 4).alias("coverage"), F.lit(asof).cast("date").alias("valid_from"))

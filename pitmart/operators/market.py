@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitmart.operators import scan
 from pitmart.operators import series as s
 
 
@@ -19,10 +20,14 @@ def change_pct(df: DataFrame, key: str, date: str, value: str, n: int) -> DataFr
     return df.where(F.col(value).isNotNull()).select(key, date, F.when(start != 0, (F.col(value) / start - 1) * 100).alias("change_pct"))
 
 
-def index_position(index: DataFrame, key: str, date: str, close: str, n: int = 250, least: int = 60) -> DataFrame:
-    """[L4, L6] Mid-rank percentile of the close among the last n, and its fall from their peak."""
+def index_position(index: DataFrame, key: str, date: str, close: str, n: int = 250, least: int = 60, size: int | None = None) -> DataFrame:
+    """[L4, L6] Mid-rank percentile of the close among the last n, and its fall from their peak.  size: rows of a line that
+    one task has, for few long lines."""
+    known = index.where(F.col(close).isNotNull())
+    if size is not None:
+        return scan.in_pieces(known, key, date, n - 1, lambda rows, key: index_position(rows, key, date, close, n, least), size=size)
     w = s.over(key, date)
-    return index.where(F.col(close).isNotNull()).select(key, date, s.mid_rank(close, w, n, least).alias("position"), (F.col(close) / F.max(close).over(s.last_rows(w, n)) - 1).alias("from_peak"))
+    return known.select(key, date, s.mid_rank(close, w, n, least).alias("position"), (F.col(close) / F.max(close).over(s.last_rows(w, n)) - 1).alias("from_peak"))
 
 
 def monthly(df: DataFrame, date: str, value: str) -> DataFrame:
@@ -52,9 +57,13 @@ def overall(*states: Column) -> Column:
     return F.when(known < 2, "unknown").when(strong >= 2, "strong").when(strong == 1, "mixed").otherwise("weak")
 
 
-def confirmed(df: DataFrame, key: str, date: str, state: str, n: int = 2) -> DataFrame:
+def confirmed(df: DataFrame, key: str, date: str, state: str, n: int = 2, width: int | None = None) -> DataFrame:
     """[M5] A state holds once it was seen n days running; UNKNOWN holds, and ends, at once; the first day is taken as
-    it is."""
+    it is.  width: days of a line that one task scans, for few long lines; runs go on across its ends."""
+    if width is not None:
+        rows = scan.neighbours(scan.run_lengths(df, key, date, F.col(state), "_run", width), [key], date, {"_prev": F.col(state)}, width)
+        at_once = F.col("_prev").isNull() | (F.col(state) == "UNKNOWN") | (F.col("_prev") == "UNKNOWN") | (F.col("_run") >= n)
+        return scan.running(rows, key, date, lasts={"confirmed": F.when(at_once, F.col(state))}, width=width).drop("_run", "_prev")
     rows = s.run_length(F.col(state), df, key, date)
     w = s.over(key, date)
     prev = F.lag(state).over(w)
@@ -88,7 +97,7 @@ def forward_outcomes(df: DataFrame, key: str, date: str, close: str, n: int) ->
 
 def state_outcomes(states: DataFrame, closes: DataFrame, key: str, date: str, state: str, close: str, windows: tuple[int, ...] = (5, 20, 60), by: tuple[str, ...] = ()) -> DataFrame:
     """[N7, N8] Per state, window and sample (every day, or the days on which a state begins): count, mean, median, linear
-    deciles of the forward return, mean and worst forward drawdown.  Rows are the days of states; `by`: further slices,
+    deciles of the forward return (exact, picked from counted values), mean and worst forward drawdown.  Rows are the days of states; `by`: further slices,
     which forward windows may cross.  UNKNOWN has no outcome."""
     rows = states.join(closes.select(key, date, close), [key, date], "left").withColumn("_enters", ~F.coalesce(F.col(state) == F.lag(state).over(s.over(key, date)), F.lit(False)))
     out = None
@@ -98,7 +107,13 @@ def state_outcomes(states: DataFrame, closes: DataFrame, key: str, date: str, st
     out = out.where((F.col(state) != "UNKNOWN") & F.col("forward_return").isNotNull())
     sampled = out.withColumn("sample", F.explode(F.when(F.col("_enters"), F.array(F.lit("daily"), F.lit("transition"))).otherwise(F.array(F.lit("daily")))))
     r = "forward_return"
-    return sampled.groupBy(key, *by, state, "window", "sample").agg(F.count("*").alias("n"), F.avg(r).alias("mean"), F.median(r).alias("median"), F.percentile(r, F.lit(0.1)).alias("p10"), F.percentile(r, F.lit(0.9)).alias("p90"), F.avg("forward_drawdown").alias("drawdown_mean"), F.min("forward_drawdown").alias("drawdown_worst"))
+    group = [key, *by, state, "window", "sample"]
+    means = sampled.groupBy(*group).agg(F.avg(r).alias("mean"), F.avg("forward_drawdown").alias("drawdown_mean"), F.min("forward_drawdown").alias("drawdown_worst"))
+    places = scan.percentiles(sampled, group, r, {"median": 0.5, "p10": 0.1, "p90": 0.9}).withColumnsRenamed({c: f"_{c}" for c in group})
+    same = F.lit(True)
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return means.join(places, same).select(*group, "n", "mean", "median", "p10", "p90", "drawdown_mean", "drawdown_worst")
 
 
 def switches(df: DataFrame, by: list[str], key: str, date: str, state: str) -> DataFrame:
@@ -110,11 +125,20 @@ def switches(df: DataFrame, by: list[str], key: str, date: str, state: str) -> D
 
 def valuation_percentile(df: DataFrame, key: str, date: str, value: str, years: int = 3653, least: int = 36) -> DataFrame:
     """[L7] Mid-rank percentile of each known value among all up to it, and among those of the last `years` calendar days,
-    with how many they are; under `least` null."""
-    w = Window.partitionBy(key).orderBy(F.unix_date(date))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_all", F.collect_list(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_ten", F.collect_list(value).over(w.rangeBetween(-years, 0)))
-    rank = lambda a: F.when(F.size(a) >= least, (F.size(F.filter(a, lambda x: x < F.col(value))) + F.size(F.filter(a, lambda x: x == F.col(value))) / 2) / F.size(a))
-    return rows.select(key, date, value, rank("_all").alias("percentile_all"), rank("_ten").alias("percentile_10y"), F.size("_all").alias("n_all"), F.size("_ten").alias("n_10y"))
+    with how many they are; under `least` null.  Dates are distinct in a key.  A row asks two prefixes of its line, all up
+    to it and all before the last `years` days, whose difference is its window."""
+    known = df.where(F.col(value).isNotNull()).select(key, date, value)
+    numbered = scan.running(known, key, date, counts="_n")
+    early = numbered.select(key, F.date_sub(date, years).alias(date), F.col(date).alias("_day"), value, "_n")
+    early = scan.asof(early, numbered.select(key, date, F.col("_n").alias("_gone")), [key], date, ["_gone"], strict=True)
+    asked = early.select(key, F.col("_day").alias(date), value, "_n", F.coalesce("_gone", F.lit(0)).alias("_gone"))
+    asked = asked.select("*", F.explode(F.array(F.struct(F.lit("all").alias("which"), F.col("_n").alias("until")), F.struct(F.lit("gone").alias("which"), F.col("_gone").alias("until")))).alias("_q")).select(key, date, value, "_n", "_gone", "_q.*")
+    counted = scan.prefix_counts(numbered.select(key, value, (F.col("_n") - 1).alias("_t")), asked, key, value, "until")
+    half = F.col("below") + F.col("equal") / 2
+    rows = counted.groupBy(key, date).agg(F.any_value(value).alias(value), F.any_value("_n").alias("n_all"), F.any_value("_gone").alias("_gone"), F.sum(F.when(F.col("which") == "all", half)).alias("_all"), F.sum(F.when(F.col("which") == "gone", half)).alias("_early"))
+    ten = F.col("n_all") - F.col("_gone")
+    rank = lambda part, n: F.when(n >= least, part / n)
+    return rows.select(key, date, value, rank(F.col("_all"), F.col("n_all")).alias("percentile_all"), rank(F.col("_all") - F.col("_early"), ten).alias("percentile_10y"), F.col("n_all").cast("int").alias("n_all"), ten.cast("int").alias("n_10y"))
 
 
 def basket_members(mapping: DataFrame, indexes: DataFrame, fund: str, asof: str) -> DataFrame:

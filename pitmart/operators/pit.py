@@ -29,8 +29,10 @@ def observed(value: Column, at: Column, asof: str) -> Column:
 
 
 def mapping_label(mapped: Column, master: Column, historical: bool = True) -> Column:
-    """[K5] Where an index mapping comes from."""
-    return F.when(mapped.isNotNull(), "mapped_asof").when(master.isNotNull(), "missing_asof" if historical else "master_latest")
+    """[K5] Where an index mapping comes from.  As of a day the master, which knows the present alone, is never asked: what
+    was not mapped by then is missing."""
+    label = F.when(mapped.isNotNull(), "mapped_asof")
+    return label.otherwise("missing_asof") if historical else label.when(master.isNotNull(), "master_latest")
 
 
 def with_staleness(df: DataFrame, blocks: dict[str, tuple[str, list[str]]], asof: str, most_days: int, anchor: str | None = None, versions: dict[str, tuple[str, str]] | None = None) -> DataFrame:

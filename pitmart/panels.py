@@ -44,7 +44,7 @@ FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey GROUP BY 1, 2""",
 SELECT r_name AS index_id, {_DAY} AS trade_date, CAST(sum({_CENTS}) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 100 AS close
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey GROUP BY 1, 2""",
     "holdings": """
-SELECT etf_id, stock_id, report_date, CASE WHEN etf_id % 5 = 0 THEN NULL ELSE CAST(report_date + INTERVAL 30 DAY AS DATE) END AS disclosed, CAST(cents AS DOUBLE) * 100 / CAST(sum(cents) OVER (PARTITION BY etf_id, report_date) AS DOUBLE) AS weight_pct
+SELECT etf_id, stock_id, report_date, CASE WHEN etf_id % 5 = 0 OR (etf_id % 3 = 0 AND stock_id % 4 = 0) THEN NULL WHEN stock_id % 10 = 7 THEN CAST(report_date + INTERVAL 200 DAY AS DATE) ELSE CAST(report_date + INTERVAL 30 DAY AS DATE) END AS disclosed, CAST(cents AS DOUBLE) * 100 / CAST(sum(cents) OVER (PARTITION BY etf_id, report_date) AS DOUBLE) AS weight_pct
 FROM (SELECT CAST(l_suppkey AS BIGINT) AS etf_id, CAST(l_partkey AS BIGINT) AS stock_id, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS report_date, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents
       FROM {lineitem} GROUP BY 1, 2, 3) t""",
     "industry": "SELECT CAST(p_partkey AS BIGINT) AS stock_id, p_type AS industry_name FROM {part} WHERE p_partkey % 10 <> 0",
@@ -67,9 +67,9 @@ UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'T' || CAST(s_nationkey % 5 AS VARCH
     "adjusted": "SELECT security_id, trade_date, CASE WHEN day(trade_date) % 17 <> 0 THEN shares / f END AS adjusted_shares, CASE WHEN day(trade_date) % 9 <> 0 THEN nav * f END AS adjusted_nav, CASE WHEN day(trade_date) % 23 <> 0 THEN f END AS factor FROM (SELECT *, CASE WHEN security_id % 3 = 0 AND trade_date >= DATE '1998-07-01' THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS f FROM {shares}) x",
     "fund_days": "SELECT s.security_id, s.trade_date, q.close, CASE WHEN day(s.trade_date) % 11 <> 0 THEN s.nav END AS nav, CASE WHEN day(s.trade_date) % 13 <> 0 THEN s.shares END AS shares FROM {shares} s JOIN {quotes} q ON q.security_id = 'S' || CAST(s.security_id AS VARCHAR(19)) AND q.trade_date = s.trade_date",
     "fund_actions": """
-SELECT security_id, action_date, action_type, CASE WHEN action_type = 'SPLIT' THEN k END AS k, CASE WHEN action_type = 'DIVIDEND' THEN d END AS d FROM (
-  SELECT security_id, CAST(trade_date + INTERVAL 1 DAY AS DATE) AS action_date, CASE WHEN n IN (10, 120, 400) THEN 'SPLIT' ELSE 'DIVIDEND' END AS action_type, CASE WHEN n = 400 THEN CAST(-1 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END AS k, CASE WHEN n = 240 THEN close / 100 WHEN n = 300 THEN close * 2 WHEN n = 5 THEN CAST(1 AS DOUBLE) END AS d
-  FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY trade_date) AS n FROM {fund_days}) z WHERE n IN (5, 10, 120, 240, 300, 350, 400)) y""",
+SELECT security_id, action_date, action_type, CASE WHEN action_type <> 'DIVIDEND' THEN k END AS k, CASE WHEN action_type <> 'SPLIT' THEN d END AS d FROM (
+  SELECT security_id, CAST(trade_date + INTERVAL 1 DAY AS DATE) AS action_date, CASE WHEN n IN (10, 120, 400) THEN 'SPLIT' WHEN n IN (60, 90) THEN 'OTHER' ELSE 'DIVIDEND' END AS action_type, CASE WHEN n = 400 THEN CAST(-1 AS DOUBLE) WHEN n = 60 THEN CAST(3 AS DOUBLE) / 2 WHEN n <> 90 THEN CAST(2 AS DOUBLE) END AS k, CASE WHEN n IN (60, 90, 240) THEN close / 100 WHEN n = 300 THEN close * 2 WHEN n = 5 THEN CAST(1 AS DOUBLE) END AS d
+  FROM (SELECT *, row_number() OVER (PARTITION BY security_id ORDER BY trade_date) AS n FROM {fund_days}) z WHERE n IN (5, 10, 60, 90, 120, 240, 300, 350, 400)) y""",
     "actions": """
 SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS security_id, CAST(l_shipdate AS DATE) AS action_date, CASE WHEN day(l_shipdate) = 20 THEN 'DIVIDEND' ELSE 'SPLIT' END AS action_type, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(1 + l_partkey % 3 AS DOUBLE) END AS k, CASE WHEN day(l_shipdate) <> 20 THEN CAST(1 + l_partkey % 2 AS DOUBLE) END AS share_factor
 FROM {lineitem} WHERE (day(l_shipdate) = 20 AND month(l_shipdate) = 6) OR (day(l_shipdate) = 5 AND month(l_shipdate) = 3)""",

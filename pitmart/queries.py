@@ -140,7 +140,7 @@ def _g4(spark: SparkSession, d: str) -> DataFrame:
     return flow.nav_coalesce(less, shares.where(F.dayofmonth("trade_date") % 6 != 0), "security_id", "trade_date")
 
 
-@add("G5_mechanical_split", f"{panel_sql('shares')}, x AS (SELECT *, lag(shares) OVER (PARTITION BY security_id ORDER BY trade_date) AS prev, CASE WHEN day(trade_date) = 15 THEN 2.0 ELSE 1.0 END::DOUBLE AS k FROM shares) SELECT security_id, trade_date, prev * (k - 1) AS mechanical, shares - prev * k AS economic, CASE WHEN k = 1 THEN 'plain' ELSE 'adjusted' END AS quality FROM x WHERE prev IS NOT NULL", "mechanical economic")
+@add("G5_mechanical_split", f"{panel_sql('shares')}, x AS (SELECT *, lag(shares) OVER (PARTITION BY security_id ORDER BY trade_date) AS prev, CASE WHEN day(trade_date) = 15 THEN 2.0 ELSE 1.0 END::DOUBLE AS k FROM shares) SELECT security_id, trade_date, prev * (k - 1) AS mechanical, shares - prev * k AS economic, CASE WHEN k <> 1 AND prev IS NOT NULL THEN 'adjusted' ELSE 'clean' END AS quality FROM x", "mechanical economic")
 def _g5(spark: SparkSession, d: str) -> DataFrame:
     shares = panel(spark, d, "shares")
     factors = shares.where(F.dayofmonth("trade_date") == 15).select("security_id", "trade_date", F.lit(2.0).alias("k"))

@@ -71,7 +71,7 @@ def _o12(spark: SparkSession, d: str) -> DataFrame:
     return audit.factor_mismatch(planted, factors.where("channel = 'price'"), "security_id", "trade_date").join(paying, "security_id", "left_anti")
 
 
-@add("J1_latest_top_holdings", f"{panel_sql('holdings')}, h AS (SELECT * FROM holdings QUALIFY report_date = max(report_date) OVER (PARTITION BY etf_id)), t AS (SELECT *, row_number() OVER (PARTITION BY etf_id ORDER BY weight_pct DESC NULLS LAST, stock_id) AS rank FROM h QUALIFY rank <= 10) SELECT *, CASE WHEN disclosed IS NOT NULL THEN 'exact' ELSE 'limited' END AS confidence FROM t", "weight_pct")
+@add("J1_latest_top_holdings", f"{panel_sql('holdings')}, h AS (SELECT * FROM holdings QUALIFY report_date = max(report_date) OVER (PARTITION BY etf_id)), t AS (SELECT *, row_number() OVER (PARTITION BY etf_id ORDER BY weight_pct DESC NULLS LAST, stock_id) AS rank FROM h QUALIFY rank <= 10) SELECT *, CASE WHEN count(*) OVER g = count(disclosed) OVER g THEN 'exact' ELSE 'limited' END AS confidence FROM t WINDOW g AS (PARTITION BY etf_id)", "weight_pct")
 def _j1(spark: SparkSession, d: str) -> DataFrame:
     return groups.latest_top(panel(spark, d, "holdings"), "etf_id")
 

@@ -235,7 +235,7 @@ def _i9(spark: SparkSession, d: str) -> DataFrame:
 
 
 # J: holdings
-_H = f"h AS (SELECT * FROM holdings WHERE report_date <= {_DAY} AND (disclosed IS NULL OR disclosed <= {_DAY}) QUALIFY report_date = max(report_date) OVER (PARTITION BY etf_id))"
+_H = f"rd AS (SELECT etf_id, max(report_date) AS report_date FROM holdings WHERE report_date <= {_DAY} AND (disclosed IS NULL OR disclosed <= {_DAY}) GROUP BY 1), h AS (SELECT holdings.* FROM holdings JOIN rd USING (etf_id, report_date))"
 
 
 @add("J4_concentration", f"{panel_sql('holdings')}, {_H}, r AS (SELECT *, row_number() OVER (PARTITION BY etf_id ORDER BY weight_pct DESC NULLS LAST, stock_id) AS rn FROM (SELECT etf_id, stock_id, CASE WHEN etf_id % 7 = 3 THEN NULL WHEN etf_id % 5 = 1 THEN weight_pct / 100 WHEN etf_id % 11 = 2 THEN weight_pct * 1.2 ELSE weight_pct END AS weight_pct FROM h)), c AS (SELECT etf_id, max(weight_pct) AS mx, min(weight_pct) AS mn, sum(weight_pct) AS al, sum(weight_pct) FILTER (WHERE rn <= 10) AS tp, CASE WHEN max(weight_pct) > 1.05 THEN 100.0::DOUBLE ELSE 1.0::DOUBLE END AS sc FROM r GROUP BY 1), q AS (SELECT *, CASE WHEN mx IS NULL THEN 'holding_weights_unavailable' WHEN mn < 0 OR al > CASE WHEN sc = 100 THEN 105 ELSE 1.05 END THEN 'holding_weight_conflict' END AS reason FROM c) SELECT etf_id, CASE WHEN reason IS NULL THEN tp / sc END AS concentration, reason FROM q", "concentration")
@@ -266,7 +266,7 @@ def _j6(spark: SparkSession, d: str) -> DataFrame:
     return groups.industry_overlap(weights, _pairs(spark, d), "etf_id")
 
 
-@add("J3_holdings_fallback", f"{panel_sql('holdings', 'constituents', 'fund_index')}, h AS (SELECT * FROM holdings WHERE etf_id % 4 <> 0 AND report_date <= {_DAY} AND (disclosed IS NULL OR disclosed <= {_DAY}) QUALIFY report_date = max(report_date) OVER (PARTITION BY etf_id)), mp AS (SELECT fund_id AS etf_id, index_id FROM fund_index WHERE (valid_from IS NULL OR valid_from <= {_DAY}) AND (valid_to IS NULL OR valid_to > {_DAY}) QUALIFY row_number() OVER (PARTITION BY fund_id ORDER BY valid_from DESC NULLS LAST, index_id) = 1), c AS (SELECT * FROM constituents WHERE effective_date <= {_DAY} QUALIFY effective_date = max(effective_date) OVER (PARTITION BY index_id)) SELECT etf_id, stock_id, weight_pct, report_date AS dated, 'disclosure' AS origin FROM h UNION ALL SELECT etf_id, stock_id, weight_pct, effective_date, 'constituents' FROM mp JOIN c USING (index_id) WHERE etf_id NOT IN (SELECT etf_id FROM h)", "weight_pct")
+@add("J3_holdings_fallback", f"{panel_sql('holdings', 'constituents', 'fund_index')}, rd AS (SELECT etf_id, max(report_date) AS report_date FROM holdings WHERE etf_id % 4 <> 0 AND report_date <= {_DAY} AND (disclosed IS NULL OR disclosed <= {_DAY}) GROUP BY 1), h AS (SELECT holdings.* FROM holdings JOIN rd USING (etf_id, report_date)), mp AS (SELECT fund_id AS etf_id, index_id FROM fund_index WHERE (valid_from IS NULL OR valid_from <= {_DAY}) AND (valid_to IS NULL OR valid_to > {_DAY}) QUALIFY row_number() OVER (PARTITION BY fund_id ORDER BY valid_from DESC NULLS LAST, index_id) = 1), c AS (SELECT * FROM constituents WHERE effective_date <= {_DAY} QUALIFY effective_date = max(effective_date) OVER (PARTITION BY index_id)) SELECT etf_id, stock_id, weight_pct, report_date AS dated, 'disclosure' AS origin FROM h UNION ALL SELECT etf_id, stock_id, weight_pct, effective_date, 'constituents' FROM mp JOIN c USING (index_id) WHERE etf_id NOT IN (SELECT etf_id FROM h)", "weight_pct")
 def _j3(spark: SparkSession, d: str) -> DataFrame:
     mapping = pit.valid_rows(panel(spark, d, "fund_index"), "fund_id", ASOF, tie="index_id").select(F.col("fund_id").alias("etf_id"), "index_id")
     return groups.holdings_or_constituents(panel(spark, d, "holdings").where("etf_id % 4 <> 0"), panel(spark, d, "constituents"), mapping, "etf_id", ASOF)

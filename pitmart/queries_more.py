@@ -38,7 +38,7 @@ def _k4(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d, "fund_master").select("fund_id", pit.observed(F.col("fee"), F.col("observed"), "1998-01-31").alias("fee"))
 
 
-@add("K5_mapping_label", f"{panel_sql('fund_master', 'fund_index')}, v AS (SELECT * FROM fund_index WHERE {_VALID}) SELECT fund_id, CASE WHEN v.index_id IS NOT NULL THEN 'mapped_asof' WHEN master_index IS NOT NULL THEN 'missing_asof' END AS label FROM fund_master LEFT JOIN v USING (fund_id)")
+@add("K5_mapping_label", f"{panel_sql('fund_master', 'fund_index')}, v AS (SELECT * FROM fund_index WHERE {_VALID}) SELECT fund_id, CASE WHEN fund_id IN (SELECT fund_id FROM v) THEN 'mapped_asof' ELSE 'missing_asof' END AS label FROM fund_master")
 def _k5(spark: SparkSession, d: str) -> DataFrame:
     mapped = pit.valid_rows(panel(spark, d, "fund_index"), "fund_id", ASOF, tie="index_id").select("fund_id", "index_id")
     return panel(spark, d, "fund_master").join(mapped, "fund_id", "left").select("fund_id", pit.mapping_label(F.col("index_id"), F.col("master_index")).alias("label"))
@@ -357,16 +357,15 @@ def _i6(spark: SparkSession, d: str) -> DataFrame:
     return groups.peer_percentile(rows, "s_nationkey", "v").select("s_suppkey", "s_nationkey", "peer_count", "rank_pct")
 
 
-_J1 = f"{panel_sql('holdings', 'industry')}, h AS (SELECT * FROM holdings WHERE report_date <= DATE '{ASOF}' AND (disclosed IS NULL OR disclosed <= DATE '{ASOF}') QUALIFY report_date = max(report_date) OVER (PARTITION BY etf_id)), t AS (SELECT *, row_number() OVER (PARTITION BY etf_id ORDER BY weight_pct DESC NULLS LAST, stock_id) AS rank FROM h QUALIFY rank <= 10)"
+_SEEN = f"(disclosed IS NULL OR disclosed <= DATE '{ASOF}')"
+_J1 = f"{panel_sql('holdings', 'industry')}, rd AS (SELECT etf_id, max(report_date) AS report_date FROM holdings WHERE report_date <= DATE '{ASOF}' AND {_SEEN} GROUP BY 1), h AS (SELECT holdings.* FROM holdings JOIN rd USING (etf_id, report_date))"
 
 
-def _top10(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    return groups.latest_top(panel(spark, d, "holdings"), "etf_id", ASOF, n)
-
-
-@add("J2_latest_top_holdings", f"{_J1} SELECT *, CASE WHEN disclosed IS NOT NULL THEN 'exact' ELSE 'limited' END AS confidence FROM t", "weight_pct")
+@add("J2_latest_top_holdings", f"{_J1}, o AS (SELECT h.*, row_number() OVER (PARTITION BY etf_id ORDER BY weight_pct DESC, stock_id) AS rank FROM h), t AS (SELECT * FROM o WHERE rank <= 10), cf AS (SELECT etf_id, CASE WHEN count(*) = count(disclosed) THEN 'exact' ELSE 'limited' END AS confidence FROM t GROUP BY 1) SELECT CAST(s_suppkey + 0 AS BIGINT) AS etf_id, stock_id, report_date, disclosed, weight_pct, rank, coalesce(confidence, 'missing') AS confidence FROM (SELECT s_suppkey FROM supplier UNION ALL SELECT -1) LEFT JOIN t ON t.etf_id = s_suppkey LEFT JOIN cf ON cf.etf_id = s_suppkey", "weight_pct")
 def _j2(spark: SparkSession, d: str) -> DataFrame:
-    return _top10(spark, d)
+    funds = _table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("etf_id"))
+    nobody = funds.limit(1).select(F.lit(-1).cast("long").alias("etf_id"))
+    return groups.latest_top(panel(spark, d, "holdings"), "etf_id", ASOF, funds=funds.unionByName(nobody)).select("etf_id", "stock_id", "report_date", "disclosed", "weight_pct", "rank", "confidence")
 
 
 _J6 = f"{_J1}, w AS (SELECT etf_id, coalesce(industry_name, 'unclassified') AS industry, sum(weight_pct) AS weight FROM h LEFT JOIN industry USING (stock_id) GROUP BY 1, 2)"
@@ -377,6 +376,18 @@ def _j6(spark: SparkSession, d: str) -> DataFrame:
     return groups.industry_weights(groups.latest_report(panel(spark, d, "holdings"), "etf_id", ASOF), panel(spark, d, "industry"), "etf_id")
 
 
-@add("J7_industry_tags", f"{_J6}, k AS (SELECT etf_id, industry, weight / total AS share FROM (SELECT *, sum(weight) OVER (PARTITION BY etf_id) AS total FROM w WHERE weight > 0) WHERE industry <> 'unclassified'), r AS (SELECT *, row_number() OVER (PARTITION BY etf_id ORDER BY share DESC, industry) AS rank, sum(share) OVER (PARTITION BY etf_id) AS coverage, count(*) OVER (PARTITION BY etf_id) AS n, max(share) OVER (PARTITION BY etf_id) AS top FROM k) SELECT etf_id, industry AS tag, 'primary' AS tag_type, coverage FROM r WHERE rank = 1 AND share >= 0.30 UNION ALL SELECT etf_id, industry, 'secondary', coverage FROM r WHERE rank > 1 AND share >= 0.18 UNION ALL SELECT etf_id, 'diversified', 'style', coverage FROM r WHERE rank = 1 AND top < 0.30 AND coverage >= 0.80 AND n >= 3", "coverage")
+# weights of some holdings are negative, industries are the last words of the part types
+_J7 = f"""{_J1}, p AS (SELECT etf_id, split_part(industry_name, ' ', 3) AS tag, CASE WHEN stock_id % 13 = 0 THEN -weight_pct ELSE weight_pct END AS weight FROM h LEFT JOIN industry USING (stock_id)),
+tot AS (SELECT etf_id, sum(weight) AS total, coalesce(sum(CASE WHEN tag <> '' THEN weight END), 0) AS classified, count(DISTINCT nullif(tag, '')) AS n FROM p WHERE weight > 0 GROUP BY 1),
+sh AS (SELECT etf_id, tag, sum(weight) / any_value(total) AS share FROM p JOIN tot USING (etf_id) WHERE weight > 0 AND tag <> '' GROUP BY 1, 2),
+fs AS (SELECT etf_id, max(share) AS share FROM sh GROUP BY 1), f1 AS (SELECT etf_id, min(tag) AS tag, any_value(share) AS share FROM sh JOIN fs USING (etf_id, share) GROUP BY 1),
+rs AS (SELECT sh.* FROM sh ANTI JOIN f1 USING (etf_id, tag)), f2 AS (SELECT etf_id, min(tag) AS tag, any_value(share) AS share FROM rs JOIN (SELECT etf_id, max(share) AS share FROM rs GROUP BY 1) USING (etf_id, share) GROUP BY 1),
+al AS (SELECT etf_id, tag, 'industry' AS tag_type, round(share, 4) AS confidence FROM f1 WHERE share >= 0.30 UNION ALL SELECT etf_id, tag, 'industry', round(share, 4) FROM f2 WHERE share >= 0.18
+UNION ALL SELECT etf_id, '{groups.BROAD_TAG}', 'style', 0.85 FROM f1 JOIN tot USING (etf_id) WHERE share < 0.30 AND n >= 3 AND classified / total >= 0.80)
+SELECT etf_id, tag, tag_type, CAST(confidence AS DOUBLE) AS confidence, round(classified / total, 4) AS coverage, DATE '{ASOF}' AS valid_from FROM al JOIN tot USING (etf_id)"""
+
+
+@add("J7_industry_tags", _J7, "confidence coverage")
 def _j7(spark: SparkSession, d: str) -> DataFrame:
-    return groups.industry_tags(_j6(spark, d), "etf_id")
+    held = groups.latest_report(panel(spark, d, "holdings"), "etf_id", ASOF).withColumn("weight_pct", F.when(F.col("stock_id") % 13 == 0, -F.col("weight_pct")).otherwise(F.col("weight_pct")))
+    return groups.industry_tags(held, panel(spark, d, "industry").withColumn("industry_name", F.split_part("industry_name", F.lit(" "), F.lit(3))), "etf_id", ASOF)

@@ -88,9 +88,9 @@ _LATER = "(SELECT min(trade_date) FROM fund_days q WHERE q.security_id = a.secur
 _SINCE = "(SELECT min(trade_date) FROM fund_days q WHERE q.security_id = a.security_id AND trade_date >= action_date AND (nav IS NOT NULL OR shares IS NOT NULL))"
 _BEFORE = "(SELECT max_by(close, trade_date) FROM fund_days q WHERE q.security_id = a.security_id AND trade_date < action_date AND close IS NOT NULL)"
 _E = f"""{panel_sql('fund_actions')}, f AS (SELECT a.*, {_LATER} AS effective_price, {_SINCE} AS effective_fund, {_BEFORE} AS p FROM fund_actions a),
-r AS (SELECT *, CASE WHEN action_type = 'SPLIT' AND NOT coalesce(k > 0, FALSE) THEN 'bad_ratio' WHEN action_type <> 'SPLIT' AND (p IS NULL OR NOT coalesce(d > 0, FALSE)) THEN 'no_previous_close_or_amount' WHEN action_type <> 'SPLIT' AND d >= p THEN 'dividend_not_under_price' END AS reason FROM f),
-g AS (SELECT *, CASE WHEN action_type = 'SPLIT' THEN k ELSE p / (p - d) END AS paid FROM r WHERE reason IS NULL),
-m AS (SELECT security_id, effective_price AS trade_date, 'price' AS channel, action_type, paid AS m FROM g WHERE effective_price IS NOT NULL UNION ALL SELECT security_id, effective_fund, 'nav', action_type, paid FROM g WHERE effective_fund IS NOT NULL UNION ALL SELECT security_id, effective_fund, 'shares', action_type, CASE WHEN action_type = 'SPLIT' THEN k ELSE 1 END FROM g WHERE effective_fund IS NOT NULL)"""
+r AS (SELECT *, CASE WHEN action_type <> 'DIVIDEND' AND NOT coalesce(k > 0, FALSE) THEN 'bad_ratio' WHEN action_type = 'DIVIDEND' AND (p IS NULL OR NOT coalesce(d > 0, FALSE)) THEN 'no_previous_close_or_amount' WHEN action_type = 'DIVIDEND' AND d >= p THEN 'dividend_not_under_price' END AS reason FROM f),
+g AS (SELECT *, CASE action_type WHEN 'DIVIDEND' THEN p / (p - d) ELSE k END AS paid FROM r WHERE reason IS NULL),
+m AS (SELECT security_id, effective_price AS trade_date, 'price' AS channel, action_type, paid AS m FROM g WHERE effective_price IS NOT NULL UNION ALL SELECT security_id, effective_fund, 'nav', action_type, paid FROM g WHERE effective_fund IS NOT NULL UNION ALL SELECT security_id, effective_fund, 'shares', action_type, CASE action_type WHEN 'DIVIDEND' THEN 1 ELSE k END FROM g WHERE effective_fund IS NOT NULL)"""
 
 
 def _actions(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
@@ -113,8 +113,8 @@ def _e3(spark: SparkSession, d: str) -> DataFrame:
     return _actions(spark, d)[1][1]
 
 
-_PRODUCT = "exp(sum(coalesce({c}, 0)) OVER (PARTITION BY security_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS {c}_factor"
-_E4 = f"{_E}, dl AS (SELECT security_id, trade_date, {', '.join(f'sum(ln(m)) FILTER (WHERE channel = {c!r}) AS {c}' for c in adjust.CHANNELS)} FROM m GROUP BY 1, 2), fc AS (SELECT security_id, trade_date, fund_days.close, fund_days.nav AS own_nav, fund_days.shares AS own_shares, {', '.join(_PRODUCT.format(c=c).replace(f'coalesce({c}', f'coalesce(dl.{c}') for c in adjust.CHANNELS)} FROM fund_days LEFT JOIN dl USING (security_id, trade_date))"
+_PRODUCT = "product(coalesce({c}, 1)) OVER (PARTITION BY security_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS {c}_factor"
+_E4 = f"{_E}, dl AS (SELECT security_id, trade_date, {', '.join(f'product(m) FILTER (WHERE channel = {c!r}) AS {c}' for c in adjust.CHANNELS)} FROM m GROUP BY 1, 2), fc AS (SELECT security_id, trade_date, fund_days.close, fund_days.nav AS own_nav, fund_days.shares AS own_shares, {', '.join(_PRODUCT.format(c=c).replace(f'coalesce({c}', f'coalesce(dl.{c}') for c in adjust.CHANNELS)} FROM fund_days LEFT JOIN dl USING (security_id, trade_date))"
 
 
 @add("E4_adjusted_series", f"{_E4} SELECT security_id, trade_date, price_factor, nav_factor, shares_factor, nav_factor AS factor, close * price_factor / 70000 AS adjusted_close, own_nav * nav_factor AS adjusted_nav, own_shares / shares_factor AS adjusted_shares FROM fc", "price_factor nav_factor shares_factor factor adjusted_close adjusted_nav adjusted_shares")

@@ -178,11 +178,6 @@ def _c3(spark: SparkSession, d: str) -> DataFrame:
 
 
 # A: sinks
-@add("A2_history_scan", "SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderdate <= DATE '1997-06-30'")
-def _a2(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.history(spark, f"{d}/orders.parquet", ["1-URGENT", "5-LOW"], "1997-06-30", "o_orderpriority", "o_orderdate").select("o_orderkey", "o_custkey", "o_orderdate")
-
-
 @add("A8_run_status", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 'FAILED' WHEN o_orderkey % 5 = 0 THEN 'SKIPPED' WHEN o_custkey % 5 < o_orderkey % 5 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM orders")
 def _a8(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")

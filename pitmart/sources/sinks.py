@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pitmart.operators.merge import merge_keyed
@@ -19,11 +19,6 @@ def write_raw(df: DataFrame, path: str, source: str, dataset: str, date: str) ->
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "dataset", "date").parquet(path)
 
 
-def history(spark: SparkSession, path: str, ids: list[str], asof: str, key: str = "security_id", date: str = "trade_date") -> DataFrame:
-    """[A2] Facts of some keys up to a day, oldest first; key and date filters reach the scan."""
-    return spark.read.parquet(path).where(F.col(key).isin(ids) & (F.col(date) <= F.lit(asof).cast("date"))).orderBy(key, date)
-
-
 def write_mart(df: DataFrame, path: str, version: str, date: str = "trade_date", at: Column | None = None) -> None:
     """[A6] Derived rows of one version, by version and month; a month that is written again is replaced, so a repeated
     run gives the same table; other versions and months stay."""
@@ -36,16 +31,24 @@ def status(fetched: Column, written: Column, failed: Column) -> Column:
     return F.when(failed, "FAILED").when(fetched == 0, "SKIPPED").when(written < fetched, "PARTIAL").otherwise("SUCCESS")
 
 
-def recorded(spark: SparkSession, log: str, run_id: str, dataset: str, source: str, run: Callable[[], tuple[int, int, int]]) -> str:
-    """[A8] Calls run, which gives the counts fetched, written and rejected, and appends one row to the run log, whether it
-    succeeds or not; an error is raised again."""
+def recorded(fetched: DataFrame, valid: Column, write: Callable[[DataFrame], None], log: str, run_id: str, dataset: str, source: str, stands: Callable[[], int] | None = None) -> str:
+    """[A8] Hands the valid rows of a fetched frame to write and appends one row to the run log, whether that succeeds or
+    not; an error is raised again.  The rows are counted by the write job itself, in its one pass over them; of a job that
+    failed they are what it had counted, 0 if nothing, and none counts as written.  stands: how many rows a sink that
+    drops or merges rows has written, where that are not all it was handed."""
     import datetime as dt
 
+    spark, seen = fetched.sparkSession, Observation()
+    good = fetched.withColumn("_valid", F.coalesce(valid, F.lit(False))).observe(seen, F.count("*").alias("fetched"), F.count_if("_valid").alias("valid")).where("_valid").drop("_valid")
     began, counts, message = dt.datetime.now(dt.UTC), (0, 0, 0), None
     try:
-        counts = run()
+        write(good)
+        n, ok = (seen.get[c] for c in ("fetched", "valid"))
+        counts = (n, ok if stands is None else stands(), n - ok)
     except Exception as error:
         message = f"{type(error).__name__}: {error}"[:500]
+        n = _counted(seen)
+        counts = (n, 0, 0)
         raise
     finally:
         row = spark.createDataFrame([(run_id, dataset, source, began, dt.datetime.now(dt.UTC), *counts, "", message)], RUN)
@@ -53,6 +56,17 @@ def recorded(spark: SparkSession, log: str, run_id: str, dataset: str, source: s
     return run_id
 
 
+def _counted(seen: Observation, seconds: float = 5) -> int:
+    """What a job that failed had counted; one that never began never tells, so it is waited for in vain but briefly."""
+    import threading
+
+    told: list[int] = []
+    waiting = threading.Thread(target=lambda: told.append(int(seen.get.get("fetched", 0))), daemon=True)
+    waiting.start()
+    waiting.join(seconds)
+    return told[0] if told else 0
+
+
 def issue_rows(issues: DataFrame, dataset: str, security: Column, date: Column, details: Column, severity: str = "WARN") -> DataFrame:
     """[A10] Refused rows (with their rule) in the shape of the issue table; the id is a digest of what it tells."""
     named = [F.lit(dataset).alias("dataset"), security.cast("string").alias("security_id"), date.cast("date").alias("trade_date"), F.lit(severity).alias("severity"), F.col("rule"), details.cast("string").alias("details")]

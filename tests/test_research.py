@@ -7,9 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pitmart import queries, queries_audit, queries_marts, queries_more, queries_norm, queries_pulse, queries_reads, queries_sources, queries_streams  # noqa: F401
-from pitmart.operators import checks, flow, groups, market, merge, metrics, pit, pulse, records
-from pitmart.sources import frames, sinks
+from pitmart import queries, queries_audit, queries_long, queries_marts, queries_more, queries_norm, queries_pulse, queries_reads, queries_sources, queries_streams  # noqa: F401
+from pitmart.operators import adjust, checks, flow, groups, market, merge, metrics, pit, pulse, records
+from pitmart.sources import frames, sinks, store
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -210,15 +210,41 @@ def test_raw_snapshots_and_marts_are_idempotent_by_partition(spark, tmp_path):
     for _ in range(2):
         sinks.write_mart(df.limit(2), mart, "metric_v2")
     assert {r["calculation_version"]: r["count"] for r in spark.read.parquet(mart).groupBy("calculation_version").count().collect()} == {"metric_v1": 3, "metric_v2": 2}
-    assert [r["close"] for r in sinks.history(spark, mart, ["s"], "2026-08-08").where("calculation_version = 'metric_v1'").collect()] == [1.0, 2.0]
 
 
-def test_run_log_records_success_and_failure(spark, tmp_path):
+def test_a_history_scan_reads_the_months_it_needs(spark, tmp_path):
+    start = dt.date(2026, 1, 1)
+    df = spark.createDataFrame([(f"s{k}", start + dt.timedelta(days=i), float(i)) for k in range(5) for i in range(200)], "security_id string, trade_date date, close double")
+    store.write_history(df, str(tmp_path / "h"))
+    got = store.read_history(spark, str(tmp_path / "h"), ["s1", "s3"], "2026-03-10")
+    assert [tuple(r) for r in got.collect()] == [(k, start + dt.timedelta(days=i), float(i)) for k in ("s1", "s3") for i in range(69)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "In(security_id" in plan and "LessThanOrEqual(trade_date" in plan
+    read = {r["m"] for r in got.select(F.regexp_extract(F.col("_metadata.file_path"), "month=([0-9-]+)", 1).alias("m")).distinct().collect()}
+    assert read == {"2026-01", "2026-02", "2026-03"}
+
+
+def test_run_log_counts_in_the_write_job_and_records_failure(spark, tmp_path):
     log = str(tmp_path / "log")
-    sinks.recorded(spark, log, "r1", "quotes", "vendor", lambda: (5, 4, 1))
-    with pytest.raises(ValueError, match="no such"):
-        sinks.recorded(spark, log, "r2", "quotes", "vendor", lambda: int("no such"))
-    assert {r["run_id"]: (r["status"], r["rejected"]) for r in spark.read.parquet(log).collect()} == {"r1": ("PARTIAL", 1), "r2": ("FAILED", 0)}
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(10).repartition(3)
+    fetched = spark.createDataFrame(rows.rdd.map(lambda r: (seen.add(1), (r[0],))[1]), "id long")
+    sinks.recorded(fetched, F.col("id") % 3 != 0, lambda good: good.write.parquet(str(tmp_path / "a")), log, "r1", "quotes", "vendor")
+    assert seen.value == 10  # one pass
+    sinks.recorded(rows, F.lit(True), lambda good: good.write.parquet(str(tmp_path / "b")), log, "r2", "quotes", "vendor")
+    sinks.recorded(rows.limit(0), F.lit(True), lambda good: good.write.parquet(str(tmp_path / "c")), log, "r3", "quotes", "vendor")
+    sinks.recorded(rows, F.lit(True), lambda good: good.limit(4).write.parquet(str(tmp_path / "d")), log, "r4", "quotes", "vendor", stands=lambda: 4)
+
+    def full(good):
+        good.write.parquet(str(tmp_path / "e"))
+        raise OSError("no such disk")
+
+    with pytest.raises(OSError, match="no such"):
+        sinks.recorded(rows, F.lit(True), full, log, "r5", "quotes", "vendor")
+    with pytest.raises(OSError, match="nothing"):
+        sinks.recorded(rows, F.lit(True), lambda good: (_ for _ in ()).throw(OSError("nothing")), log, "r6", "quotes", "vendor")
+    got = {r["run_id"]: (r["fetched"], r["written"], r["rejected"], r["status"]) for r in spark.read.parquet(log).collect()}
+    assert got == {"r1": (10, 6, 4, "PARTIAL"), "r2": (10, 10, 0, "SUCCESS"), "r3": (0, 0, 0, "SKIPPED"), "r4": (10, 4, 0, "PARTIAL"), "r5": (10, 0, 0, "FAILED"), "r6": (0, 0, 0, "FAILED")}
     issues = sinks.issue_rows(spark.createDataFrame([("a", "bad", "x"), ("a", "bad", "x")], "s string, rule string, d string"), "quotes", F.col("s"), F.lit(None), F.col("d"))
     sinks.append_issues(issues, str(tmp_path / "issues"))
     assert spark.read.parquet(str(tmp_path / "issues")).select("issue_id").distinct().count() == 1
@@ -237,3 +263,49 @@ def test_new_master_rows_for_unknown_money_market_funds(spark):
     other = days(spark, [5.0, 6.0], "shares", "m").withColumn("fund_type", F.lit("货币")).unionByName(days(spark, [7.0], "shares", "s").withColumn("fund_type", F.lit("股票")))
     shares, inserts = frames.money_market_supplement(own, own.select("security_id"), other)
     assert sorted((r["security_id"], r["shares"]) for r in shares.collect()) == [("a", 1.0), ("m", 5.0), ("m", 6.0)] and [r["security_id"] for r in inserts.collect()] == ["m"]
+
+
+def test_of_a_days_change_unknown_parts_are_null_and_clean(spark):
+    df = days(spark, [100.0, 200.0, None, 210.0], "shares")
+    k = spark.createDataFrame([("s", dt.date(2026, 8, 8), 2.0), ("s", dt.date(2026, 8, 10), 2.0)], "security_id string, trade_date date, k double")
+    got = [tuple(r)[2:] for r in flow.mechanical_split(df, k, "security_id", "trade_date").orderBy("trade_date").collect()]
+    assert got == [(None, None, "clean"), (100.0, 0.0, "adjusted"), (None, None, "clean"), (None, None, "clean")]
+
+
+def test_second_industry_alone_is_tagged_beside_the_first_and_negative_holdings_do_not_count(spark):
+    held = [("x", "1", 30.0), ("x", "2", 25.0), ("x", "3", 20.0), ("x", "4", 25.0), ("y", "1", 50.0), ("y", "5", -30.0), ("y", "2", 50.0)]
+    held += [("z", str(i), 20.0) for i in range(1, 5)] + [("z", "none", 20.0), ("w", "none", 5.0), ("v", "1", None)]
+    holdings = spark.createDataFrame(held, "fund string, stock_id string, weight_pct double")
+    industry = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "C"), ("4", "D"), ("5", "A"), ("none", "")], "stock_id string, industry_name string")
+    got = {(r["fund"], r["tag"], r["tag_type"]): (r["confidence"], r["coverage"]) for r in groups.industry_tags(holdings, industry, "fund", "2026-01-31").collect()}
+    assert got == {("x", "A", "industry"): (0.3, 1.0), ("x", "B", "industry"): (0.25, 1.0), ("y", "A", "industry"): (0.5, 1.0), ("y", "B", "industry"): (0.5, 1.0), ("z", "B", "industry"): (0.2, 0.8), ("z", groups.BROAD_TAG, "style"): (0.85, 0.8)}
+
+
+def test_a_report_counts_whole_and_its_fund_has_one_confidence(spark):
+    d = dt.date
+    rows = [("a", 1, d(2026, 3, 31), d(2026, 4, 20), 9.0), ("a", 2, d(2026, 3, 31), d(2026, 9, 1), 8.0), ("a", 3, d(2026, 3, 31), None, 7.0), ("a", 1, d(2025, 12, 31), d(2026, 1, 20), 9.0)]
+    rows += [("b", 1, d(2026, 3, 31), d(2026, 4, 20), 9.0), ("b", 2, d(2026, 3, 31), d(2026, 4, 20), None), ("c", 1, d(2026, 3, 31), d(2026, 9, 1), 9.0)]
+    h = spark.createDataFrame(rows, "fund string, stock_id int, report_date date, disclosed date, weight_pct double")
+    funds = spark.createDataFrame([("a",), ("b",), ("c",)], "fund string")
+    got = {(r["fund"], r["stock_id"]): (r["report_date"], r["rank"], r["confidence"]) for r in groups.latest_top(h, "fund", "2026-05-01", funds=funds).collect()}
+    q = d(2026, 3, 31)
+    assert got == {("a", 1): (q, 1, "limited"), ("a", 2): (q, 2, "limited"), ("a", 3): (q, 3, "limited"), ("b", 1): (q, 1, "exact"), ("b", 2): (q, 2, "exact"), ("c", None): (None, None, "missing")}
+
+
+def test_as_of_a_day_what_is_not_mapped_is_missing_whatever_the_master_holds(spark):
+    df = spark.createDataFrame([("i", "m"), (None, "m"), (None, None)], "mapped string, master string")
+    past, now = pit.mapping_label(F.col("mapped"), F.col("master")), pit.mapping_label(F.col("mapped"), F.col("master"), False)
+    assert [tuple(r) for r in df.select(past, now).collect()] == [("mapped_asof", "mapped_asof"), ("missing_asof", "master_latest"), ("missing_asof", None)]
+
+
+def test_other_actions_multiply_by_their_ratio_and_a_chain_of_splits_is_exact(spark):
+    start = dt.date(2026, 1, 1)
+    held = spark.createDataFrame([("s", start + dt.timedelta(i), 10.0, 5.0, 1000.0) for i in range(60)], "security_id string, trade_date date, close double, nav double, shares double")
+    rows = [("s", start + dt.timedelta(3), "OTHER", 2.0, None), ("s", start + dt.timedelta(4), "OTHER", None, 0.1), ("s", start + dt.timedelta(5), "DIVIDEND", 2.0, None)]
+    actions = spark.createDataFrame(rows, "security_id string, action_date date, action_type string, k double, d double")
+    factors, refused = adjust.multipliers(actions, held)
+    assert sorted((r["channel"], r["m"]) for r in factors.collect()) == [("nav", 2.0), ("price", 2.0), ("shares", 2.0)]
+    assert sorted((r["action_type"], r["reason"]) for r in refused.collect()) == [("DIVIDEND", "no_previous_close_or_amount"), ("OTHER", "bad_ratio")]
+    chain = spark.createDataFrame([("s", start + dt.timedelta(i), "SPLIT", 2.0 if i % 2 else 0.75, None) for i in range(50)], actions.schema)
+    last = adjust.adjusted(held, adjust.multipliers(chain, held)[0]).orderBy(F.desc("trade_date")).first()
+    assert last["shares_factor"] == 2.0**25 * 0.75**25 and last["nav_factor"] == last["shares_factor"]
