@@ -4,32 +4,21 @@ reads what it has written to the shared folder."""
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pitmart import storage
 from pitmart.panels import panel, panel_sql
 from pitmart.queries import SQL, add
 from pitmart.queries_pulse import confirmed_sql
 from pitmart.sources import sinks, store
 from pitmart.streaming import steps
 
-_OWN: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary one where that is unset and Spark runs in one JVM."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        base = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pitmart-streams-"))
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return storage.new_folder(spark, "streams")
 
 
 def _taken_in(df: DataFrame, at: str, order: str, start: Callable[[DataFrame], StreamingQuery], n: int = 3) -> None:
