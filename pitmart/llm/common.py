@@ -1,85 +1,24 @@
-"""What the operators share: the word pattern, table access and shared-folder materialisation."""
+"""What the operators share: the word pattern, table access and tables in the shared folder."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitmart.storage import discard, materialize, shared_dir, tidy
+
+__all__ = ["SPACE", "WORD", "discard", "materialize", "n_words", "shared_dir", "table", "text_or_empty", "tidy", "uniform"]
+
 #: A word is a run without space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_OWN: dict[str, str] = {}
-_MADE: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this process where it is unset and Spark runs in one JVM."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="pitmart-")
-    return _OWN[app]
-
-
-def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pitmart/{uuid.uuid4().hex}"
-    if _MADE:
-        _MADE[-1].append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialised frame that nothing reads any more."""
-    spark = df.sparkSession
-    base = shared_dir(spark).split("://", 1)[-1].split(":", 1)[-1]
-    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if base in root and "/pitmart/" in root:
-            _delete(spark, root)
-
-
-def tidy(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """make, whose result is materialised and whose own materialised frames are deleted once it stands."""
-
-    @functools.wraps(make)
-    def made(*args, **kwargs) -> DataFrame:  # noqa: ANN002, ANN003
-        _MADE.append(own := [])
-        try:
-            out = make(*args, **kwargs)
-            spark = out.sparkSession
-            path = f"{shared_dir(spark)}/pitmart/{uuid.uuid4().hex}"
-            out.write.parquet(path)
-        finally:
-            _MADE.pop()
-            for used in own:
-                _delete(SparkSession.active(), used)
-        if _MADE:
-            _MADE[-1].append(path)
-        return spark.read.schema(out.schema).parquet(path)
-
-    return made
-
-
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -121,8 +121,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
             rows = _with_next([r["doc_id"]], [r["last_text"]], [after["first_text"]])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(rows, _KINDS, strict=True)], [n for n, _ in _KINDS])
 
-    # one row for each partition, whatever their size: these few meet in one task
-    edges = partly.where("last_text is not null").select("doc_id", "first_text", "last_text").coalesce(1).sortWithinPartitions(F.asc_nulls_first("doc_id"), "first_text").mapInArrow(across, _SCHEMA)
+    # one row for each partition, whatever their size: every task of the scan hands its own to the one that compares them
+    edges = partly.where("last_text is not null").select("doc_id", "first_text", "last_text").repartition(1).sortWithinPartitions(F.asc_nulls_first("doc_id"), "first_text").mapInArrow(across, _SCHEMA)
     return partly.where("last_text is null").drop("first_text", "last_text").unionByName(edges)
 
 

@@ -267,7 +267,8 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     nodes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "key", "least", "w", F.xxhash64("label", F.size("vector")).alias("kind"), "vector", "norm"))
 
     stood = materialize(_celled(nodes).select("node", F.explode(F.array_distinct("cells")).alias("cell")))
-    shared = stood.groupBy("cell").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").withColumnRenamed("cell", "_cell")
+    # a table, to which Spark can join a hot cell in several tasks
+    shared = materialize(stood.groupBy("cell").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").withColumnRenamed("cell", "_cell"))
     members = materialize(stood.join(shared.hint("merge"), F.col("cell") == F.col("_cell")).drop("_cell"))
     stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     links = materialize(verify(stars, nodes, least))

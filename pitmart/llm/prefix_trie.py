@@ -81,6 +81,7 @@ def _cut(forest: DataFrame, half: int) -> DataFrame:
     above = forest.where(~reach)
     cut = forest.where(reach).select("root", "depth", _head("seq", half).alias("first"), _rest("seq", half).alias("rest"), "conv", "n", "ended")
     upper = cut.groupBy("root", "depth", "first").agg(F.min("conv").alias("conv"), F.sum("n").alias("n"), F.max(F.when(F.octet_length("rest") == 0, F.col("ended"))).alias("ended"))
+    upper = materialize(upper)  # to a table Spark can join the sequences behind a hot prefix in several tasks
     names = upper.select(F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("first").alias("_first"), F.col("conv").alias("name"))
     same = (F.col("root") == F.col("_root")) & (F.col("depth") == F.col("_depth")) & (F.col("first") == F.col("_first"))
     lower = cut.where(F.octet_length("rest") > 0).join(names, same).select(F.col("name").alias("root"), (F.col("depth") + half).cast("int").alias("depth"), F.col("rest").alias("seq"), "conv", "n", "ended")

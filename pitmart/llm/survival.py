@@ -135,8 +135,10 @@ def report(counts: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley)."""
     seen = materialize(judged(docs))
-    # copies of a text meet as partial minima; only texts that stand under several ids are joined back
+    # copies of a text meet as partial minima; texts that stand under several ids are a table of their own, to which Spark
+    # can join the parts of a hot text in several tasks
     first = seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("digest").alias("_digest"), "least")
+    first = materialize(first)
     copied = seen.join(first, F.col("digest") == F.col("_digest"), "left").select("doc_id", "part", (F.col("failed") + F.when(F.col("doc_id") > F.col("least"), 16).otherwise(0)).alias("failed"))
     says = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(c)
     named = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(says("quality"), says("toxic"))
