@@ -26,6 +26,40 @@ def later_than_facts(derived: DataFrame, facts: DataFrame, key: str, date: str)
     return a.join(b, key, "left").where(F.col("fact").isNull() | (F.col("derived") > F.col("fact")))
 
 
+def _of_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def non_trading_days(tables: dict[str, tuple[DataFrame, str]], calendar: DataFrame) -> DataFrame:
+    """[O1] Days of each table (frame, date column) that lie inside the calendar's coverage but are none of its days."""
+    days = _of_all([df.select(F.lit(name).alias("dataset"), F.col(date).cast("date").alias("_at")).distinct() for name, (df, date) in tables.items()])
+    known = calendar.select(F.col("trade_date").alias("_day")).distinct()
+    bounds = calendar.agg(F.min("trade_date").alias("_lo"), F.max("trade_date").alias("_hi"))  # one row
+    inside = days.join(F.broadcast(bounds), F.col("_at").between(F.col("_lo"), F.col("_hi")))
+    off = inside.join(known, F.col("_at") == F.col("_day"), "left_anti")
+    return off.select(F.lit("non_trading_day").alias("rule"), F.lit("ERROR").alias("severity"), "dataset", F.col("_at").cast("string").alias("key"))
+
+
+def orphan_rows(pairs: dict[str, tuple[DataFrame, DataFrame]], keys: list[str]) -> DataFrame:
+    """[O2] Of each mart (derived, facts) the rows whose key has no fact."""
+    mark = lambda df, name: df.select(F.lit(name).alias("dataset"), *keys)
+    derived, facts = (_of_all([mark(pair[i], name) for name, pair in pairs.items()]) for i in (0, 1))
+    gone = derived.join(facts.distinct(), ["dataset", *keys], "left_anti")
+    return gone.select(F.lit("orphan_mart_row").alias("rule"), F.lit("ERROR").alias("severity"), "dataset", F.concat_ws(" ", *keys).alias("key"))
+
+
+def ahead_of_facts(pairs: dict[str, tuple[DataFrame, DataFrame]], key: str, date: str) -> DataFrame:
+    """[O9] Of each mart (derived, facts) the rows dated after the last fact of their key; keys without facts are orphans."""
+    mark = lambda df, name: df.select(F.lit(name).alias("dataset"), key, date)
+    derived, facts = (_of_all([mark(pair[i], name) for name, pair in pairs.items()]) for i in (0, 1))
+    last = facts.groupBy("dataset", key).agg(F.max(date).alias("_last"))
+    late = derived.join(last, ["dataset", key]).where(F.col(date) > F.col("_last"))
+    return late.select(F.lit("later_than_facts").alias("rule"), F.lit("ERROR").alias("severity"), "dataset", F.concat_ws(" ", key, date, "_last").alias("key"))
+
+
 def factor_mismatch(factors: DataFrame, multipliers: DataFrame, key: str, date: str, most: float = 1e-9) -> DataFrame:
     """[O12] Factors that differ from the product of the multipliers up to their date, so that a later action cannot
     have been used."""

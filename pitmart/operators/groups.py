@@ -84,6 +84,15 @@ def concentration(holdings: DataFrame, fund: str) -> DataFrame:
     return t.select(fund, F.when(reason.isNull(), F.col("_top") / scale).alias("concentration"), reason.alias("reason"))
 
 
+def exposure(holdings: DataFrame, fund: str, n: int = 10) -> DataFrame:
+    """[J4, K12] One row for each fund of its holdings (fund, stock_id, weight_pct, dated, origin): the n largest as a list,
+    concentration or the reason why there is none, and where and when the holdings are from."""
+    w = Window.partitionBy(fund).orderBy(F.desc_nulls_last("weight_pct"), "stock_id")
+    ranked = holdings.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
+    listed = ranked.groupBy(fund).agg(F.array_sort(F.collect_list(F.struct(F.col("_rank").alias("rank"), "stock_id", "weight_pct"))).alias("top"), F.max("dated").alias("holdings_date"), F.min("origin").alias("holdings_type"))
+    return listed.join(concentration(holdings, fund).withColumnRenamed("reason", "concentration_reason"), fund)
+
+
 def overlap(holdings: DataFrame, pairs: DataFrame, fund: str) -> DataFrame:
     """[J5] For each asked-for pair (a, b) of funds: common holdings by the smaller side, sum of lesser weights (an unknown
     weight is 0), common ones among both top tens by 10, and the common stocks in order; no overlap is 0, and all is

@@ -72,12 +72,14 @@ def tracking_quality(groups: DataFrame, marts: DataFrame, fund: str) -> DataFram
     return groups.select(fund, "peer_group", "peer_count").join(marts.select(fund, "tracking_error_rank_pct"), fund, "left")
 
 
-def core_record(quotes: DataFrame, blocks: dict[str, DataFrame], fund: str, reasons: dict[str, Column]) -> DataFrame:
-    """[K12] One record for each quoted fund: the columns of its quote and of each block (fund, <block>_date, ...), a map
-    from a field that is unknown to why, a map of the blocks' dates, and PASS where nothing is unknown."""
+def core_record(quotes: DataFrame, blocks: dict[str, DataFrame], fund: str, reasons: dict[str, Column], derived: dict[str, Column] | None = None) -> DataFrame:
+    """[K12] One record for each quoted fund: the columns of its quote and of each block (fund, <block>_date, ...), fields
+    derived from several blocks, a map from a field that is unknown to why, which may depend on all fields, a map of the
+    blocks' dates, and PASS where nothing is unknown."""
     out = quotes
     for b in blocks.values():
         out = out.join(b, fund, "left")
+    out = out.withColumns(derived or {})
     found = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("key"), why.alias("value"))) for c, why in reasons.items())))
     dates = F.map_from_arrays(F.array(*(F.lit(n) for n in ("quote", *blocks))), F.array(*(F.col(f"{n}_date") for n in ("quote", *blocks))))
     out = out.withColumn("reasons", F.map_from_entries(found)).withColumn("dates", dates)

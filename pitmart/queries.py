@@ -133,7 +133,7 @@ def _g3(spark: SparkSession, d: str) -> DataFrame:
 _NAVLESS = "SELECT security_id, trade_date, shares, CASE WHEN day(trade_date) % 3 = 0 THEN NULL ELSE nav END AS nav FROM {0}"
 
 
-@add("G4_nav_coalesce", f"{panel_sql('shares')}, a AS ({_NAVLESS.format('shares')}), b AS (SELECT * FROM shares WHERE day(trade_date) % 6 <> 0) SELECT a.security_id, a.trade_date, a.shares, coalesce(a.nav, b.nav) AS nav, CASE WHEN a.nav IS NOT NULL THEN 'share_row' WHEN b.nav IS NOT NULL THEN 'nav_table' END AS nav_source FROM a LEFT JOIN b USING (security_id, trade_date)", "shares nav")
+@add("G4_nav_coalesce", f"{panel_sql('shares')} SELECT security_id, trade_date, shares, CASE WHEN day(trade_date) % 3 <> 0 OR day(trade_date) % 6 <> 0 THEN nav END AS nav, CASE WHEN day(trade_date) % 3 <> 0 THEN 'share_row' WHEN day(trade_date) % 6 <> 0 THEN 'nav_table' END AS nav_source FROM shares", "shares nav")
 def _g4(spark: SparkSession, d: str) -> DataFrame:
     shares = panel(spark, d, "shares")
     less = shares.withColumn("nav", F.when(F.dayofmonth("trade_date") % 3 != 0, F.col("nav")))

@@ -81,7 +81,7 @@ def _l4(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d, "turnover").select("exchange", "trade_date", s.mid_rank("turnover_amount", s.over("exchange"), 120, 30).alias("position"))
 
 
-@add("B25_same_day_nav", f"{panel_sql('shares')}, a AS (SELECT security_id, trade_date, shares, CASE WHEN day(trade_date) % 2 = 0 THEN nav END AS nav FROM shares), b AS (SELECT * FROM shares WHERE day(trade_date) % 7 <> 0) SELECT a.security_id, a.trade_date, a.shares, coalesce(a.nav, b.nav) AS nav, CASE WHEN a.nav IS NOT NULL THEN 'share_row' WHEN b.nav IS NOT NULL THEN 'nav_table' END AS nav_source FROM a LEFT JOIN b USING (security_id, trade_date)", "shares nav")
+@add("B25_same_day_nav", f"{panel_sql('shares')} SELECT security_id, trade_date, shares, CASE WHEN day(trade_date) % 2 = 0 OR day(trade_date) % 7 <> 0 THEN nav END AS nav, CASE WHEN day(trade_date) % 2 = 0 THEN 'share_row' WHEN day(trade_date) % 7 <> 0 THEN 'nav_table' END AS nav_source FROM shares", "shares nav")
 def _b25(spark: SparkSession, d: str) -> DataFrame:
     from pitmart.operators import flow
 

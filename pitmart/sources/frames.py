@@ -42,6 +42,33 @@ def judged(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> tuple[DataFram
     return rows.where("rule is null").drop("rule"), rows.where("rule is not null")
 
 
+def nav_history(vendors: Sequence[tuple[str, DataFrame]], key: str = "security_id") -> tuple[DataFrame, DataFrame]:
+    """[B3] (key, nav_date, unit_nav) of vendors in order of preference: a fund's history is the first vendor's that has any
+    usable row of it, with the vendor kept as source.  A date that cannot be read and a NAV of 0 or less are refused, a
+    NAV that is none is passed over."""
+    rows = None
+    for place, (source, raw) in enumerate(vendors):
+        one = raw.select(key, day(F.col("nav_date")).alias("nav_date"), number(F.col("unit_nav")).alias("unit_nav"), F.lit(source).alias("source"), F.lit(place).alias("_place"), F.col("nav_date").alias("raw_date"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.where(F.col("nav_date").isNull() | F.col("unit_nav").isNotNull())
+    facts, issues = judged(rows, [("nav_history_date_invalid", F.col("nav_date").isNull()), ("nav_positive", F.col("unit_nav") <= 0)])
+    first = facts.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"))
+    chosen = facts.join(first, (F.col(key) == F.col("_key")) & (F.col("_place") == F.col("_first")))
+    return chosen.select(key, "nav_date", "unit_nav", "source"), issues.drop("_place")
+
+
+def constituents(raw: DataFrame, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """[B15] (index_id, effective_date, stock_id, stock_name, weight_pct) of frames (index_id, date, code, name, weight), of a
+    window of days where one is given.  An unreadable date is refused first, then a code that is none of ours, as of a
+    stock of another market; an unknown weight stays null."""
+    rows = raw.select("index_id", day(F.col("date")).alias("effective_date"), security_id(F.trim("code")).alias("stock_id"), F.nullif(F.trim("name"), F.lit("")).alias("stock_name"), number(F.col("weight")).alias("weight_pct"), F.trim("code").alias("code"), F.col("date").alias("raw_date"))
+    for bound, keep in ((start, lambda x: F.col("effective_date") >= x), (end, lambda x: F.col("effective_date") <= x)):
+        if bound is not None:
+            rows = rows.where(F.col("effective_date").isNull() | keep(F.lit(bound).cast("date")))
+    facts, issues = judged(rows, [("constituent_date_invalid", F.col("effective_date").isNull()), ("constituent_code_out_of_scope", F.col("stock_id").isNull())])
+    return facts.drop("code", "raw_date"), issues
+
+
 def unit_shares(raw: DataFrame, asked: str, suffix: str = "SH") -> tuple[DataFrame, DataFrame, DataFrame]:
     """[B4] (code, stat_date, volume, name): shares in units of SHARE_UNIT under their own date.  The third frame warns of
     rows dated before the day asked for; they are facts all the same."""
@@ -202,6 +229,23 @@ def profile(pages: DataFrame, key: str, html: str, labels: dict[str, str]) -> Da
     return told.select(key, *(value(label).alias(name) for label, name in labels.items()))
 
 
+# fixed values
+ESTABLISHED, ESTABLISHED_CELL = "成立日期", "成立日期/规模"
+
+
+def fund_profile(pages: DataFrame, key: str, html: str, labels: dict[str, str], fees: dict[str, str]) -> DataFrame:
+    """[B18] profile() with fees as numbers, null unless a percent sign follows one, and established_date: the one in a label
+    above the table, else the one in its cell."""
+    texts = profile(pages.select(key, F.col(html).alias("_html")), key, "_html", labels)
+    pairs = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<th[^>]*>(.*?)</th>\s*<td[^>]*>.*?</td>"), F.lit(0))
+    told = pages.select(F.col(key).alias("_key"), F.transform(pairs, lambda p: _cells(p)).alias("_pairs"), F.regexp_extract(F.coalesce(html, F.lit("")), rf"(?is)<label>\s*{ESTABLISHED}：\s*<span[^>]*>(.*?)</span>", 1).alias("_label"))
+    cell = lambda label: F.get(F.get(F.filter("_pairs", lambda p: F.get(p, F.lit(0)) == label), F.lit(0)), F.lit(1))
+    fee = {name: F.nullif(F.regexp_extract(F.coalesce(cell(label), F.lit("")), r"([0-9]+(?:\.[0-9]+)?)\s*%", 1), F.lit("")).try_cast("double") for label, name in fees.items()}
+    established = F.coalesce(_written_day(F.regexp_replace("_label", "<[^>]+>", "")), _written_day(F.coalesce(cell(ESTABLISHED_CELL), F.lit(""))))
+    numbers = told.select("_key", established.alias("established_date"), *(c.alias(name) for name, c in fee.items()))
+    return texts.join(numbers, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def pipe_tables(df: DataFrame, key: str, text: str) -> DataFrame:
     """[B19] Rows of tables written with pipes inside texts: a header row with a rule of dashes under it, then rows with as
     many cells; others are dropped.  (key, block: lines before the header, line, cells by header)."""

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pitmart import queries, queries_audit, queries_long, queries_marts, queries_more, queries_norm, queries_pulse, queries_reads, queries_sources, queries_streams  # noqa: F401
+from pitmart import queries, queries_audit, queries_long, queries_marts, queries_more, queries_norm, queries_pulse, queries_reads, queries_record, queries_sources, queries_streams  # noqa: F401
 from pitmart.operators import adjust, checks, flow, groups, market, merge, metrics, pit, pulse, records
 from pitmart.sources import frames, sinks, store
 
