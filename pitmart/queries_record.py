@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitmart.operators import adjust, audit, flow, groups, metrics, normalize, pit, records
+from pitmart.operators import adjust, audit, calendar, flow, groups, metrics, normalize, pit, records
 from pitmart.panels import panel, panel_sql
 from pitmart.queries import _STEPS, SQL, add
 from pitmart.queries_marts import _tracked
@@ -98,6 +98,14 @@ def _o9(spark: SparkSession, d: str) -> DataFrame:
     return audit.ahead_of_facts(_marts(spark, d, F.month("trade_date") != 11), "security_id", "trade_date")
 
 
+_ELEVEN = {"quotes": "trade_date", "shares": "trade_date", "turnover": "trade_date", "m_margin": "trade_date", "m_turnover": "trade_date", "m_index": "trade_date", "adjusted": "trade_date", "states": "day", "holdings": "report_date", "constituents": "effective_date", "fund_actions": "action_date"}
+
+
+@add("D5_freshness_of_all", f"{panel_sql('calendar', *_ELEVEN)}, f AS ({' UNION ALL '.join(f'SELECT {n!r} AS dataset, max({c}) AS last_date FROM {n}' for n, c in _ELEVEN.items())}) SELECT dataset, last_date, CASE WHEN last_date <= {_DAY} THEN (SELECT count(*) FROM calendar WHERE trade_date > last_date AND trade_date <= {_DAY}) END AS lag FROM f")
+def _d5(spark: SparkSession, d: str) -> DataFrame:
+    return calendar.freshness({n: (panel(spark, d, n), c) for n, c in _ELEVEN.items()}, panel(spark, d, "calendar"), ASOF)
+
+
 # F8: the second version, on the adjusted close
 _F8 = ["return_1d", "return_5d", "return_20d", "return_60d", "volatility_20d", "volatility_60d", "current_drawdown"]
 _V2 = f"WITH av AS ({_E4} SELECT fc.security_id, fc.trade_date, fc.close * price_factor / 70000 AS close, turnover_amount FROM fc JOIN quotes q ON q.security_id = 'S' || CAST(fc.security_id AS VARCHAR(19)) AND q.trade_date = fc.trade_date)" + _STEPS[len(panel_sql("quotes")) :].replace("FROM quotes WINDOW", "FROM av WINDOW")
