@@ -4,7 +4,7 @@ A key's line is cut into segments by a function of the order column alone, so ro
 sampling is needed: a date is cut every `width` days, a number every `width`.  A first pass works inside (key, segment);
 one row a segment then carries totals from segment to segment; a second pass adds them.  The windows of the first pass and
 the join of the carries share one partitioning by (key, segment), so rows shuffle once; only the segments of a key, not
-its rows, meet in one task.
+its rows, meet in one task.  A scan reads its input twice, so a chain of scans is cut by written tables in between.
 """
 
 from __future__ import annotations

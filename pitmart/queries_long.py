@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitmart.operators import adjust, flow, market, scan
+from pitmart import storage
+from pitmart.operators import adjust, flow, market, pulse, scan
 from pitmart.panels import panel, panel_sql
 from pitmart.queries import SQL, add
 from pitmart.queries_pulse import confirmed_sql
@@ -49,6 +50,13 @@ def _l6(spark: SparkSession, d: str) -> DataFrame:
     return market.index_position(rows, "line", "day", "close", size=ROWS)
 
 
+@add("M11_pulse_in_segments", SQL["M11_pulse_replay"])
+@storage.tidy
+def _m11(spark: SparkSession, d: str) -> DataFrame:
+    panels = (storage.materialize(panel(spark, d, f"m_{x}")) for x in ("turnover", "margin", "basket", "index"))
+    return pulse.replay(*panels, "market_id", "trade_date", 250, cut=(DAYS, ROWS))
+
+
 @add("F4_drawdown_in_segments", f"WITH x AS ({_LINE}) SELECT line, day, CAST(cents AS DOUBLE) / max(CAST(cents AS DOUBLE)) OVER (ORDER BY day) - 1 AS drawdown, row_number() OVER (ORDER BY day) AS place FROM x", "drawdown")
 def _f4(spark: SparkSession, d: str) -> DataFrame:
     rows = scan.running(_line(spark, d), "line", "day", peaks={"peak": F.col("cents")}, counts="place", width=DAYS)
