@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitmart.llm import minhash, mixing, packing, pii, quality
-from pitmart.llm.common import discard, materialize, n_words, table
+from pitmart.llm.common import discard, materialize, n_words, table, tidy
 
 #: Percent of common word shingles from which documents are near-duplicates.
 NEAR = 80
@@ -61,10 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents, each result written to the shared folder and read again."""
+    """STAGES over documents, each result written to the shared folder and read again.  What a stage has written besides
+    goes once its result stands, and that once the next one's does: one table is left."""
     docs, done = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = tidy(stage)(spark, docs, sf_dir)
         if done is not None:
             discard(done)
         done = docs
