@@ -14,9 +14,11 @@ are not read (redact() keeps them as they are).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,10 +210,19 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
+def apart(spans: Iterable[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that overlap no base span."""
+    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = [s for s, _ in taken], list(itertools.accumulate((e for _, e in taken), max))
+    # of the base spans that begin before a span's end none may end after its start
+    return [c for c in spans if not (k := bisect.bisect_left(starts, c[2])) or ends[k - 1] <= c[1]]
+
+
 def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Base spans, and every candidate with its pattern, base ones first."""
+    """Base spans, and every candidate with its pattern, base ones first.  Others that overlap a base span cannot be added
+    and are no candidates: their votes would be evidence counted twice."""
     base, failed = base_spans(text)
-    every = dict.fromkeys([*base, *failed, *wide_spans(text)])
+    every = dict.fromkeys([*base, *apart([*failed, *wide_spans(text)], base)])
     return base, [(*c, pattern_of(text, *c)) for c in every]
 
 

@@ -482,6 +482,25 @@ def test_whole_pipeline_against_brute_force(spark, tmp_path):
         assert end <= 2048
 
 
+def test_pipeline_leaves_one_table_and_takes_an_empty_one(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from pitmart import storage
+
+    plain = texts(12, 9)
+    df = frame(spark, plain).select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(plain))], "doc_id long, quality int, toxic int")
+    there = lambda: set(os.listdir(storage.shared_dir(spark).removeprefix("file://") + "/pitmart"))
+    for name, rows in (("some", df), ("none", df.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        storage.materialize(labels)  # the folder exists
+        before = there()
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert len(there() - before) == 1 and (out.count() > 0) == (name == "some")
+
+
 def test_pipeline_drops_near_copies_between_80_and_85_percent(spark, tmp_path):
     import corpus_pipeline
 
