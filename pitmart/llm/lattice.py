@@ -280,7 +280,7 @@ def near_vectors(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
 
     # cells that hold several components; a pair with the least node is settled, so cells of two nodes are done
     of = labelled(labelled(members.where("size > 2"), "node", "c"), "least", "cl")
-    mixed = of.where("c <> cl").select(F.col("cell").alias("_cell")).distinct()
+    mixed = materialize(of.where("c <> cl").select(F.col("cell").alias("_cell")).distinct())
     open_cells = materialize(of.join(mixed.hint("merge"), F.col("cell") == F.col("_cell"), "left_semi").select(F.col("cell").alias("group"), "node", "size"))
     if not open_cells.isEmpty():
         cut = F.ceil(2 * F.col("size") / BLOCK)

@@ -170,11 +170,11 @@ WITH docs AS (
   WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
 ), steps AS (
   SELECT o, s.k AS step, o[s.k] AS own, list_slice(o, 1, s.k - 1) AS earlier,
-    array_to_string(list_transform(o, x -> substr('ABCDE', x, 1)), '') AS filter_order
+    array_to_string([substr('ABCDE', x, 1) FOR x IN o], '') AS filter_order
   FROM orders, letters s
 ), told AS (
   SELECT part, filter_order, step, own, n, n_good, n_toxic, f[own] AS failing,
-    len(list_filter(earlier, x -> f[x])) > 0 AS gone, len(list_filter([1, 2, 3, 4, 5], x -> f[x])) AS n_failing
+    len([x FOR x IN earlier IF f[x]]) > 0 AS gone, len([x FOR x IN [1, 2, 3, 4, 5] IF f[x]]) AS n_failing
   FROM cells, steps
 ), summed AS (
   SELECT part, filter_order, step, own,

@@ -230,3 +230,16 @@ def test_lattice_points_are_the_nearest_and_pairs_at_the_threshold_meet():
     met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3))
     assert met.any(axis=1).all() and 0.65 < met.mean() < 0.75
     assert (a[:, :, :, None] == np.roll(a, 1, axis=0)[:, :, None, :]).any(axis=(1, 2, 3)).mean() < 0.01
+
+
+def test_audit_agrees_with_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = duck.execute(survival.ORACLE_SQL)
+    names = [d[0] for d in found.description]
+    got = survival.op12_filter_audit(spark, sf).select(names).collect()
+    assert sorted(map(tuple, found.fetchall())) == sorted(map(tuple, got)) and got
