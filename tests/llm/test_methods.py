@@ -63,6 +63,11 @@ def test_scores_are_the_trained_models(spark):
     assert mass and all(x == pytest.approx(1, abs=1e-3) for x in mass.values())
 
 
+def test_held_out_score_is_above_the_base_at_scale(spark):
+    got = language_model.op3_language_model(spark, "/root/testdata/sf0.1").where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(base_score)"] < got["sum(score)"] < 0
+
+
 def test_added_spans_on_planted_masked_data(spark):
     r = random.Random(3)
     name = lambda: "".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(3, 8)))
