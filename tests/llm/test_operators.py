@@ -272,6 +272,25 @@ def test_quality_counts(spark, docs, rows, empty):
     assert quality.judge(empty, None).count() == 0
 
 
+def test_every_trusted_document_counts_in_the_quality_model(spark, docs, rows, tmp_path):
+    """More labels than a bound of any size would take: target counts and threshold are those of all of them."""
+    ids = [i for i in range(len(rows)) if i % 2]
+    few = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    many = few.union(spark.range(1_000, 61_000).selectExpr("id", "1", "0")).union(few)
+    model = quality.fit(docs, many)
+    assert model == quality.fit(docs, few)
+    judged = {r["doc_id"]: r for r in quality.judge(docs, model).collect()}
+    scores = [judged[i]["score"] for i in ids if judged[i]["n_words"] >= 50]
+    assert math.isclose(model.threshold, np.quantile(scores, quality.SPARE) - quality.MARGIN, abs_tol=1e-12)
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    plain.write.parquet(str(tmp_path / "documents.parquet"))
+    many.write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.op7_quality(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in got.columns) for r in judged.values())
+    assert any(not r["kept"] and not r["base_failed"] for r in judged.values())
+
+
 def test_ids_of_texts_are_the_tokenizers_own():
     """Each letter of Unicode with marks, digits and contractions around it, and random mixtures."""
     known = packing._Ids(packing.default_tokenizer())
