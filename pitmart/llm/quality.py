@@ -169,6 +169,15 @@ def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     return judged.where("kept and number >= 0").select("row.*")
 
 
+def keep_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """keep(docs, fit(docs, labels)), each text scored once: the rows are written with their scores."""
+    if (ratios := estimate(docs, labels)) is None:
+        return keep(docs, None)
+    scored = materialize(_scored(docs, ratios).select("row", "n_words", "base_failed", "score"))
+    least = threshold(scored.select("row.doc_id", "n_words", "score"), labels)
+    return scored.where(_passed(least)).select("row.*")
+
+
 @tidy
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """judge(docs, fit(docs, labels)) without the texts, each scored once: the threshold comes from the written scores."""

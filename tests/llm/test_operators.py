@@ -446,6 +446,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(r["doc_id"] for r in packed.collect()) == seen
 
 
+def test_pipeline_rules_learn_from_every_trusted_document(spark, tmp_path):
+    """60,000 labels, all documents among them: each is a trusted one, the odd ones too, so what passes the rules stays."""
+    import corpus_pipeline
+
+    plain = texts(12, 9)
+    odd = [" ".join(f"x{k}y{i}" for i in range(60)) for k in range(10)]
+    rows = [*plain, *odd]
+    frame(spark, rows, range(1_000, 1_000 + len(rows))).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(60_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    want = {r["doc_id"]: r for r in docs.collect() if len(WORD.findall(r["text"] or "")) >= 50}
+    assert kept.columns == docs.columns
+    assert {r["doc_id"]: r for r in kept.collect()} == want
+
+
 def test_whole_pipeline_against_brute_force(spark, tmp_path):
     """run() over a small corpus: survivors of the rules, one of each group of near copies, redacted texts, as many copies
     as the mix takes, and pieces whose ids are the tokenizer's."""
