@@ -1,5 +1,10 @@
-"""Cases that only larger tables have: codes listed twice."""
+"""Cases that only larger tables have: codes listed twice, tied tags, work that must not meet in few tasks."""
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from pitmart.operators import groups
 from pitmart.sources import frames
 
 
@@ -10,3 +15,12 @@ def test_rows_listed_under_one_code_stay_without_an_order_and_the_last_counts_wi
     rest = [("000002", "two", None, "catalog"), ("000009", "nine", "sz000009", "symbols")]
     assert got(listed.drop("place")) == [("000001", "first", "sh000001", "catalog"), ("000001", "last", "sh000001", "catalog"), *rest]
     assert got(listed) == [("000001", "last", "sh000001", "catalog"), *rest]
+
+
+def test_tags_of_one_name_and_confidence_rank_alike_in_any_order(spark):
+    d = dt.date
+    rows = [("f", "T0", "style", 0.5, d(1998, 1, 1), None), ("f", "T0", "style", 0.5, d(1997, 1, 1), None), ("f", "T0", "industry", 0.5, None, None), ("f", "T1", "style", None, None, None), ("f", "T9", "style", 0.9, None, None)]
+    want = [("T9", "style", None), ("T0", "industry", None), ("T0", "style", d(1997, 1, 1)), ("T0", "style", d(1998, 1, 1)), ("T1", "style", None)]
+    for given in (rows, rows[::-1]):
+        tags = spark.createDataFrame(given, "fund string, tag string, tag_type string, confidence double, valid_from date, valid_to date").coalesce(1)
+        assert [(r["tag"], r["tag_type"], r["valid_from"]) for r in groups.tags_asof(tags, "fund", "1998-06-01").orderBy(F.col("rank")).collect()] == want
