@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitmart.operators import scan
@@ -50,22 +52,25 @@ def multipliers(actions: DataFrame, days: DataFrame, key: str = "security_id", d
     return good.select(key, F.col("x.at").alias(date), F.col("x.channel").alias("channel"), "action_type", F.col("x.m").alias("m")), found.where("reason is not null").select(key, "action_date", "action_type", "reason").dropDuplicates()
 
 
-def adjusted(days: DataFrame, factors: DataFrame, key: str = "security_id", date: str = "trade_date", width: int | None = None) -> DataFrame:
+def adjusted(days: DataFrame, factors: DataFrame, key: str = "security_id", date: str = "trade_date", width: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """[E4] Close times the running product of price factors up to its date, NAV times that of NAV factors, shares by that
     of share factors; the legacy factor is the NAV's.  Factors are multiplied in order of their days, so that ratios
-    which doubles hold exactly have exact products.  width: days of a line that one task scans, for few long lines."""
-    daily = factors.groupBy(key, date).agg(*(F.product(F.when(F.col("channel") == c, F.col("m"))).alias(f"_{c}") for c in CHANNELS))
-    w = s.so_far(s.over(key, date))
-
-    def factor(c: str) -> Column:
-        return F.product(F.coalesce(f"_{c}", F.lit(1.0))).over(w)
-
-    rows = days.join(daily, [key, date], "left")
+    which doubles hold exactly have exact products.  Days and factors are one ordered table, a day's factors before the
+    day, so that no join deals the days again; factors of no day are none.  keep: further columns of days.
+    width: days of a line that one task scans, for few long lines."""
+    names = [f"_{c}" for c in CHANNELS]
+    daily = factors.where(F.col(key).isNotNull()).groupBy(key, date).agg(*(F.product(F.when(F.col("channel") == c, F.col("m"))).alias(f"_{c}") for c in CHANNELS))
+    rows = days.withColumns({n: F.lit(None).cast("double") for n in names} | {"_day": F.lit(True)}).unionByName(daily.withColumn("_day", F.lit(False)), allowMissingColumns=True)
+    if width is not None:
+        rows = scan.segmented(rows, date, width)
+    w = Window.partitionBy(key, *([scan.SEGMENT] if width is not None else [])).orderBy(date, "_day")
+    told = ~F.lag("_day").over(w) & (F.lag(date).over(w) == F.col(date))
+    rows = rows.withColumns({n: F.coalesce(F.when(told, F.lag(n).over(w)), F.lit(1.0)) for n in names}).where("_day").drop("_day")
     if width is not None:
-        rows = scan.running(rows, key, date, products={f"{c}_factor": F.coalesce(f"_{c}", F.lit(1.0)) for c in CHANNELS}, width=width)
+        rows = scan.running(rows, key, date, products={f"{c}_factor": F.col(f"_{c}") for c in CHANNELS}, width=width)
     else:
-        rows = rows.withColumns({f"{c}_factor": factor(c) for c in CHANNELS})
+        rows = rows.withColumns({f"{c}_factor": F.product(f"_{c}").over(s.so_far(s.over(key, date))) for c in CHANNELS})
     return rows.select(
         key, date, *(f"{c}_factor" for c in CHANNELS), F.col("nav_factor").alias("factor"),
-        (F.col("close") * F.col("price_factor")).alias("adjusted_close"), (F.col("nav") * F.col("nav_factor")).alias("adjusted_nav"), (F.col("shares") / F.col("shares_factor")).alias("adjusted_shares"),
+        (F.col("close") * F.col("price_factor")).alias("adjusted_close"), (F.col("nav") * F.col("nav_factor")).alias("adjusted_nav"), (F.col("shares") / F.col("shares_factor")).alias("adjusted_shares"), *keep,
     )

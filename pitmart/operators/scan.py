@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 WIDTH = 64
 SIZE = 4096
-_SEGMENT, _KEY = "_segment", "_scan_key"
+SEGMENT = _SEGMENT = "_segment"
+_KEY = "_scan_key"
 
 
 def _place(df: DataFrame, order: str) -> Column:
@@ -44,11 +45,12 @@ def _carried(rows: DataFrame, key: list[str], totals: dict[str, Column], carries
 
 def running(df: DataFrame, key: str | list[str], order: str, sums: dict[str, Column] | None = None, peaks: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, counts: str | None = None, products: dict[str, Column] | None = None, width: float | None = WIDTH) -> DataFrame:
     """df with, of all rows of its key up to each row: sums, products, maxima and the last known value of expressions, and
-    the row's number from 1 on.  What a window over the whole key gives, with rows of a key in many tasks.  Order is total in a key."""
+    the row's number from 1 on.  What a window over the whole key gives, with rows of a key in many tasks.  Order is total in a key.
+    Rows that are segmented already, by the same order and width, stay where they are."""
     keys = [key] if isinstance(key, str) else key
     sums, peaks, lasts, products = sums or {}, peaks or {}, lasts or {}, products or {}
     numbered = {counts: F.lit(1).cast("long")} if counts else {}
-    rows = segmented(df, order, width)
+    rows = df if _SEGMENT in df.columns else segmented(df, order, width)
     value = {n: f"_v_{n}" for n in (*sums, *peaks, *lasts, *products, *numbered)}
     rows = rows.withColumns({value[n]: c for n, c in (sums | peaks | lasts | products | numbered).items()})
     totals = {f"_t_{n}": F.sum(value[n]) for n in (*sums, *numbered)} | {f"_t_{n}": F.max(value[n]) for n in peaks} | {f"_t_{n}": F.product(value[n]) for n in products}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitmart import storage
 from pitmart.operators import adjust, flow, market, pulse, scan
-from pitmart.panels import panel, panel_sql
+from pitmart.panels import by_fund, panel, panel_sql
 from pitmart.queries import SQL, add
 from pitmart.queries_pulse import confirmed_sql
 
@@ -39,9 +39,9 @@ def _m5(spark: SparkSession, d: str) -> DataFrame:
 
 @add("E4_adjusted_in_segments", SQL["E4_adjusted_series"])
 def _e4(spark: SparkSession, d: str) -> DataFrame:
-    days = panel(spark, d, "fund_days")
-    factors, _ = adjust.multipliers(panel(spark, d, "fund_actions"), days)
-    return adjust.adjusted(days, factors, width=DAYS).withColumn("adjusted_close", F.col("adjusted_close") / 70000)
+    funds = by_fund(spark, d)
+    factors, _ = adjust.multipliers(funds["fund_actions"], funds["fund_days"])
+    return adjust.adjusted(funds["fund_days"], factors, width=DAYS).withColumn("adjusted_close", F.col("adjusted_close") / 70000)
 
 
 @add("L6_index_position_in_pieces", f"WITH x AS (SELECT line, day, CAST(cents AS DOUBLE) / n AS close FROM ({_LINE})), y AS (SELECT *, list(close) OVER w AS a, max(close) OVER w AS peak FROM x WINDOW w AS (ORDER BY day ROWS 249 PRECEDING)) SELECT line, day, CASE WHEN len(a) >= 60 THEN (len([v FOR v IN a IF v < close]) + len([v FOR v IN a IF v = close]) / 2) / len(a) END AS position, close / peak - 1 AS from_peak FROM y", "position from_peak")

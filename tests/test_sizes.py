@@ -1,10 +1,14 @@
-"""Cases that only larger tables have: codes listed twice, tied tags, work that must not meet in few tasks."""
+"""Cases that only larger tables have: codes listed twice, tied tags, panels dealt again and again, output that must not meet in few tasks."""
 
 import datetime as dt
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from pitmart.operators import groups
+import __spark_entry__ as entry
+from pitmart import panels
+from pitmart.operators import adjust, groups
 from pitmart.sources import frames
 
 
@@ -24,3 +28,38 @@ def test_tags_of_one_name_and_confidence_rank_alike_in_any_order(spark):
     for given in (rows, rows[::-1]):
         tags = spark.createDataFrame(given, "fund string, tag string, tag_type string, confidence double, valid_from date, valid_to date").coalesce(1)
         assert [(r["tag"], r["tag_type"], r["valid_from"]) for r in groups.tags_asof(tags, "fund", "1998-06-01").orderBy(F.col("rank")).collect()] == want
+
+
+def shuffled(spark, name):
+    """The different exchanges by key in the plan of a query on large tables, which no join broadcasts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    return {re.sub(r"#\d+L?|\[plan_id=\d+\]", "", line.split("Exchange ")[1]) for line in plan.splitlines() if "Exchange hash" in line}
+
+
+@pytest.mark.parametrize("name", ["shares", "fund_days", "fund_actions", "adjusted", "holdings", "quotes"])
+def test_panels_by_fund_are_those_of_their_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    got, want = panels.by_fund(spark, sf, held=True)[name], panels.panel(spark, sf, name)
+    if name == "quotes":
+        got = got.withColumn("security_id", F.concat(F.lit("S"), F.col("security_id").cast("string")))
+    got = got.select(want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_adjusting_in_segments_deals_lines_by_fund_once(spark):
+    found = shuffled(spark, "E4_adjusted_in_segments")
+    assert len(found) == 3 and sum("REPARTITION_BY_COL" in x for x in found) == 1, found  # lines by fund, days by fund and segment, carries of segments
+
+
+def test_factors_of_no_day_do_not_count_and_kept_columns_stay(spark):
+    d = dt.date
+    held = spark.createDataFrame([("s", d(2026, 1, i), 10.0, 5.0, 100.0, i) for i in (1, 2, 5, 6)], "security_id string, trade_date date, close double, nav double, shares double, i int")
+    factors = spark.createDataFrame([("s", d(2026, 1, i), c, "SPLIT", m) for i, m in ((2, 2.0), (3, 7.0), (6, 3.0), (6, 0.5), (9, 9.0)) for c in adjust.CHANNELS], "security_id string, trade_date date, channel string, action_type string, m double")
+    for width in (None, 2):
+        rows = adjust.adjusted(held, factors, width=width, keep=["i"]).orderBy("i").collect()
+        assert [(r["i"], r["price_factor"], r["adjusted_close"], r["adjusted_shares"]) for r in rows] == [(1, 1.0, 10.0, 100.0), (2, 2.0, 20.0, 50.0), (5, 2.0, 20.0, 50.0), (6, 3.0, 30.0, 100 / 3.0)]
