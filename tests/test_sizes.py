@@ -63,3 +63,17 @@ def test_factors_of_no_day_do_not_count_and_kept_columns_stay(spark):
     for width in (None, 2):
         rows = adjust.adjusted(held, factors, width=width, keep=["i"]).orderBy("i").collect()
         assert [(r["i"], r["price_factor"], r["adjusted_close"], r["adjusted_shares"]) for r in rows] == [(1, 1.0, 10.0, 100.0), (2, 2.0, 20.0, 50.0), (5, 2.0, 20.0, 50.0), (6, 3.0, 30.0, 100 / 3.0)]
+
+
+def test_the_whole_record_deals_lines_by_fund_once(spark):
+    found = shuffled(spark, "K12_whole_record")
+    by_fund = sorted(x for x in found if "security_id" in x or "etf_id" in x or "trade_date" in x and "r_name" not in x)
+    assert len(by_fund) == 2 and "REPARTITION_BY_COL" in by_fund[1], found  # suppliers' indexes, which are a row a fund, and lines
+
+
+def test_a_report_is_the_same_from_dealt_holdings(spark):
+    d = dt.date
+    rows = [(f, i, d(2026, 3 * q, 1), d(2026, 3 * q + 1, 1), 1.0 * i) for f in ("a", "b") for q in (1, 2, 3) for i in range(3)]
+    h = spark.createDataFrame(rows, "fund string, stock_id int, report_date date, disclosed date, weight_pct double")
+    one, two = (sorted(map(tuple, groups.latest_report(h, "fund", "2026-07-15", dealt=x).collect())) for x in (False, True))
+    assert one == two and {r[2] for r in one} == {d(2026, 6, 1)} and len(one) == 6
