@@ -77,3 +77,16 @@ def test_a_report_is_the_same_from_dealt_holdings(spark):
     h = spark.createDataFrame(rows, "fund string, stock_id int, report_date date, disclosed date, weight_pct double")
     one, two = (sorted(map(tuple, groups.latest_report(h, "fund", "2026-07-15", dealt=x).collect())) for x in (False, True))
     assert one == two and {r[2] for r in one} == {d(2026, 6, 1)} and len(one) == 6
+
+
+def test_an_index_of_very_many_funds_meets_them_in_many_tasks(spark):
+    day = dt.date(1998, 1, 1)
+    none = spark.createDataFrame([], "fund long, stock_id long, report_date date, disclosed date, weight_pct double")
+    mapping = spark.range(3000).select(F.col("id").alias("fund"), F.lit("i").alias("index_id"))
+    old = spark.range(5).select(F.lit("i").alias("index_id"), F.col("id").alias("stock_id"), F.lit(day - dt.timedelta(9)).alias("effective_date"), F.lit(1.0).alias("weight_pct"))
+    late = spark.range(5).select(F.lit("i").alias("index_id"), F.col("id").alias("stock_id"), F.lit(day + dt.timedelta(9)).alias("effective_date"), F.lit(1.0).alias("weight_pct"))
+    now = spark.range(400).select(F.lit("i").alias("index_id"), F.col("id").alias("stock_id"), F.lit(day).alias("effective_date"), F.col("id").cast("double").alias("weight_pct"))
+    out = groups.holdings_or_constituents(none, now.unionByName(old).unionByName(late), mapping, "fund", "1998-01-05")
+    by_task = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(by_task) == 3000 * 400 and len(by_task) >= 4 and by_task[-1] < 3000 * 400 / 2
+    assert out.select("fund", "stock_id").distinct().count() == 3000 * 400 and {tuple(r) for r in out.where("fund = 7 and stock_id = 3").collect()} == {(7, 3, 3.0, day, "constituents")}
